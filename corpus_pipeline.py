@@ -1,8 +1,84 @@
-"""Corpus pipeline: the stages are filled in as their operators are."""
+"""Corpus pipeline: toxic documents go, one document of each near-duplicate group stays, contaminated documents go, sources are
+mixed to their target weights, and token ids are stored.
 
-STAGES = []
-ORACLE_SQL = None
+Every stage takes (spark, docs, sf_dir), works on all that the stage before kept, and but for the last returns the columns of
+its input. Null texts are kept by the filters; the mix takes nothing of texts without words.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strata.llm.decontaminate import contaminated_words, is_contaminated
+from strata.llm.jaccard_join import jaccard_classes
+from strata.llm.mixing import mix_sources
+from strata.llm.storage import new_path
+from strata.llm.token_store import read_tokens, write_tokens
+from strata.llm.toxicity import toxicity
+
+
+def _only(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Rows of docs whose doc_id is among ids; a null doc_id matches null."""
+    wanted = ids.select(F.col(column).alias("_wanted")).distinct()
+    return docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    judged = toxicity(docs, labels)
+    rejected = judged.filter("rejected").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(rejected.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each group that links of similarity 0.8 or more on five-word shingles connect."""
+    groups = jaccard_classes(docs, words=5, threshold=(8, 10))
+    return _only(docs, groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose words less than a twentieth stand in benchmark windows."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    dirty = contaminated_words(docs, items).filter(is_contaminated()).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(dirty.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes its words, rounded to whole documents."""
+    taken = mix_sources(docs).groupBy("doc_id").agg((F.max(F.round(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int")).alias("_times")).filter("_times > 0").withColumnRenamed("doc_id", "_mixed")
+    repeated = docs.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_mixed"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return repeated.select(*docs.columns)
+
+
+def store_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every stored document, read back from the files."""
+    path = new_path(spark, "pipeline-tokens")
+    write_tokens(docs, path, tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", keep_one_of_each_group),
+    ("benchmark_decontamination", drop_contaminated),
+    ("source_mixing", mix),
+    ("token_binary_output", store_tokens),
+]
+
+#: SQL can't express the classifier chain or the tokenizer; tests hold the stages against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir, each stage's result written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = new_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
