@@ -20,6 +20,7 @@ from strata.llm import columnar as c
 
 _BITS = 22
 _PREFIX = 4
+LEAST_SEEN = 3
 
 
 def text_features(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +63,7 @@ def fit_linear(row: np.ndarray, feature: np.ndarray, y: np.ndarray, before: np.n
     n, seen = len(y), 1 << _BITS
     have = np.bincount(feature, minlength=seen)
     good = np.bincount(feature, y[row], minlength=seen)
-    used = np.flatnonzero(have >= 3)
+    used = np.flatnonzero(have >= LEAST_SEEN)
     rate = y.mean() if n else 0.0
     p = np.clip(good[used] / have[used], 1e-9, 1 - 1e-9)
     gain = have[used] * (p * np.log(p / max(rate, 1e-9)) + (1 - p) * np.log((1 - p) / max(1 - rate, 1e-9)))
@@ -109,7 +110,7 @@ def chain_odds(chain: list[Linear], row: np.ndarray, feature: np.ndarray, n: int
     return before
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, labelled: DataFrame | None = None, categories: tuple[str, ...] = ("quality", "toxic"), sample: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, labelled: DataFrame | None = None, categories: tuple[str, ...] = ("quality", "toxic"), sample: int = 8_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, p_<category> for each in the order of the chain, rejected (the last category is likelier than not), row by row.
 
     labels: doc_id and a 0/1 column for each category. At most ``sample`` labelled rows, those of the least hash, fit the chain;
@@ -137,9 +138,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, labelled: DataFrame | None =
         feature.append(np.frombuffer(r._f, "<u4"))
         y.append([r[k] for k in ys])
     order = sorted(range(len(ids)), key=lambda i: (ids[i], feature[i].tobytes()))
-    row = np.repeat(np.arange(len(ids)), [len(feature[i]) for i in order])
+    seen = np.zeros(1 << _BITS, np.int32)
+    for f in feature:
+        seen[f] += 1  # features of a document are distinct
+    feature = [f[seen[f] >= LEAST_SEEN].astype(np.int32) for f in (feature[i] for i in order)]
+    row = np.repeat(np.arange(len(ids), dtype=np.int32), [len(f) for f in feature])
     y = np.array([y[i] for i in order]).reshape(-1, len(ys))
-    chain = fit_chain(row, np.concatenate([feature[i] for i in order] or [np.zeros(0, np.uint32)]).astype(np.int64), y)
+    chain = fit_chain(row, np.concatenate([*feature, np.zeros(0, np.int32)]), y)
     wanted = np.zeros(1 << _BITS, bool)
     for model in chain:
         wanted[model.feature] = True
