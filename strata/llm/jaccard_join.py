@@ -1,17 +1,18 @@
 """Exact Jaccard self-join on word shingles, down to its connected components, by prefix filters under several global orders.
 
 Order 1 (hash of the shingle) is the one that is shuffled. A set of n shingles whose partners share at least o of them
-hands out its first n - o + l shingles; two similar sets then have at least l of these in common, which gives three
-counting filters before any pair is formed:
+hands out its first n - o + l shingles; two similar sets then have at least l of these in common. That leaves room to drop
+what only meets by chance, as long as a set drops fewer than l / 2 of the shingles that it handed out:
 
 * shingles handed out once are dropped; a set left with fewer than l of them is dropped;
-* a shingle handed out more than ``frequent`` times counts only for sets that have l such shingles, as other similar
-  pairs meet at a rarer one. Sets that merely share a well-known passage never meet there;
-* sets of equal shingles are one node.
-
-Pairs are not enumerated within groups. Each member is first paired with one member of its group; links so verified join
-into components, and afterwards only pairs whose components still differ are formed, from the smaller components of a
-group. A pair that is formed must also share a prefix shingle under each of the other orders before its sets are compared.
+* shingles handed out more than ``frequent`` times are dropped from sets that have few of them, so texts that merely share a
+  well-known passage do not meet there;
+* each shingle's group is named after its least member; names under which a set has the fewest shingles are dropped.
+
+Sets of equal shingles are one node. What is left are (name, member) rows, cut into blocks of bounded size. In a block, pairs
+must also share a prefix shingle under two more orders (rare in the block first; another hash) before they are compared,
+and pairs that links already connect are skipped. Names of several blocks get a second look: members outside of
+the largest component visit the other blocks. No pair is ever a row; a block gives at most as many links as it has members.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm import columnar as c
@@ -148,25 +149,104 @@ def _wanted(words: int, bloom, schema: pa.Schema):
     return run
 
 
-def _verify(words: int, rule: Filter, orders: int, schema: pa.Schema):
-    def similar(x: np.ndarray, y: np.ndarray) -> bool:
-        for order in range(2, orders + 1):
-            p, q = (np.sort(c.mix(s + np.uint64(order)))[: int(len(s) - rule.shared(len(s)) + 1)] for s in (x, y))
-            if not len(np.intersect1d(p, q, assume_unique=True)):
-                return False
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return both * rule.bottom >= rule.top * (len(x) + len(y) - both)
+class _Block:
+    """Members of one block: sorted shingle sets, and which of them must be compared (with everyone)."""
+
+    def __init__(self, rule: Filter, orders: int) -> None:
+        self.rule, self.orders = rule, orders
+
+    def links(self, sets: list[np.ndarray], asks: np.ndarray) -> list[tuple[int, int]]:
+        """Pairs that join what was not joined yet; a pair is looked at if either side asks."""
+        size = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        token, place, often = np.unique(flat, return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        off = np.concatenate([[0], np.cumsum(size)])
+        prefix = size - self.rule.shared(size) + 1
+        filters = []
+        for order in range(2, self.orders + 1):
+            key = c.mix(token + np.uint64(order))
+            rank = np.empty(len(token), np.int64)
+            rank[np.lexsort((key, often)) if order == 2 else np.argsort(key)] = np.arange(len(token))
+            by = np.lexsort((rank[place], owner))
+            chosen = by[(np.arange(len(by)) - off[:-1][owner]) < prefix[owner]]
+            filters.append((_postings(place[chosen], owner[chosen], len(token)), _lists(owner[chosen], place[chosen], len(sets))))
+        full = _postings(place, owner, len(token))
+        root = np.arange(len(sets))
+
+        def find(a: int) -> int:
+            while root[a] != a:
+                root[a] = root[root[a]]
+                a = root[a]
+            return a
+
+        out = []
+        for x in np.flatnonzero(asks).tolist():
+            near = None
+            for posting, mine in filters:
+                met = np.zeros(len(sets), bool)
+                met[_gather(posting, mine[0][mine[1][x] : mine[1][x + 1]])] = True
+                near = met if near is None else near & met
+            near &= (self.rule.bottom * np.minimum(size, size[x]) >= self.rule.top * np.maximum(size, size[x])) & (~asks | (np.arange(len(sets)) > x))
+            near[x] = False
+            others = np.flatnonzero(near)
+            if len(others):
+                mine = find(x)
+                others = others[[find(y) != mine for y in others.tolist()]]
+            if not len(others):
+                continue
+            common = np.bincount(_gather(full, place[off[x] : off[x + 1]]), minlength=len(sets))[others]
+            for y in others[common * self.rule.bottom >= self.rule.top * (size[x] + size[others] - common)].tolist():
+                a, b = find(x), find(y)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((x, y))
+        return out
+
+
+def _lists(key: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key, kind="stable")
+    return value[order], np.concatenate([[0], np.cumsum(np.bincount(key, minlength=n))])
+
+
+_postings = _lists
+
+
+def _gather(lists: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """All values of these keys, end to end."""
+    value, off = lists
+    size = off[keys + 1] - off[keys]
+    return value[np.repeat(off[keys] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())] if len(keys) else value[:0]
+
+
+def _compare(words: int, rule: Filter, orders: int, schema: pa.Schema):
+    """Blocks arrive one after another, their members together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (y for x in c.slices(batches, "_x") for y in c.slices(iter([x]), "_y")):
-            (x, xo), (y, yo) = (shingle_sets(batch.column(k), words) for k in ("_x", "_y"))
-            ok = [similar(x[xo[i] : xo[i + 1]], y[yo[i] : yo[i + 1]]) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=schema).filter(pa.array(ok, pa.bool_()))
+        block = _Block(rule, orders)
+        last, nodes, sets, asks = None, [], [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(nodes) > 1:
+                found = block.links(sets, np.array(asks, bool))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in found], pa.int64()), pa.array([nodes[y] for _, y in found], pa.int64())], schema=schema)
+
+        for batch in c.slices(batches, "_x"):
+            token, off = shingle_sets(batch.column("_x"), words)
+            for i, (key, node, ask) in enumerate(zip(zip(batch.column("name").to_pylist(), batch.column("block").to_pylist(), strict=True), batch.column("node").to_pylist(), batch.column("ask").to_pylist(), strict=True)):
+                if key != last:
+                    yield from close()
+                    last, nodes, sets, asks = key, [], [], []
+                nodes.append(node)
+                sets.append(token[off[i] : off[i + 1]])
+                asks.append(ask)
+        yield from close()
 
     return run
 
 
-def jaccard_classes(docs: DataFrame, *, words: int = 5, threshold: tuple[int, int] = (8, 10), orders: int = 3, frequent: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_classes(docs: DataFrame, *, words: int = 5, threshold: tuple[int, int] = (8, 10), orders: int = 3, frequent: int = 64, block: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id that links reach, itself included), one row for each input row.
 
     Two texts link when the Jaccard similarity of their sets of ``words``-word shingles is at least the threshold, a
@@ -181,46 +261,40 @@ def jaccard_classes(docs: DataFrame, *, words: int = 5, threshold: tuple[int, in
     handed = rows.select("_x").mapInArrow(_tokens(words, rule, pa.schema([("token", i64), ("node", i64), ("size", pa.int32())])), "token long, node long, size int")
 
     often = handed.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    many = handed.join(often.hint("merge"), "token").dropDuplicates(["token", "node"])
+    many = cut(handed.join(often.hint("merge"), "token").select("token", "node", "size", (F.col("n") > frequent).alias("hot")).dropDuplicates(["token", "node"]))
     # need() and shared() in SQL; the least partner has shared(size) shingles
     least = f"least(cast(ceil({rule.top} * m / {rule.bottom}) as int), cast(floor({rule.bottom - rule.top} * m / {2 * rule.bottom}) as int) + 3)".replace("m", f"cast(ceil({rule.top} * size / {rule.bottom}) as int)")
-    many = cut(many.withColumn("hot", F.col("n") > frequent))
-    able = many.groupBy("node").agg(F.count(F.lit(1)).alias("all"), F.count_if("hot").alias("hots"), F.first("size").alias("size")).withColumn("l", F.expr(least)).filter("all >= l").select("node", "l", "hots")
-    able = able.withColumn("dense", F.expr("hots >= l"))
-    members = cut(many.drop("n").join(able.hint("merge"), "node").filter("not hot or dense").select("token", "node", "size", "hot", "hots", "l"))
-
-    fits = f"{rule.bottom} * least(size, other_size) >= {rule.top} * greatest(size, other_size)"
-    hubs = members.groupBy("token").agg(F.min(F.struct("node", "size")).alias("h"))
-    first = members.join(hubs.hint("merge"), "token").select("node", "size", F.col("h.node").alias("other"), F.col("h.size").alias("other_size"))
-    tried = cut(first.filter(f"node != other and {fits}").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        bloom = docs.sparkSession.sparkContext.broadcast(_bloom(nodes))
-        found = rows.select("_x").mapInArrow(_wanted(words, bloom, pa.schema([("node", i64), ("_x", pa.binary())])), "node long, _x binary")
-        texts = found.join(nodes.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min("_x").alias("_x"))
-        texts = cut(texts)
-        left = pairs.join(texts.withColumnRenamed("node", "a").hint("merge"), "a")
-        both = left.join(texts.select(F.col("node").alias("b"), F.col("_x").alias("_y")).hint("merge"), "b")
-        return cut(both.select("a", "b", "_x", "_y").mapInArrow(_verify(words, rule, orders, pa.schema([("a", i64), ("b", i64)])), "a long, b long"))
-
-    links = linked(tried)
+    able = many.groupBy("node").agg(F.count(F.lit(1)).alias("all"), F.count_if("hot").alias("hots"), F.first("size").alias("size")).withColumn("l", F.expr(least)).filter("all >= l")
+    able = able.select("node", F.expr("2 * hots >= l").alias("dense"), F.expr("(l - 1) div 2 - if(2 * hots >= l, 0, hots)").alias("spare"))
+    members = many.join(able.hint("merge"), "node").filter("not hot or dense").select("token", "node", "spare")
+
+    heads = members.groupBy("token").agg(F.min("node").alias("name"))
+    named = members.join(heads.hint("merge"), "token").groupBy("node", "name").agg(F.count(F.lit(1)).alias("k"), F.first("spare").alias("spare"))
+    fewest = Window.partitionBy("node").orderBy("k", "name").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = named.withColumn("gone", F.sum("k").over(fewest)).filter("gone > spare").select("node", "name")
+    shares = kept.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name", F.expr(f"(n + {block - 1}) div {block}").alias("blocks"))
+    kept = cut(kept.join(shares.hint("merge"), "name").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))))
+
+    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(kept.select("node")))
+    wanted = rows.select("_x").mapInArrow(_wanted(words, bloom, pa.schema([("node", i64), ("_x", pa.binary())])), "node long, _x binary")
+    texts = wanted.groupBy("node").agg(F.min("_x").alias("_x"))
+
+    def linked(members: DataFrame, texts: DataFrame) -> DataFrame:
+        dealt = members.join(texts.hint("merge"), "node").select("name", "block", "node", "ask", "_x").repartition("name", "block").sortWithinPartitions("name", "block", "node")
+        return dealt.mapInArrow(_compare(words, rule, orders, pa.schema([("a", i64), ("b", i64)])), "a long, b long")
+
+    links = cut(linked(kept.withColumn("ask", F.lit(True)), texts))
     group = components(links, "a", "b")
 
-    # second look: pairs of a group whose components still differ
-    member = members.join(group.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = member.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("k", "component")).alias("major")).filter("parts > 1").drop("parts")
-    mixed = cut(member.join(split.hint("merge"), "token"))
-    minor = mixed.filter("component != major").select("token", "node", "size", "hots", "component", "l", "hot")
-    other = mixed.select("token", *(F.col(x).alias(f"other_{x}") for x in ("node", "size", "hots", "component", "l")), "major")
-    met = minor.join(other.hint("merge"), "token").filter(f"component != other_component and (other_component = major or node < other_node) and {fits}")
-    pair = [F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")]
-    counted = met.groupBy(*pair).agg(F.count_if(~F.col("hot")).alias("rare"), F.count(F.lit(1)).alias("common"), F.first(F.least("hots", "other_hots")).alias("hots"), F.first(F.least("l", "other_l")).alias("l"))
-    rest = cut(counted.filter("greatest(common, rare + hots) >= l").select("a", "b").join(tried.hint("merge"), ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        group = components(links.union(linked(rest)), "a", "b")
+    wide = kept.filter("blocks > 1")
+    if not wide.isEmpty():
+        member = wide.join(group.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        major = member.groupBy("name", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("name").agg(F.max_by("component", F.struct("k", "component")).alias("major"))
+        member = member.join(major.hint("merge"), "name").select("name", "node", "block", "blocks", (F.col("component") != F.col("major")).alias("ask"))
+        guests = member.filter("ask").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        visit = guests.unionByName(member.filter("not ask")).drop("blocks")
+        group = components(links.unionByName(linked(visit, texts)), "a", "b")
 
     placed = sets.join(group.hint("merge"), "node", "left").withColumn("class", F.when(F.col("size") > 0, F.coalesce("component", "node")))
     least_id = placed.filter("class is not null").groupBy("class").agg(F.min("_id").alias("component_id"))
     return placed.join(least_id.hint("merge"), "class", "left").select(F.col("_id").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
-
