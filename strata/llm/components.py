@@ -9,12 +9,12 @@ from strata.llm.storage import cut
 
 
 def _star(edges: DataFrame) -> DataFrame:
-    """Each node's least neighbour (itself included) becomes the neighbour of its others."""
+    """The least of each node and its neighbours becomes the neighbour of all the others."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     joined = both.join(least.hint("merge"), "u")
-    large = joined.filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return large.union(least.filter("u != m").select("u", F.col("m").alias("v"))).distinct()
+    others = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return others.union(least.filter("u != m").select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
