@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 from strata.llm import columnar as c
 
 _HARD = re.compile(r"\s\s|^\s|\s$|[^\S \n]|<\|")
-_CACHED = 1 << 19
+_CACHED = 350_000
+_TAIL = ".,;:!?"
 
 
 class Encoder:
     """Ids as bytes. A pre-token of the byte-level pattern never reaches over a line feed or a space before a word, so texts
-    with single separators are put together from the ids of their pieces; others are encoded whole."""
+    with single separators are put together from the ids of their pieces; others are encoded whole. Nor does one reach over
+    the end of a word, so marks behind a word are pieces of their own. Pieces are kept in two generations of bounded size."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -36,10 +38,35 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
+    def _learn(self, new: set[str]) -> None:
+        known, older = self.known, self.older
+        parts: dict[str, tuple[str, str]] = {}
+        todo: set[str] = set()
+        for piece in new:
+            got = older.get(piece)
+            if got is not None:
+                known[piece] = got
+                continue
+            word = piece.rstrip(_TAIL)
+            parts[piece] = (word, piece[len(word) :]) if word and word != piece and word[-1].isalnum() else (piece, "")
+            todo.update(x for x in parts[piece] if x and x not in known)
+        for x in [x for x in todo if x in older]:
+            known[x] = older[x]
+            todo.discard(x)
+        wanted = list(todo)
+        for x, got in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False), strict=True):
+            known[x] = self._pack(got.ids)
+        for piece, (word, tail) in parts.items():
+            if tail:
+                known[piece] = known[word] + known[tail]
+        if "" in new:
+            known[""] = b""
+
     def encode(self, texts: list[str]) -> list[bytes]:
         end, feed = self._pack([0]), "\n"
         pieces: list[list[str] | None] = []
@@ -55,10 +82,8 @@ class Encoder:
                     mine += [" " + w for w in rest]
                 pieces.append(mine[1:])
         if len(self.known) > _CACHED:
-            self.known.clear()
-        new = list({p for mine in pieces if mine is not None for p in mine} - self.known.keys())
-        for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = self._pack(got.ids)
+            self.known, self.older = {}, self.known
+        self._learn({p for mine in pieces if mine is not None for p in mine} - self.known.keys())
         get = self.known.__getitem__
         return [(self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids) if mine is None else b"".join(map(get, mine))) + end for text, mine in zip(texts, pieces, strict=True)]
 
