@@ -1,8 +1,8 @@
 """Exact Jaccard self-join on word shingles, down to its connected components, by prefix filters under several global orders.
 
-Order 1 (hash of the shingle) is the one that is shuffled. A set of n shingles whose partners share at least o of them
-hands out its first n - o + l shingles; two similar sets then have at least l of these in common. That leaves room to drop
-what only meets by chance, as long as a set drops fewer than l / 2 of the shingles that it handed out:
+Order 1 is the one that is shuffled: long shingles first, as a long shingle is seldom met by chance, ties by hash. A set of
+n shingles whose partners share at least o of them hands out its first n - o + l shingles; two similar sets then have at
+least l of these in common. That leaves room to drop what only meets by chance, as long as a set drops fewer than l / 2 of the shingles that it handed out:
 
 * shingles handed out once are dropped; a set left with fewer than l of them is dropped;
 * shingles handed out more than ``frequent`` times are dropped from sets that have few of them, so texts that merely share a
@@ -33,29 +33,37 @@ _BLOOM_BITS = 1 << 25
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of every text, concatenated, and their offsets."""
+    return measured_sets(column, words)[:2]
+
+
+def measured_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with the number of word bytes of every shingle."""
     data, doc = c.text_buffer(column)
     found = c.find_words(c.lower_ascii(data), doc, c.SPACE_FREE)
     value = c.word_hashes(found)
     count = np.diff(found.off)
-    owner, token = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    length = np.concatenate([[0], np.cumsum(found.end - found.start)])
+    owner, token, size = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     if len(value) >= words:
         gram = c.gram_hashes(value, words)
         ends = np.repeat(found.off[1:], count)[: len(gram)]
         at = np.flatnonzero(np.arange(len(gram)) + words <= ends)
         owner.append(np.searchsorted(found.off, at, side="right") - 1)
         token.append(gram[at])
+        size.append(length[at + words] - length[at])
     for n in range(1, words):  # texts of fewer words are one shingle
         rows = np.flatnonzero(count == n)
         if len(rows):
             owner.append(rows)
             token.append(c.mix(c.gram_hashes(value, n)[found.off[rows]] + np.uint64(n)))
-    owner, token = np.concatenate(owner), np.concatenate(token)
+            size.append(length[found.off[rows] + n] - length[found.off[rows]])
+    owner, token, size = np.concatenate(owner), np.concatenate(token), np.concatenate(size)
     order = np.lexsort((token, owner))
-    owner, token = owner[order], token[order]
+    owner, token, size = owner[order], token[order], size[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-    owner, token = owner[new], token[new]
-    return token, np.searchsorted(owner, np.arange(len(count) + 1))
+    owner, token, size = owner[new], token[new], size[new]
+    return token, np.searchsorted(owner, np.arange(len(count) + 1)), size
 
 
 def set_names(token: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -88,14 +96,15 @@ class Filter:
 def _tokens(words: int, rule: Filter, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in c.slices(batches, "_x"):
-            token, off = shingle_sets(batch.column("_x"), words)
+            token, off, length = measured_sets(batch.column("_x"), words)
             size = np.diff(off)
             name = set_names(token, off)
             # equal sets of a batch hand out their shingles once
             first = np.zeros(len(size), bool)
             first[np.unique(name, return_index=True)[1]] = True
             owner = np.repeat(np.arange(len(size)), size)
-            rank = np.arange(len(token)) - off[:-1][owner]
+            rank = np.empty(len(token), np.int64)
+            rank[np.lexsort((token, -length, owner))] = np.arange(len(token)) - off[:-1][owner]
             keep = first[owner] & (rank < rule.prefix(size)[owner])
             owner = owner[keep]
             yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(name[owner]), pa.array(size[owner].astype(np.int32))], schema=schema)
