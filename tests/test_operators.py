@@ -62,7 +62,7 @@ def test_parents_of_the_fixture(spark):
 
 
 def test_zero_vectors_have_no_similarity(spark):
-    rows = spark.createDataFrame([(1, [1.0, 0, 0, 0]), (2, [0.0, 1, 0, 0]), (3, [0.6, 0.8, 0, 0]), (4, [0.0, 0, 0, 0])], "id int, embedding array<double>")
+    rows = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0, 0.0]), (3, [0.6, 0.8, 0.0, 0.0]), (4, [0.0, 0.0, 0.0, 0.0])], "id int, embedding array<double>")
     out = {r.id: r.similarity for r in retrieval.scored(rows, retrieval.query_vector(rows, "id", 1)).collect()}
     assert out == {1: 1.0, 2: 0.0, 3: pytest.approx(0.6)}
     haar = rows.filter("id = 3").select(v.unit(v.haar("embedding")).alias("h")).first().h
