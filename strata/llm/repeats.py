@@ -306,10 +306,11 @@ def remove_repeats(docs: DataFrame, unit: Unit, matcher: Matcher, *, doc_id: str
     copies = marks.groupBy("_h").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct("_k", "_s")).alias("_first")).filter("_c > 1")
     copied = marks.join(copies.hint("merge"), "_h").groupBy("_k", "_s").agg(F.max(F.struct("_k", "_s") != F.col("_first")).alias("_spare"))
 
-    keyed = rows.select("*", *key).repartition("_k", "_s")
+    # both joins need the same columns of it, so that they read one exchange
+    keyed = rows.select("_id", "_x", *key).repartition("_k", "_s")
     cut_schema = pa.schema([("_kind", pa.int32()), ("_key", pa.int64()), ("_id", pa.int64()), ("_t", pa.int64()), ("_first", pa.int64()), ("_count", pa.int64()), ("_body", pa.binary())])
     asked = keyed.join(runs.join(copied, ["_k", "_s"], "left").hint("merge"), ["_k", "_s"], "left").filter("_runs is not null and not coalesce(_spare, false)")
-    cut = asked.select("_id", "_t", "_x", "_runs", "_spare").mapInArrow(_pieces(unit, frequent, deals, cut_schema), "_kind int, _key long, _id long, _t long, _first long, _count long, _body binary")
+    cut = asked.select("_id", F.col("_s").alias("_t"), "_x", "_runs", "_spare").mapInArrow(_pieces(unit, frequent, deals, cut_schema), "_kind int, _key long, _id long, _t long, _first long, _count long, _body binary")
     found = cut.repartition("_kind", "_key").sortWithinPartitions("_kind", "_key").mapInArrow(_match(unit, matcher, held, pa.schema([("_id", pa.int64()), ("_t", pa.int64()), ("_span", pa.binary())])), "_id long, _t long, _span binary")
     spans = found.groupBy(*key).agg(F.collect_list("_span").alias("_spans"))
 
