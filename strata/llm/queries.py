@@ -1,4 +1,4 @@
-"""Queries of this subpackage: each operator over its whole table, and the SQL that gives the same rows."""
+"""Queries of this subpackage: each operator over its whole table. ORACLE has the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from strata.llm.html_layout import html_text
 from strata.llm.jaccard_join import jaccard_classes
 from strata.llm.mixing import mix_sources
 from strata.llm.mpeg_audio import audio_column
+from strata.llm.oracle import ORACLE
 from strata.llm.storage import new_path
 from strata.llm.substring_dedup import substring_dedup
 from strata.llm.suffix_dedup import suffix_dedup
@@ -85,4 +86,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
