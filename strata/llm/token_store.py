@@ -43,7 +43,7 @@ class Encoder:
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         known, older = self.known, self.older
         parts: dict[str, tuple[str, str]] = {}
         todo: set[str] = set()
@@ -83,7 +83,7 @@ class Encoder:
                 pieces.append(mine[1:])
         if len(self.known) > _CACHED:
             self.known, self.older = {}, self.known
-        self._learn({p for mine in pieces if mine is not None for p in mine} - self.known.keys())
+        self._learn([p for p in {p for mine in pieces if mine is not None for p in mine} if p not in self.known])
         get = self.known.__getitem__
         return [(self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids) if mine is None else b"".join(map(get, mine))) + end for text, mine in zip(texts, pieces, strict=True)]
 
