@@ -78,8 +78,8 @@ class CountOnlyViterbi:
         except KeyError:
             pass
         if len(known) > _CACHED:
-            known.clear()
-        for w in set(words) - known.keys():
+            known.clear()  # bounded memory
+        for w in [w for w in set(words) if w not in known]:
             known[w] = self.count(MARK + w)
         return len(words), sum(map(known.__getitem__, words))
 
