@@ -214,3 +214,14 @@ def sentences(text: Column | str) -> Column:
 
 def doi(text: Column | str) -> Column:
     return F.nullif(F.regexp_extract(text, r"(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)", 1), F.lit(""))
+
+
+def group_positions(found: Column, most: int, span: int) -> Column:
+    """Items (structs with start and end, in order) folded into groups of at most ``most`` items and ``span`` characters."""
+
+    def step(groups: Column, x: Column) -> Column:
+        last = F.try_element_at(groups, F.lit(-1))
+        fits = (F.size(groups) > 0) & (F.size(last) < most) & (x["end"] - last[0]["start"] <= span)
+        return F.when(fits, F.concat(F.slice(groups, 1, F.size(groups) - 1), F.array(F.concat(last, F.array(x))))).otherwise(F.concat(groups, F.array(F.array(x))))
+
+    return F.aggregate(found, F.array().cast("array<array<struct<start:int,end:int>>>"), step)

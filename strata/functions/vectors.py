@@ -57,6 +57,36 @@ def haar_pyramid(a: Column | str, levels: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), first, lambda p, _: F.concat(p, F.array(unit(haar(F.element_at(p, -1)))))) if levels else first
 
 
+#: Low-pass decomposition filters.
+LOW_PASS = {
+    "db1": (0.7071067811865476, 0.7071067811865476),
+    "db3": (0.03522629188570953, -0.08544127388202666, -0.13501102001025458, 0.45987750211849154, 0.8068915093110925, 0.33267055295008263),
+}
+
+
+def dwt(a: Column | str, wavelet: str = "db3") -> Column:
+    """Approximation of one level with symmetric padding; floor((n + filter - 1) / 2) values. For vectors of at least a filter's length."""
+    taps = LOW_PASS[wavelet]
+
+    def level(x: Column) -> Column:
+        n = F.size(x)
+
+        def value(k: Column) -> Column:
+            def term(j: int) -> Column:
+                m = 2 * k + 1 - j
+                at = F.when(m < 0, -m - 1).when(m >= n, 2 * n - 1 - m).otherwise(m)
+                return F.element_at(x, at.cast("int") + 1) * taps[j]
+
+            out = term(0)
+            for j in range(1, len(taps)):
+                out = out + term(j)
+            return out
+
+        return F.transform(F.sequence(F.lit(0), F.floor((n + len(taps) - 1) / 2).cast("int") - 1), value)
+
+    return let(as_double(a), level)
+
+
 def mean_vector(v: Column | str, at: int) -> Column:
     return F.avg(F.element_at(as_double(v), at))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,3 +103,28 @@ def domain_classify(states: DataFrame, centroids: DataFrame, members: DataFrame,
     z = pairs.join(peak, [state, domain]).groupBy(state, domain).agg(F.first("_m").alias("_m"), F.sum(F.exp(beta * (F.col("similarity") - F.col("_m")))).alias("_z"))
     e = -(F.col("_m") + F.ln("_z") / beta)
     return top_per(z.withColumn("confidence", F.exp(-e) / (1 + F.exp(-e))), state, k, domain, by="confidence").select(state, domain, "confidence", "rank")
+
+
+def leader_clusters(rows: DataFrame, context: str, key: str, vector: str = "embedding", least: float = 0.7) -> DataFrame:
+    """context, key, cluster: in the order of the key, an item joins the nearest centroid with a dot product over ``least`` and
+    moves it, else leads a new cluster. Order matters, so a context is one group: the concepts of one document."""
+    schema = f"{context} long, {key} long, cluster int"
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(key)
+        sums: list[np.ndarray] = []
+        found = []
+        for x in group[vector]:
+            x = np.asarray(x, float)
+            x = x / (np.linalg.norm(x) or 1.0)
+            near = [float(s @ x / (np.linalg.norm(s) or 1.0)) for s in sums]
+            best = int(np.argmax(near)) if near else -1
+            if best >= 0 and near[best] > least:
+                sums[best] = sums[best] + x
+            else:
+                best = len(sums)
+                sums.append(x)
+            found.append(best)
+        return pd.DataFrame({context: group[context], key: group[key], "cluster": found})
+
+    return rows.select(F.col(context).cast("long"), F.col(key).cast("long"), vector).groupBy(context).applyInPandas(fold, schema)

@@ -90,3 +90,9 @@ def ontology_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_sql("entities") + ", t AS (SELECT 'entity/' || entity_id AS s, unnest(['rdf:type', 'hasName', 'lineBegin', 'lineEnd', 'filePath']) AS p, unnest([etype, name, start_line::VARCHAR, end_line::VARCHAR, file]) AS o FROM entities) SELECT s, p, o FROM t")
 def entity_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.entity_triples(frame(spark, "entities"))
+
+
+@query("SELECT * FROM (VALUES ('a.f90', 1, 'a.f90', 1, 'x'), ('a.f90', 2, 'b.inc', 1, 'y'), ('a.f90', 3, 'b.inc', 2, 'include ' || chr(39) || 'a.f90' || chr(39)), ('a.f90', 4, 'a.f90', 3, 'z'), ('b.inc', 1, 'b.inc', 1, 'y'), ('b.inc', 2, 'a.f90', 1, 'x'), ('b.inc', 3, 'a.f90', 2, 'include \"b.inc\"'), ('b.inc', 4, 'a.f90', 3, 'z')) v(file, flat_line, source, line, text)")
+def include_flattening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("p", "a.f90", 'x\ninclude "b.inc"\nz'), ("p", "b.inc", "y\ninclude 'a.f90'")]
+    return code.source_map(spark.createDataFrame(rows, "project string, file string, text string")).drop("project")

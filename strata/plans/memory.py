@@ -122,3 +122,10 @@ def domain_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     out = m.domain_classify(rows.filter("vec_id % 50 = 0").select("vec_id", "embedding"), patterns(rows), rows.select("label", "embedding"), state="vec_id", domain="label", k=2)
     return _round(out, "vec_id", "label", "rank", digits=4)
+
+
+@query()
+def context_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twenty chunks are one context."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("context", F.expr("vec_id div 20"))
+    return m.leader_clusters(rows, "context", "vec_id", least=0.2)

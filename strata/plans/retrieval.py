@@ -134,3 +134,12 @@ def incremental_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that have no stored vector yet: the English documents stand for those stored."""
     stored = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("vec_id"))
     return table(spark, sf_dir, "embeddings").join(stored, "vec_id", "left_anti").select("vec_id", "label")
+
+
+_FIRST = " + ".join(f"({c!r}::DOUBLE) * v[{i}]" for c, i in zip(v.LOW_PASS["db3"], (2, 1, 1, 2, 3, 4), strict=True))
+
+
+@query(f"WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT vec_id, round({_FIRST}, 6) AS approx_first, 34 AS n_approx FROM n")
+def dwt_long_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", v.dwt("embedding", "db3").alias("a"))
+    return rows.select("vec_id", F.round(F.col("a")[0], 6).alias("approx_first"), F.size("a").alias("n_approx"))

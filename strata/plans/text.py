@@ -167,3 +167,11 @@ def keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def algorithmic_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(5, "do iteration until residual < tolerance; converge", ["iteration"]), (6, "residual of grid", ["residual_norm"]), (7, "print", [])], "entity_id int, code string, concepts array<string>")
     return rows.select("entity_id", F.inline(t.algorithmic_patterns(F.col("code"), F.col("concepts"))))
+
+
+@query("SELECT 1 AS doc_id, '0-3,5-8|20-22|60-63' AS groups")
+def pronoun_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = "array(named_struct('start', 0, 'end', 3), named_struct('start', 5, 'end', 8), named_struct('start', 20, 'end', 22), named_struct('start', 60, 'end', 63))"
+    groups = t.group_positions(F.expr(found), 3, 15)
+    text = F.array_join(F.transform(groups, lambda g: F.array_join(F.transform(g, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")), "|")
+    return spark.range(1).select(F.lit(1).alias("doc_id"), text.alias("groups"))

@@ -107,3 +107,31 @@ def entity_rows(files: DataFrame, parser: str = "code") -> DataFrame:
             yield out.astype({k: "Int64" for k in ("start_line", "end_line", "line")})
 
     return files.select("file", "text").mapInPandas(run, "file string, kind string, name string, etype string, start_line int, end_line int, parent string, access string, signature string, line int")
+
+
+_INCLUDE = re.compile(r"^\s*(?:#\s*)?include\s+['\"]([^'\"]+)['\"]", re.I)
+
+
+def flatten(file: str, texts: dict[str, str]) -> Iterator[tuple[str, int, str]]:
+    """(source file, line, text) of a file with its includes in place; an include of an open or unknown file stays a line."""
+
+    def walk(name: str, open_: tuple[str, ...]) -> Iterator[tuple[str, int, str]]:
+        for n, line in enumerate(texts[name].split("\n"), 1):
+            m = _INCLUDE.match(line)
+            if m and m[1] in texts and m[1] not in open_:
+                yield from walk(m[1], (*open_, m[1]))
+            else:
+                yield name, n, line
+
+    return walk(file, (file,))
+
+
+def source_map(files: DataFrame) -> DataFrame:
+    """project, file, flat_line, source, line, text of all files (project, file, text); a project is put together in one task."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        texts = dict(zip(group["file"], group["text"].fillna(""), strict=True))
+        rows = [(group["project"].iloc[0], f, i, *r) for f in sorted(texts) for i, r in enumerate(flatten(f, texts), 1)]
+        return pd.DataFrame(rows, columns=["project", "file", "flat_line", "source", "line", "text"])
+
+    return files.select("project", "file", "text").groupBy("project").applyInPandas(run, "project string, file string, flat_line int, source string, line int, text string")
