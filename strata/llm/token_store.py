@@ -10,7 +10,8 @@ that it knows will do and the commit protocol covers lost or repeated tasks.
 from __future__ import annotations
 
 import hashlib
-import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,70 +23,94 @@ from pyspark.sql import functions as F
 
 from strata.llm import columnar as c
 
-_HARD = re.compile(r"\s\s|^\s|\s$|[^\S \n]|<\|")
 _CACHED = 350_000
 _TAIL = ".,;:!?"
 
 
 class Encoder:
     """Ids as bytes. A pre-token of the byte-level pattern never reaches over a line feed or a space before a word, so texts
-    with single separators are put together from the ids of their pieces; others are encoded whole. Nor does one reach over
-    the end of a word, so marks behind a word are pieces of their own. Pieces are kept in two generations of bounded size."""
+    with single separators are put together from the ids of their words; others are encoded whole. Nor does one reach over the
+    end of a word, so marks behind a word are encoded apart. Words are kept in two generations of bounded size, those behind a
+    space and those that start a line each in their own dictionary."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+
+    def forget(self) -> None:
+        self.known, self.older = ({}, {}), ({}, {})
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        known, older = self.known, self.older
-        parts: dict[str, tuple[str, str]] = {}
-        todo: set[str] = set()
-        for piece in new:
-            got = older.get(piece)
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _learn(self, spaced: int, new: set[str]) -> None:
+        """Ids of words that are not known, behind a space (1) or not (0)."""
+        known, older = self.known[spaced], self.older[spaced]
+        bare, bare_older = self.known[0], self.older[0]
+        parts: list[tuple[str, str, str]] = []
+        words: dict[str, None] = {}
+        tails: dict[str, None] = {}
+        for word in new:
+            got = older.get(word)
             if got is not None:
-                known[piece] = got
+                known[word] = got
                 continue
-            word = piece.rstrip(_TAIL)
-            parts[piece] = (word, piece[len(word) :]) if word and word != piece and word[-1].isalnum() else (piece, "")
-            todo.update(x for x in parts[piece] if x and x not in known)
-        for x in [x for x in todo if x in older]:
-            known[x] = older[x]
-            todo.discard(x)
-        wanted = list(todo)
-        for x, got in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False), strict=True):
-            known[x] = self._pack(got.ids)
-        for piece, (word, tail) in parts.items():
-            if tail:
-                known[piece] = known[word] + known[tail]
-        if "" in new:
-            known[""] = b""
+            core = word.rstrip(_TAIL)
+            if core != word and core and core[-1].isalnum():
+                tail = word[len(core) :]
+                parts.append((word, core, tail))
+                if core not in known:
+                    words[core] = None
+                if tail not in bare:
+                    tails[tail] = None
+            else:
+                words[word] = None
+        for table, from_, wanted, lead in ((known, older, words, " " * spaced), (bare, bare_older, tails, "")):
+            unseen = []
+            for word in wanted:
+                got = from_.get(word)
+                if got is None:
+                    unseen.append(word)
+                else:
+                    table[word] = got
+            for word, got in zip(unseen, self.tokenizer.encode_batch_fast([lead + w for w in unseen], add_special_tokens=False), strict=True):
+                table[word] = self._pack(got.ids)
+        for word, core, tail in parts:
+            known[word] = known[core] + bare[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        end, feed = self._pack([0]), "\n"
-        pieces: list[list[str] | None] = []
-        for text in texts:
-            if _HARD.search(text):
-                pieces.append(None)
+        end, out = self._pack([0]), []
+        split: list[list[list[str]] | None] = [None if _hard(text) else [line.split(" ") for line in text.split("\n")] for text in texts]
+        if len(self.known[0]) + len(self.known[1]) > _CACHED:
+            self.known, self.older = ({}, {}), self.known
+        first, rest = {"\n"}, set()
+        for lines in split:
+            for words in lines or ():
+                first.add(words[0])
+                rest.update(words[1:])
+        self._learn(0, first.difference(self.known[0]))
+        self._learn(1, rest.difference(self.known[1]))
+        bare, spaced = (d.__getitem__ for d in self.known)
+        feed = bare("\n")
+        for text, lines in zip(texts, split, strict=True):
+            if lines is None:
+                out.append(self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids) + end)
             else:
-                mine: list[str] = []
-                for line in text.split("\n"):
-                    first, *rest = line.split(" ")
-                    mine.append(feed)
-                    mine.append(first)
-                    mine += [" " + w for w in rest]
-                pieces.append(mine[1:])
-        if len(self.known) > _CACHED:
-            self.known, self.older = {}, self.known
-        self._learn([p for p in {p for mine in pieces if mine is not None for p in mine} if p not in self.known])
-        get = self.known.__getitem__
-        return [(self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids) if mine is None else b"".join(map(get, mine))) + end for text, mine in zip(texts, pieces, strict=True)]
+                out.append(feed.join(bare(words[0]) + b"".join(map(spaced, words[1:])) for words in lines) + end)
+        return out
+
+
+def _hard(text: str) -> bool:
+    """Whether separators are not single spaces and line feeds between words, or a special token may stand in the text."""
+    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1:] in " \n" or "<|" in text or not text.replace("\n", "").isprintable()
 
 
 def _encoder(path: str, _made: dict = {}) -> Encoder:  # noqa: B006  one for each worker
@@ -144,7 +169,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, doc_id: str = "d
         if had > sample_bytes:
             break
     data = train_dictionary(arrays, dictionary_bytes)
-    encoder.known.clear()
+    encoder.forget()
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("_id").asc_nulls_first(), F.col("_x").asc_nulls_first()]
     laid = rows.repartitionByRange(shards, order[0]).sortWithinPartitions(*order)
