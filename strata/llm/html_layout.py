@@ -24,6 +24,8 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset menu xmp".split())
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog dir div dt figcaption footer form header hgroup html legend li main nav optgroup option search section summary caption".split())
+#: Elements that leave a head open; all others, and words, end it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title script style template noscript noframes".split())
 #: An opening tag closes the nearest open element of the second set, unless one of the third stands between.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -46,6 +48,7 @@ FORMATTING = frozenset("a b i em strong u s small big font code tt nobr strike s
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_NOSCRIPT = re.compile(r"<(?:(/noscript)|/head|body)(?=[\s/>])", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -78,13 +81,22 @@ def _shown(name: str, attributes: str) -> bool:
 
 
 def build_tree(source: str) -> Node:
-    """Elements of a page under one root, with implied end tags; unknown end tags are ignored."""
+    """Elements of a page under one root, with implied end tags (also of a head); unknown end tags are ignored."""
     root = Node("#root")
     open_ = [root]
     at = 0
 
+    def end_head() -> None:
+        """Closes a head, and a noscript in it, whose end tag is left out; what is deeper (a template) keeps its content."""
+        if open_[-1].name == "head":
+            open_.pop()
+        elif open_[-1].name == "noscript" and open_[-2].name == "head":
+            del open_[-2:]
+
     def text(part: str) -> None:
         if part:
+            if open_[-1].name in ("head", "noscript") and not part.isspace():
+                end_head()
             open_[-1].children.append(html.unescape(part) if "&" in part else part)
 
     def close(names: set | frozenset, barrier: set | frozenset) -> None:
@@ -109,6 +121,8 @@ def build_tree(source: str) -> Node:
             else:
                 close({name}, {"table"} if name not in ("table", "body", "html") and name not in CLOSES else set())
             continue
+        if name not in IN_HEAD:
+            end_head()
         if name in ENDS_P:
             close({"p"}, SCOPE)
         if name in CLOSES:
@@ -130,6 +144,9 @@ def build_tree(source: str) -> Node:
                 node.children.append(html.unescape(body))
             at = stop.end() if stop else len(source)
             continue
+        if name == "noscript" and open_[-1].name == "head" and (stop := _NOSCRIPT.search(source, at)) and stop[1]:
+            at = stop.start()  # not shown where scripts run, whatever stands in it
+            continue
         open_.append(node)
         if len(open_) > 512:  # deeper elements keep their text with the element above
             open_.pop()
