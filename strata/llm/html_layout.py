@@ -21,9 +21,13 @@ from strata.llm import columnar as c
 #: Fixed values of HTML: elements without content, with raw content, never shown, and shown as blocks (with or without a margin).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas datalist".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset menu xmp".split())
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog dir div dt figcaption footer form header hgroup html legend li main nav optgroup option search section summary caption".split())
+#: Never drawn inside of svg and math; elements there that stand apart from their neighbours.
+NOT_DRAWN = frozenset("desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter annotation annotation-xml mphantom".split())
+APART = frozenset("text foreignobject mtr mtd".split())
+GROUPS = frozenset("thead tbody tfoot".split())
 #: Elements that leave a head open; all others, and words, end it.
 IN_HEAD = frozenset("html head base basefont bgsound link meta title script style template noscript noframes".split())
 #: An opening tag closes the nearest open element of the second set, unless one of the third stands between.
@@ -49,6 +53,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _NOSCRIPT = re.compile(r"<(?:(/noscript)|/head|body)(?=[\s/>])", re.I)
+#: Tables that would take more characters with their padding are not aligned; their text is whole.
+_MOST_PADDED = 1 << 24
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -58,6 +64,7 @@ class Node:
     attributes: str = ""
     children: list[Node | str] = field(default_factory=list)
     shown: bool = True
+    apart: bool = False
 
     def attribute(self, name: str) -> str | None:
         for m in _ATTRIBUTE.finditer(self.attributes):
@@ -66,8 +73,8 @@ class Node:
         return None
 
 
-def _shown(name: str, attributes: str) -> bool:
-    if name in HIDDEN:
+def _shown(name: str, attributes: str, drawn: bool) -> bool:
+    if name in HIDDEN or drawn and name in NOT_DRAWN:
         return False
     if not attributes or attributes.isspace():
         return True
@@ -77,6 +84,8 @@ def _shown(name: str, attributes: str) -> bool:
     node = Node(name, attributes)
     if node.attribute("hidden") is not None or (name == "input" and (node.attribute("type") or "").lower() == "hidden"):
         return False
+    if drawn and (node.attribute("display") == "none" or node.attribute("visibility") in ("hidden", "collapse")):
+        return False
     return not _HIDE.search(node.attribute("style") or "")
 
 
@@ -85,6 +94,7 @@ def build_tree(source: str) -> Node:
     root = Node("#root")
     open_ = [root]
     at = 0
+    drawings = False
 
     def end_head() -> None:
         """Closes a head, and a noscript in it, whose end tag is left out; what is deeper (a template) keeps its content."""
@@ -129,14 +139,20 @@ def build_tree(source: str) -> Node:
             close(*CLOSES[name])
         elif len(name) == 2 and name[0] == "h" and name[1].isdigit() and open_[-1].name in ("h1", "h2", "h3", "h4", "h5", "h6"):
             open_.pop()
+        attributes = m[3] or ""
+        closed = attributes.endswith("/")
+        drawn = drawings and any(n.name in ("svg", "math") for n in open_)
         if name in ("td", "th") and open_[-1].name in ("table", "thead", "tbody", "tfoot"):
             row = Node("tr")
             open_[-1].children.append(row)
             open_.append(row)
-        node = Node(name, m[3] or "", shown=_shown(name, m[3] or ""))
+        node = Node(name, attributes, shown=_shown(name, attributes, drawn), apart=drawn and name in APART)
         open_[-1].children.append(node)
-        if name in VOID or (m[3] or "").endswith("/") and name not in BLOCK and name not in FORMATTING and name not in RAW and name not in CLOSES:
+        if name in VOID or closed and (drawn or name not in BLOCK and name not in FORMATTING and name not in RAW and name not in CLOSES):
             continue
+        if name == "form" and (open_[-1].name in GROUPS or open_[-1].name in ("table", "tr")):
+            continue  # what follows belongs to the table
+        drawings = drawings or name in ("svg", "math")
         if name in RAW:
             stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
             body = source[at : stop.start() if stop else len(source)]
@@ -259,34 +275,71 @@ def _fill(node: Node, page: Page, pre: bool, depth: int) -> None:
         elif name in ("img", "input", "wbr", "hr"):
             page.word_space() if name != "wbr" else None
         else:
+            if child.apart:
+                page.word_space()
             _fill(child, page, pre or name == "textarea", depth + 1)
+            if child.apart:
+                page.word_space()
+
+
+def _loose(node: Node) -> Iterator[Node | str]:
+    """What is no row, also in row groups. A browser moves it out of the table, so that a hidden group does not hide it."""
+    for child in node.children:
+        if isinstance(child, Node) and (child.name in GROUPS or child.name == "colgroup"):
+            yield from _loose(child)
+        elif isinstance(child, str) or child.name != "tr":
+            yield child
 
 
-def _rows(node: Node) -> Iterator[Node]:
+def _groups(node: Node) -> Iterator[list[Node]]:
+    """Rows of each row group; rows next to each other directly in the table are a group."""
+    own: list[Node] = []
     for child in node.children:
-        if isinstance(child, Node) and child.shown:
-            if child.name == "tr":
-                yield child
-            elif child.name in ("thead", "tbody", "tfoot", "form"):
-                yield from _rows(child)
+        if isinstance(child, Node) and child.name in GROUPS:
+            yield own
+            own = []
+            if child.shown:
+                yield [x for x in child.children if isinstance(x, Node) and x.shown and x.name == "tr"]
+        elif isinstance(child, Node) and child.shown and child.name == "tr":
+            own.append(child)
+    yield own
+
+
+def _span(cell: Node, name: str, other: int) -> int:
+    span = (cell.attribute(name) or "").strip() if name in cell.attributes.lower() else ""
+    return int(span) if re.fullmatch(r"[0-9]{1,9}", span) else other
 
 
 def _table(node: Node, page: Page, depth: int) -> None:
-    """Text that stands outside of rows comes first; cells of a column have equal width and columns are two spaces apart."""
-    loose = Node("div", children=[x for x in node.children if isinstance(x, str) or x.name not in ("tr", "thead", "tbody", "tfoot", "colgroup", "form")])
-    _fill(loose, page, False, depth)
+    """Text that stands outside of rows comes first; cells of a column have equal width and columns are two spaces apart.
+
+    A cell's text stands in the first of its rows; in the others its columns stay empty. Rows are aligned unless that takes
+    more than 16 M characters.
+    """
+    _fill(Node("div", children=list(_loose(node))), page, False, depth)
     page.end_line()
     grid: list[list[tuple[list[str], int]]] = []
-    for row in _rows(node):
-        cells: list[tuple[list[str], int]] = []
-        stray = [x for x in row.children if isinstance(x, str) and x.strip() or isinstance(x, Node) and x.shown and x.name not in ("td", "th")]
-        for cell in ([Node("td", children=stray)] if stray else []) + [x for x in row.children if isinstance(x, Node) and x.shown and x.name in ("td", "th")]:
-            inner = Page()
-            _fill(cell, inner, False, depth)
-            span = cell.attribute("colspan") if "colspan" in cell.attributes.lower() else None
-            cells.append((inner.text().split("\n"), min(int(span), 100) if span and span.isdigit() and int(span) else 1))
-        if any(any(lines) for lines, _ in cells):
-            grid.append(cells)
+    for rows in _groups(node):
+        held: dict[int, int] = {}  # column -> first row of the group in which it is free again
+        for at_row, row in enumerate(rows):
+            cells, at = [], 0
+            stray = [x for x in row.children if isinstance(x, str) and x.strip() or isinstance(x, Node) and x.shown and x.name not in ("td", "th", "form")]
+            for cell in ([Node("td", children=stray)] if stray else []) + [x for x in row.children if isinstance(x, Node) and x.shown and x.name in ("td", "th")]:
+                inner = Page()
+                _fill(cell, inner, False, depth)
+                free = at
+                while held.get(free, 0) > at_row:
+                    free += 1
+                if free > at:
+                    cells.append(([""], free - at))
+                span = min(_span(cell, "colspan", 1) or 1, 100)
+                end = min(at_row + (_span(cell, "rowspan", 1) or len(rows)), len(rows))
+                if end > at_row + 1:
+                    held |= {x: max(held.get(x, 0), end) for x in range(free, free + span)}
+                cells.append((inner.text().split("\n"), span))
+                at = free + span
+            if any(any(lines) for lines, _ in cells):
+                grid.append(cells)
     width: list[int] = []
     for cells in grid:
         at = 0
@@ -295,6 +348,8 @@ def _table(node: Node, page: Page, depth: int) -> None:
             if span == 1:
                 width[at] = max(width[at], *map(len, lines))
             at += span
+    if (sum(width) + 2 * len(width)) * len(grid) > _MOST_PADDED:
+        grid, width = [[(lines, 1) for lines, _ in cells if any(lines)] for cells in grid], [0] * len(width)
     for cells in grid:
         for k in range(max(len(lines) for lines, _ in cells)):
             out, at = [], 0
@@ -309,7 +364,10 @@ def _table(node: Node, page: Page, depth: int) -> None:
 
 
 def visible_text(source: str | None) -> str:
-    """All text that a page shows. None and pages without visible text give the empty string."""
+    """All text that a page shows, also in svg, math and outside of table rows; None and pages without visible text give the empty string.
+
+    As where scripts run: no noscript. Not followed: style sheets, and what an svg only refers to (defs, symbols).
+    """
     page = Page()
     _fill(build_tree(source or ""), page, False, 0)
     return page.text()

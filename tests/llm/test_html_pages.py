@@ -20,3 +20,53 @@ from strata.llm.html_layout import visible_text
 )
 def test_head_without_end_tag(page, text):
     assert visible_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<table><tbody>Note<tr><td>1</table>", "Note\n1"),
+        ("<table><form>Search<tr><td>1</form></table>z", "Search\n1\n\nz"),
+        ("<table><tbody><form><p>In</p><tr><td>1<td>2</table>", "In\n\n1  2"),
+        ("<table><form><td>1<td>2</table>", "1  2"),
+        ("<table><tr><form><td>1<td>2</form></table>", "1  2"),
+        ("<table><colgroup>Note<tr><td>1</table>", "Note\n1"),
+        ("<table><tfoot hidden>Note<tr><td>no</tfoot><tr><td>1</table>", "Note\n1"),
+    ],
+)
+def test_text_outside_of_rows(page, text):
+    assert visible_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("a <svg><title>no</title><defs><text>no</text></defs><text>b</text><text>c<tspan>d</tspan></text></svg> e", "a b cd e"),
+        ("<svg><title/><style/><path d='M0'/><text display='none'>no</text><text fill='none'>x</text></svg><p>y", "x\n\ny"),
+        ("<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>no</annotation></semantics></math>.", "so x=1."),
+        ("<filter>a</filter> <desc>b</desc>", "a b"),
+    ],
+)
+def test_drawings_and_formulas(page, text):
+    assert visible_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e</table>", "a  b  c\nd     e"),
+        ("<table><tr><td rowspan=2 colspan=2>a<td>b<tr><td>c<tr><td>1<td>2<td>3</table>", "a     b\n      c\n1  2  3"),
+        ("<table><thead><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>", "a  b\nc  d"),
+        ("<table><tr><td rowspan=2>a<td rowspan=2>b<tr></tr><tr><td>c</table>", "a  b\nc"),
+        ("<table><tr><td rowspan=x>a<td rowspan=-1>b<tr><td>c</table>", "a  b\nc"),
+    ],
+)
+def test_rowspan(page, text):
+    assert visible_text(page) == text
+
+
+def test_wide_tables_keep_their_text():
+    n = 3000
+    text = visible_text("<table>" + "".join(f"<tr><td rowspan=0>word{k}" for k in range(n)) + "</table>")
+    assert text.split() == [f"word{k}" for k in range(n)] and len(text) < 100 * n
