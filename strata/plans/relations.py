@@ -17,11 +17,10 @@ def transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def relation_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring ids of one label stand for examples of a relation; maps are fitted and applied to every 50th vector."""
+    """Neighbouring ids stand for examples of a relation, the parity of the first's label; maps are fitted on all of them and applied to every 50th vector, with all vectors as concepts."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
     pairs = e.alias("x").join(e.alias("y"), F.col("y.id") == F.col("x.id") + 1).select(F.concat(F.lit("r"), (F.col("x.label") % 2).cast("string")).alias("relation"), F.col("x.vec").alias("s"), F.col("y.vec").alias("o"))
-    centroids = e.filter("id < 40").select("id", "vec")
-    return r.predict(e.filter("id % 50 = 0").select("id", "vec"), r.fit_maps(pairs, 64), centroids, 3, 0.1).select("subject", "relation", "object", "rank", F.round("similarity", 5).alias("similarity"))
+    return r.predict(e.filter("id % 50 = 0").select("id", "vec"), r.fit_maps(pairs, 64), e.select("id", "vec"), 3, 0.1).select("subject", "relation", "object", "rank", F.round("similarity", 5).alias("similarity"))
 
 
 @query("""WITH e AS (SELECT DISTINCT o_orderstatus AS relation, o_custkey AS s, o_custkey % 97 AS o FROM orders UNION SELECT DISTINCT 'rev', o_custkey % 97, o_custkey FROM orders WHERE o_custkey < 90 UNION SELECT DISTINCT 'rev', o_custkey, o_custkey % 97 FROM orders WHERE o_custkey < 90), b AS (SELECT e.*, f.s IS NOT NULL AS back FROM e LEFT JOIN e f ON f.relation = e.relation AND f.s = e.o AND f.o = e.s)
