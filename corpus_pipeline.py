@@ -2,7 +2,8 @@
 mixed to their target weights, and token ids are stored.
 
 Every stage takes (spark, docs, sf_dir), works on all that the stage before kept, and but for the last returns the columns of
-its input. Null texts are kept by the filters; the mix takes nothing of texts without words.
+its input. Decisions go back to rows by a key of the whole row, so null and repeated doc_ids do not matter. Null texts are kept
+by the filters; the mix takes nothing of texts without words.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.llm.decontaminate import contaminated_words, is_contaminated
@@ -21,38 +22,53 @@ from strata.llm.token_store import read_tokens, write_tokens
 from strata.llm.toxicity import toxicity
 
 
-def _only(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """Rows of docs whose doc_id is among ids; a null doc_id matches null."""
-    wanted = ids.select(F.col(column).alias("_wanted")).distinct()
-    return docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
+def _with_key(docs: DataFrame) -> DataFrame:
+    """Adds _row, a 64-bit hash of all columns: rows share it if they are equal in everything, whatever their doc_id."""
+    return docs.withColumn("_row", F.xxhash64(*(x for c in docs.columns for x in (F.col(c), F.col(c).isNull()))))
+
+
+def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of docs (with _row) whose key is not a doc_id of judged."""
+    bad = judged.select(F.col("doc_id").alias("_row")).distinct()
+    return docs.join(bad.hint("merge"), "_row", "left_anti").drop("_row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain does not reject."""
+    """Documents that the classifier chain does not reject; each row is judged by its own text."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = toxicity(docs, labels)
-    rejected = judged.filter("rejected").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(rejected.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    keyed = _with_key(docs)
+    return _without(keyed, toxicity(keyed, labels, labelled=docs.withColumn("_row", F.col("doc_id")), doc_id="_row").filter("rejected"))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group that links of similarity 0.8 or more on five-word shingles connect."""
-    groups = jaccard_classes(docs, words=5, threshold=(8, 10))
-    return _only(docs, groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One row of each group that links of similarity 0.8 or more on five-word shingles connect, that with the least doc_id.
+
+    A null doc_id counts as largest, and of rows with the least doc_id that of the least key stays, once. Rows without words
+    are no group: all stay.
+    """
+    keyed = _with_key(docs)
+    groups = jaccard_classes(keyed, words=5, threshold=(8, 10), doc_id="_row").select(F.col("doc_id").alias("_row"), "n_shingles", "component_id").distinct()
+    named = groups.filter("n_shingles > 0").join(keyed.select("_row", "doc_id").distinct().hint("merge"), "_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("first"))
+    wanted = first.select("first._row", F.lit(True).alias("_once")).unionByName(groups.filter("n_shingles = 0").select("_row", F.lit(False).alias("_once")))
+    kept = keyed.join(wanted.hint("merge"), "_row").withColumn("_number", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
+    return kept.filter("_number = 1 or not _once").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than a twentieth stand in benchmark windows."""
+    """Documents of whose words less than a twentieth stand in benchmark windows; each row is judged by its own text."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    dirty = contaminated_words(docs, items).filter(is_contaminated()).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(dirty.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    keyed = _with_key(docs)
+    return _without(keyed, contaminated_words(keyed, items, doc_id="_row").filter(is_contaminated()))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, rounded to whole documents."""
-    taken = mix_sources(docs).groupBy("doc_id").agg((F.max(F.round(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int")).alias("_times")).filter("_times > 0").withColumnRenamed("doc_id", "_mixed")
-    repeated = docs.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_mixed"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return repeated.select(*docs.columns)
+    """Each row as often as the mix takes its words, rounded to whole documents; equal rows together as often as the sum."""
+    keyed = _with_key(docs)
+    times = F.sum(F.round(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int")
+    taken = mix_sources(keyed, doc_id="_row").groupBy(F.col("doc_id").alias("_row")).agg(times.alias("_times")).filter("_times > 0")
+    one = keyed.join(taken.hint("merge"), "_row").withColumn("_number", F.row_number().over(Window.partitionBy("_row").orderBy("_row"))).filter("_number = 1")
+    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def store_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
