@@ -3,8 +3,9 @@
 A window is ``length`` consecutive tokens of one document. The plan never compares documents pairwise:
 
 1. Every window names one of its token grams (the smallest by hash), so equal windows name equal grams. Only
-   (gram, document, first window, windows) rows are shuffled; grams seen once are dropped by a count and a join, which
-   Spark can split where a gram is frequent.
+   (gram, document, first window, windows) rows are written once, counted with partial sums, and joined to the counts of
+   grams seen twice. Grams of more than 1/4096 of all counted rows, at most 4096 of them, are joined by broadcast, so
+   no task of the join gets a frequent gram's rows.
 2. Windows of the remaining grams are cut out of the texts, with whole-text copies standing in once, and dealt by gram.
    A group holds at most ``frequent`` of them. A matcher (suffix automaton, run-length index) tells which windows of a
    group occur twice.
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import columnar as c
+from strata.llm.storage import cut, stored
 
 #: rows of one group: (document key, first window, windows, content); gives spans (row, first window, windows).
 Matcher = Callable[[list[list[bytes]]], list[list[np.ndarray]]]
@@ -43,6 +45,8 @@ class Unit:
     words: bool
     length: int
     gram: int
+    #: passages of this many tokens are noticed, though not removed; 0: none
+    notice: int = 0
 
     def view(self, column: pa.Array) -> Tokens:
         data, doc = c.text_buffer(column)
@@ -93,14 +97,18 @@ def named_grams(tokens: Tokens, unit: Unit) -> Iterator[tuple[np.ndarray, np.nda
 
 
 def _fingerprints(unit: Unit, schema: pa.Schema):
+    """Rows of named grams, and with _where -1 those of the grams by which shorter passages are noticed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in c.slices(batches, "_x"):
             tokens = unit.view(batch.column("_x"))
-            key, salt = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("_id", "_t"))
-            for gram, first, count in named_grams(tokens, unit):
-                row = np.searchsorted(tokens.off, first, side="right") - 1
-                where = ((first - tokens.off[row]) << 22) | count
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(key[row]), pa.array(salt[row]), pa.array(where)], schema=schema)
+            key, salt = (batch.column(k) for k in ("_id", "_t"))
+            for other in [unit, *([Unit(unit.words, unit.notice, unit.notice // 2)] if unit.notice else [])]:
+                for gram, first, count in named_grams(tokens, other):
+                    row = np.searchsorted(tokens.off, first, side="right") - 1
+                    where = ((first - tokens.off[row]) << 22) | count if other is unit else np.full(len(row), -1)
+                    row = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), key.take(row), salt.take(row), pa.array(where)], schema=schema)
 
     return run
 
@@ -255,6 +263,8 @@ def _outcome(unit: Unit, schema: pa.Schema):
             words = c.find_words(data, doc, c.SPACE_FREE) if unit.words else None
             off = words.off if words else doc
             edge = np.zeros(int(off[-1]) + 1, np.int32)
+            least = unit.notice or unit.length
+            seen = np.array([x is not None for x in batch.column("_spans").to_pylist()], bool) | (batch.column("_copied").to_numpy(zero_copy_only=False).astype(bool) & (np.diff(off) >= least))
             for row, (whole, packed) in enumerate(zip(batch.column("_copied").to_pylist(), batch.column("_spans").to_pylist(), strict=True)):
                 lo, hi = int(off[row]), int(off[row + 1])
                 if whole:
@@ -281,13 +291,16 @@ def _outcome(unit: Unit, schema: pa.Schema):
             owner = np.searchsorted(off, np.flatnonzero(head), side="right") - 1
             span = pa.StructArray.from_arrays([pa.array(np.flatnonzero(head) - off[owner]), pa.array(np.flatnonzero(tail) + 1 - off[owner])], ["start", "end"])
             spans = pa.ListArray.from_arrays(pa.array(heads[off].astype(np.int32)), span)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(np.diff(off)), pa.array(total[off[1:]] - total[off[:-1]]), spans, c.binary_array(kept, at)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(np.diff(off)), pa.array(total[off[1:]] - total[off[:-1]]), spans, c.binary_array(kept, at), pa.array(seen | (total[off[1:]] > total[off[:-1]]))], schema=schema)
 
     return run
 
 
 def remove_repeats(docs: DataFrame, unit: Unit, matcher: Matcher, *, doc_id: str = "doc_id", text: str = "text", frequent: int = 1024, held: int = 4 << 20) -> DataFrame:
-    """doc_id, n_units, n_removed, spans (removed runs, maximal), kept (bytes). See the module for the plan.
+    """doc_id, n_units, n_removed, spans (removed runs, maximal), kept (bytes), repeats. See the module for the plan.
+
+    repeats: whether anything is removed or, with ``unit.notice``, a passage of that many tokens starts elsewhere, too; then
+    none of less than half of them counts, and those between may (they are known by a gram of that size).
 
     frequent: rows of a gram's group above which its windows are dealt by their own hash. held: bytes of content that a
     matcher gets at once, besides one group.
@@ -298,9 +311,14 @@ def remove_repeats(docs: DataFrame, unit: Unit, matcher: Matcher, *, doc_id: str
     rows = docs.select(F.col(doc_id).cast("bigint").alias("_id"), raw.alias("_x")).withColumn("_t", F.xxhash64("_x"))
     key = [F.coalesce(F.col("_id"), F.lit(-(1 << 62))).alias("_k"), F.col("_t").alias("_s")]
 
-    grams = rows.mapInArrow(_fingerprints(unit, pa.schema([("_gram", pa.int64()), ("_id", pa.int64()), ("_t", pa.int64()), ("_where", pa.int64())])), "_gram long, _id long, _t long, _where long")
-    often = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    runs = grams.join(often.hint("merge"), "_gram").groupBy(*key).agg(F.collect_list(F.struct("_where", "_gram", F.least("_n", F.lit(1 << 40)).alias("_n"))).alias("_runs"))
+    drawn = rows.mapInArrow(_fingerprints(unit, pa.schema([("_gram", pa.int64()), ("_id", pa.int64()), ("_t", pa.int64()), ("_where", pa.int64())])), "_gram long, _id long, _t long, _where long")
+    grams = stored(drawn, "grams")
+    often = cut(grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
+    counted = often.agg(F.sum("_n")).first()[0] or 0
+    heavy = F.broadcast(often.filter(F.col("_n") * 4096 > counted))
+    rare = grams.join(heavy, "_gram", "left_anti").join(often.filter(F.col("_n") * 4096 <= counted).hint("merge"), "_gram")
+    named = rare.unionByName(grams.join(heavy, "_gram"))
+    runs = named.filter("_where >= 0").groupBy(*key).agg(F.collect_set(F.struct("_where", "_gram", F.least("_n", F.lit(1 << 40)).alias("_n"))).alias("_runs"))
 
     marks = rows.select(*key, F.sha2("_x", 256).alias("_h"))
     copies = marks.groupBy("_h").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct("_k", "_s")).alias("_first")).filter("_c > 1")
@@ -309,13 +327,15 @@ def remove_repeats(docs: DataFrame, unit: Unit, matcher: Matcher, *, doc_id: str
     # both joins need the same columns of it, so that they read one exchange
     keyed = rows.select("_id", "_x", *key).repartition("_k", "_s")
     cut_schema = pa.schema([("_kind", pa.int32()), ("_key", pa.int64()), ("_id", pa.int64()), ("_t", pa.int64()), ("_first", pa.int64()), ("_count", pa.int64()), ("_body", pa.binary())])
-    asked = keyed.join(runs.join(copied, ["_k", "_s"], "left").hint("merge"), ["_k", "_s"], "left").filter("_runs is not null and not coalesce(_spare, false)")
-    cut = asked.select("_id", F.col("_s").alias("_t"), "_x", "_runs", "_spare").mapInArrow(_pieces(unit, frequent, deals, cut_schema), "_kind int, _key long, _id long, _t long, _first long, _count long, _body binary")
-    found = cut.repartition("_kind", "_key").sortWithinPartitions("_kind", "_key").mapInArrow(_match(unit, matcher, held, pa.schema([("_id", pa.int64()), ("_t", pa.int64()), ("_span", pa.binary())])), "_id long, _t long, _span binary")
-    spans = found.groupBy(*key).agg(F.collect_list("_span").alias("_spans"))
+    one = keyed.groupBy("_k", "_s").agg(F.first("_id").alias("_id"), F.first("_x").alias("_x"))
+    asked = one.join(runs.join(copied, ["_k", "_s"], "left").hint("merge"), ["_k", "_s"], "left").filter("_runs is not null and not coalesce(_spare, false)")
+    pieces = asked.select("_id", F.col("_s").alias("_t"), "_x", "_runs", "_spare").mapInArrow(_pieces(unit, frequent, deals, cut_schema), "_kind int, _key long, _id long, _t long, _first long, _count long, _body binary")
+    found = pieces.repartition("_kind", "_key").sortWithinPartitions("_kind", "_key").mapInArrow(_match(unit, matcher, held, pa.schema([("_id", pa.int64()), ("_t", pa.int64()), ("_span", pa.binary())])), "_id long, _t long, _span binary")
+    noticed = named.filter("_where < 0").select(*key, F.lit(None).cast("binary").alias("_span")).distinct()
+    spans = found.select(*key, "_span").unionByName(noticed).groupBy("_k", "_s").agg(F.collect_list("_span").alias("_spans"))
 
     full = keyed.join(copied.hint("merge"), ["_k", "_s"], "left").join(spans.hint("merge"), ["_k", "_s"], "left")
     return full.select("_id", "_x", F.col("_spare").isNotNull().alias("_copied"), "_spans").mapInArrow(
-        _outcome(unit, pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])),
-        "doc_id long, n_units long, n_removed long, spans array<struct<start:long,end:long>>, kept binary",
+        _outcome(unit, pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("repeats", pa.bool_())])),
+        "doc_id long, n_units long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, repeats boolean",
     )

@@ -22,6 +22,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The frame's rows, written once to the shared folder and read from there by all that follows."""
+    path = new_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The frame's rows from a reliable checkpoint, so lost executors cost no recomputation of what led here."""
     spark = frame.sparkSession

@@ -97,8 +97,9 @@ def substring_dedup(docs: DataFrame, *, length: int = 35, doc_id: str = "doc_id"
     """Removes every word that a window of ``length`` words covers whose words also start anywhere else.
 
     Gives doc_id, n_words, n_removed, spans (word ranges), kept (UTF-8, words joined by one space). Null texts and texts
-    of fewer words than a window keep all they have; an empty table gives an empty result.
+    of fewer words than a window keep all they have; rows of equal doc_id and text each get their row; all places of a repeated
+    window go, so no tie arises; an empty table gives an empty result; other columns are ignored.
     """
     gram = 1 << max(0, (length // 4).bit_length() - 1)
     out = remove_repeats(docs, Unit(True, length, gram), AutomatonMatcher(length), doc_id=doc_id, text=text, frequent=frequent)
-    return out.withColumnRenamed("n_units", "n_words")
+    return out.withColumnRenamed("n_units", "n_words").drop("repeats")

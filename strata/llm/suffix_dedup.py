@@ -62,14 +62,26 @@ def _carried(place: np.ndarray, match: np.ndarray, n: int) -> np.ndarray:
 def _prefix_ranks(text: np.ndarray) -> list[np.ndarray]:
     """Ranks of suffixes by their first 1, 2, 4, ... symbols until all differ."""
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    out, have = [rank.astype(np.int32)], 1
+    bits = np.uint64((max(n, int(text.max(initial=0))) + 1).bit_length())
+    rank, out, have = text.astype(np.uint64), [text.astype(np.int32)], 1
+    place, one = np.arange(n, dtype=np.uint64), np.uint64(1)
     while True:
-        pair = rank * (n + 1)
-        pair[: n - have] += rank[have:] + 1
-        order = np.argsort(pair, kind="stable")
-        step = np.r_[0, pair[order][1:] != pair[order][:-1]].cumsum()
-        rank = np.empty(n, np.int64)
+        if 3 * bits <= 64:  # one sort of plain values: rank, rank of the second half, place
+            key = rank << bits
+            key[: n - have] |= rank[have:] + one
+            key <<= bits
+            key |= place
+            key.sort()
+            order = (key & ((one << bits) - one)).view(np.int64)
+            key >>= bits
+        else:
+            key = rank * np.uint64(n + int(text.max()) + 2)
+            key[: n - have] += rank[have:] + one
+            order = np.argsort(key)
+            key = key[order]
+        step = np.zeros(n, np.uint64)
+        np.cumsum(key[1:] != key[:-1], out=step[1:])
+        rank = np.empty(n, np.uint64)
         rank[order] = step
         out.append(rank.astype(np.int32))
         have *= 2
@@ -109,12 +121,14 @@ class RunLengthMatcher:
         return [[next(found) for _ in g] for g in groups]
 
 
-def suffix_dedup(docs: DataFrame, *, length: int = 400, doc_id: str = "doc_id", text: str = "text", frequent: int = 1024) -> DataFrame:
+def suffix_dedup(docs: DataFrame, *, length: int = 400, notice: int = 320, doc_id: str = "doc_id", text: str = "text", frequent: int = 1024) -> DataFrame:
     """Removes every byte that a string of ``length`` bytes covers which also starts anywhere else.
 
-    Gives doc_id, n_bytes, n_removed, spans (byte ranges), kept (bytes; a removal may cut inside a character). Null is the
-    empty text; texts shorter than ``length`` stay; an empty table gives an empty result.
+    Gives doc_id, n_bytes, n_removed, spans (byte ranges), kept (bytes; a removal may cut inside a character), repeats (whether
+    a string of ``notice`` bytes starts elsewhere: passages of 50 words are often shorter than ``length``; they are only marked).
+    Null is the empty text; texts shorter than ``length`` stay; rows of equal doc_id and text each get their row; ties do not
+    arise, as all places of a repeated string go; an empty table gives an empty result; other columns are ignored.
     """
     gram = 1 << max(0, (length // 4).bit_length() - 1)
-    out = remove_repeats(docs, Unit(False, length, gram), RunLengthMatcher(length), doc_id=doc_id, text=text, frequent=frequent, held=1 << 20)
+    out = remove_repeats(docs, Unit(False, length, gram, notice), RunLengthMatcher(length), doc_id=doc_id, text=text, frequent=frequent, held=1 << 18)
     return out.withColumnRenamed("n_units", "n_bytes")
