@@ -8,6 +8,7 @@ category apart best, on a sample of labelled rows whose size is bounded by a par
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -110,41 +111,69 @@ def chain_odds(chain: list[Linear], row: np.ndarray, feature: np.ndarray, n: int
     return before
 
 
+_SKETCH = "_id long, _t long, _y array<double>, _f binary"
+_SKETCH_SCHEMA = pa.schema([("_id", pa.int64()), ("_t", pa.int64()), ("_y", pa.list_(pa.float64())), ("_f", pa.binary())])
+
+
+def _sketch(categories: int):
+    """Labels and packed features of labelled rows; a task gives rows of equal id and text once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in c.slices(batches, "_x"):
+            keys = list(zip(batch.column("_id").to_pylist(), batch.column("_t").to_pylist(), strict=True))
+            fresh = [i for i, key in enumerate(keys) if key not in seen and not seen.add(key)]
+            if not fresh:
+                continue
+            batch = batch.take(pa.array(fresh))
+            row, feature = text_features(batch.column("_x"))
+            edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            packed = [feature[a:z].astype("<u4").tobytes() for a, z in zip(edge, edge[1:], strict=False)]
+            y = list(zip(*(batch.column(f"_y{k}").to_pylist() for k in range(categories)), strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_t"), pa.array(y, pa.list_(pa.float64())), pa.array(packed, pa.binary())], schema=_SKETCH_SCHEMA)
+
+    return run
+
+
+def _fit(categories: int):
+    """The sample is one task's input; it has ``sample`` rows at most, so the task does not grow with the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            rows += zip(*(batch.column(k).to_pylist() for k in ("_id", "_t", "_y", "_f")), strict=True)
+        if not rows:
+            return
+        rows.sort(key=lambda r: r[:2])
+        feature = [np.frombuffer(r[3], "<u4") for r in rows]
+        seen = np.zeros(1 << _BITS, np.int32)
+        for f in feature:
+            seen[f] += 1  # features of a document are distinct
+        feature = [f[seen[f] >= LEAST_SEEN].astype(np.int32) for f in feature]
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f in feature])
+        chain = fit_chain(row, np.concatenate(feature), np.array([r[2] for r in rows]).reshape(-1, categories))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chain)], pa.binary())], names=["chain"])
+
+    return run
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, *, labelled: DataFrame | None = None, categories: tuple[str, ...] = ("quality", "toxic"), sample: int = 8_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, p_<category> for each in the order of the chain, rejected (the last category is likelier than not), row by row.
 
-    labels: doc_id and a 0/1 column for each category. At most ``sample`` labelled rows, those of the least hash, fit the chain;
+    labels: doc_id and a 0/1 column for each category; of several labels of one id each category's largest counts. At most ``sample``
+    labelled documents, those of the least hash of their ids, fit the chain, in one task; rows of equal id and text count once.
     labelled: the documents that labels speak of, where that is another table than docs.
-    Rows with a null label or doc_id are not fitted on. A null text has no words. Without labels all odds are even less than likely and nothing is rejected.
+    Rows with a null label or doc_id are not fitted on. A null or empty text has no words. Without labels all odds are even less
+    than likely and nothing is rejected. Repeated rows each get a row; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    known = labels.select(F.col("doc_id").cast("bigint").alias("_id"), *(F.col(k).cast("double").alias(f"_y{i}") for i, k in enumerate(categories))).dropna().dropDuplicates(["_id"])
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    known = labels.select(F.col("doc_id").cast("bigint").alias("_id"), *(F.col(k).cast("double").alias(f"_y{i}") for i, k in enumerate(categories))).dropna()
+    known = known.groupBy("_id").agg(*(F.max(f"_y{i}").alias(f"_y{i}") for i in range(len(categories)))).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     source = docs if labelled is None else labelled
     rows = source.select(F.col(doc_id).cast("bigint").alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_x")).join(F.broadcast(known), "_id")
-    ys = [f"_y{i}" for i in range(len(categories))]
-    schema = pa.schema([("_id", pa.int64()), *((y, pa.float64()) for y in ys), ("_f", pa.binary())])
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in c.slices(batches, "_x"):
-            row, feature = text_features(batch.column("_x"))
-            edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            packed = [feature[a:z].astype("<u4").tobytes() for a, z in zip(edge, edge[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), *(batch.column(y) for y in ys), pa.array(packed, pa.binary())], schema=schema)
-
-    ids, feature, y = [], [], []
-    for r in rows.mapInArrow(sketch, "_id long, " + ", ".join(f"{k} double" for k in ys) + ", _f binary").toLocalIterator():
-        ids.append(r._id)
-        feature.append(np.frombuffer(r._f, "<u4"))
-        y.append([r[k] for k in ys])
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], feature[i].tobytes()))
-    seen = np.zeros(1 << _BITS, np.int32)
-    for f in feature:
-        seen[f] += 1  # features of a document are distinct
-    feature = [f[seen[f] >= LEAST_SEEN].astype(np.int32) for f in (feature[i] for i in order)]
-    row = np.repeat(np.arange(len(ids), dtype=np.int32), [len(f) for f in feature])
-    y = np.array([y[i] for i in order]).reshape(-1, len(ys))
-    chain = fit_chain(row, np.concatenate([*feature, np.zeros(0, np.int32)]), y)
+    drawn = rows.withColumn("_t", F.xxhash64("_x")).mapInArrow(_sketch(len(categories)), _SKETCH).dropDuplicates(["_id", "_t"]).orderBy(F.xxhash64("_id"), "_id", "_t").limit(sample)
+    fitted = drawn.mapInArrow(_fit(len(categories)), "chain binary").first()
+    chain: list[Linear] = pickle.loads(fitted.chain) if fitted else fit_chain(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros((0, len(categories))))
     wanted = np.zeros(1 << _BITS, bool)
     for model in chain:
         wanted[model.feature] = True
