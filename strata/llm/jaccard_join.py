@@ -300,8 +300,12 @@ def jaccard_classes(docs: DataFrame, *, words: int = 5, threshold: tuple[int, in
         member = wide.join(group.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         major = member.groupBy("name", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("name").agg(F.max_by("component", F.struct("k", "component")).alias("major"))
         member = member.join(major.hint("merge"), "name").select("name", "node", "block", "blocks", (F.col("component") != F.col("major")).alias("ask"))
-        guests = member.filter("ask").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        visit = guests.unionByName(member.filter("not ask")).drop("blocks")
+        # a piece of at most about ``block`` guests meets one block at a time, so no task holds more than two blocks
+        pieces = member.filter("ask").groupBy("name").agg(F.expr(f"(count(1) + {block - 1}) div {block}").alias("pieces"))
+        member = member.join(pieces.hint("merge"), "name").withColumn("home", F.col("block"))
+        guests = member.filter("ask").withColumn("piece", F.pmod(F.xxhash64("node", "name"), F.col("pieces"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        hosts = member.withColumn("ask", F.lit(False)).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+        visit = guests.unionByName(hosts).select("name", "node", "ask", (F.col("block") * F.col("pieces") + F.col("piece")).alias("block"))
         group = components(links.unionByName(linked(visit, texts)), "a", "b")
 
     placed = sets.join(group.hint("merge"), "node", "left").withColumn("class", F.when(F.col("size") > 0, F.coalesce("component", "node")))
