@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata import config
@@ -46,12 +50,39 @@ def detect_language(text: Column | str) -> Column:
 
 def info_density(text: Column | str) -> Column:
     """Half the share of distinct content words (100 at most) plus up to 0.2 for word length over three; 0 for empty texts."""
-    w, all_words = words(text, 3), words(text)
-    terms = F.least(F.size(F.array_except(F.array_distinct(w), F.array(*map(F.lit, config.KEYWORD_STOPS)))), F.lit(100))
-    n = F.greatest(F.size(all_words), F.lit(1))
-    mean = F.aggregate(all_words, F.lit(0), lambda a, x: a + F.length(x)) / n
-    score = terms / n * 0.5 + F.least((mean - 3) / 3, F.lit(1.0)) * 0.2
-    return F.when(F.length(text) == 0, 0.0).otherwise(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
+
+    def score(tokens: Column) -> Column:
+        content = F.filter(tokens, lambda x: (F.length(x) > 2) & ~x.isin(*config.KEYWORD_STOPS))
+        n = F.greatest(F.size(tokens), F.lit(1))
+        mean = F.aggregate(tokens, F.lit(0), lambda a, x: a + F.length(x)) / n
+        return F.least(F.size(F.array_distinct(content)), F.lit(100)) / n * 0.5 + F.least((mean - 3) / 3, F.lit(1.0)) * 0.2
+
+    # a lambda's argument is computed once, so the text is split once
+    value = F.transform(F.array(words(text)), score)[0]
+    return F.when(F.length(text) == 0, 0.0).otherwise(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
+
+
+def top_words(rows: DataFrame, key: str, tokens: str, k: int) -> DataFrame:
+    """key (long), word, n, rank: the k most frequent strings of each row's array, ties by first place. Counted inside Arrow batches: nothing is shuffled."""
+    schema = pa.schema([(key, pa.int64()), ("word", pa.string()), ("n", pa.int64()), ("rank", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            coded = lists.flatten().dictionary_encode()
+            if not len(coded):
+                continue
+            row, code = np.repeat(np.arange(len(size)), size), coded.indices.to_numpy()
+            pair, first, n = np.unique(row * len(coded.dictionary) + code, return_index=True, return_counts=True)
+            row = row[first]
+            order = np.lexsort((first, -n, row))
+            row, first, n = row[order], first[order], n[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+            use = rank <= k
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[use])), coded.dictionary.take(pa.array(code[first[use]])), pa.array(n[use]), pa.array(rank[use])], schema=schema)
+
+    return rows.select(F.col(key).cast("long").alias(key), tokens).mapInArrow(count, f"{key} long, word string, n long, rank long")
 
 
 def unique_keywords(text: Column | str, most: int = 10) -> Column:

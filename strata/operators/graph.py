@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions import text as t
-from strata.operators.ontology import closure
+from strata.storage import cut
 
 #: Keywords of important modules, base sizes of drawn nodes, weights (local, global, semantic) of roles and tasks.
 CORE_NAMES, CORE_CONCEPTS = ("main", "core", "base", "driver"), ("solver", "grid", "simulation")
@@ -96,21 +96,38 @@ def impact(e: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def subgraph(edges: DataFrame, start: int, depth: int = 2, most: int = 50) -> DataFrame:
-    """node, level: what a node reaches over uses and calls within ``depth`` hops, nearest first, at most ``most`` nodes."""
-    links = edges.filter("kind in ('uses', 'calls')").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
-    far = closure(links, depth).filter((F.col("start") == start) & (F.col("node") != start)).select("node", F.col("distance").alias("level"))
-    return far.unionByName(edges.sparkSession.createDataFrame([(start, 0)], "node int, level int")).orderBy("level", "node").limit(most)
+    """node, level: what a node reaches over uses and calls within ``depth`` hops, nearest first, at most ``most`` nodes. The walk starts at the node."""
+    links = edges.filter("kind in ('uses', 'calls')").select(F.col("src_id").alias("node"), F.col("dst_id").alias("next")).distinct()
+    seen = now = cut(edges.sparkSession.createDataFrame([(start, 0)], "node int, level int"))
+    for level in range(1, depth + 1):
+        now = cut(now.join(links, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("level", F.lit(level)))
+        if now.isEmpty():
+            break
+        seen = seen.unionByName(now)
+    return seen.orderBy("level", "node").limit(most)
+
+
+def cyclic_core(links: DataFrame) -> DataFrame:
+    """What is left of links(a, b) when nodes without a link in or out go, round by round: empty if and only if there is no cycle."""
+    core = cut(links.select("a", "b").distinct())
+    n = core.count()
+    while n:
+        core = cut(core.join(core.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(core.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+        n, before = core.count(), n
+        if n == before:
+            break
+    return core
 
 
-def cycles(e: DataFrame, uses: DataFrame, longest: int = 4) -> DataFrame:
-    """Simple cycles of USE links up to a length, each once, from its least name."""
+def cycles(e: DataFrame, uses: DataFrame) -> DataFrame:
+    """Simple cycles of USE links, of any length, each once, from its least name. Paths grow in the cyclic core only."""
     links = resolved(e, uses).filter("dst_id is not null").join(e.select(F.col("entity_id").alias("src_id"), F.lower("name").alias("a")), "src_id").select("a", F.lower("dst_name").alias("b")).filter("a != b").distinct()
-    paths = links.filter("a < b").select(F.col("a").alias("first"), F.col("b").alias("last"), F.array("a", "b").alias("path"))
-    found = None
-    for _ in range(longest - 1):
-        closed = paths.join(links, (F.col("last") == F.col("a")) & (F.col("first") == F.col("b"))).select(F.array_join(F.concat("path", F.array("first")), " -> ").alias("cycle"))
-        found = closed if found is None else found.unionByName(closed)
-        paths = paths.join(links, F.col("last") == F.col("a")).filter("b > first and not array_contains(path, b)").select("first", F.col("b").alias("last"), F.concat("path", F.array("b")).alias("path"))
+    links = cyclic_core(links)
+    paths = cut(links.filter("a < b").select(F.col("a").alias("first"), F.col("b").alias("last"), F.array("a", "b").alias("path")))
+    found = paths.filter("false").select(F.lit("").alias("cycle"))
+    while not paths.isEmpty():
+        found = found.unionByName(cut(paths.join(links, (F.col("last") == F.col("a")) & (F.col("first") == F.col("b"))).select(F.array_join(F.concat("path", F.array("first")), " -> ").alias("cycle"))))
+        paths = cut(paths.join(links, F.col("last") == F.col("a")).filter("b > first and not array_contains(path, b)").select("first", F.col("b").alias("last"), F.concat("path", F.array("b")).alias("path")))
     return found.distinct()
 
 
@@ -119,27 +136,25 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-def weak_components(edges: DataFrame, nodes: DataFrame, rounds: int = 12) -> DataFrame:
-    """node, component: least node id that links reach; labels spread along links and jump to their label's label."""
-    both = edges.select("src_id", "dst_id").union(edges.select("dst_id", "src_id")).toDF("node", "other").distinct().persist()
-    label = nodes.select("node", F.col("node").alias("component")).persist()
-    for _ in range(rounds):
+def weak_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, component: least node id that links reach; labels spread along links and jump to their label's label until none changes."""
+    both = cut(edges.select("src_id", "dst_id").union(edges.select("dst_id", "src_id")).toDF("node", "other").distinct())
+    label = cut(nodes.select("node", F.col("node").alias("component")).distinct())
+    while True:
         near = both.join(label.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
         new = label.join(near, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"))
-        new = new.join(new.select(F.col("node").alias("component"), F.col("component").alias("jump")), "component").select("node", F.least("component", "jump").alias("component")).persist()
-        same = new.join(label, ["node", "component"], "left_anti").isEmpty()
+        new = cut(new.join(new.select(F.col("node").alias("component"), F.col("component").alias("jump")), "component").select("node", F.least("component", "jump").alias("component")))
+        if new.join(label, ["node", "component"], "left_anti").isEmpty():
+            return new
         label = new
-        if same:
-            break
-    return label
 
 
 def metrics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: nodes, edges, density, weakly connected components, whether the graph has no cycle."""
-    links = edges.select("src_id", "dst_id").filter("src_id != dst_id").distinct()
+    links = cut(edges.select("src_id", "dst_id").filter("src_id != dst_id").distinct())
     n, m = nodes.agg(F.count(F.lit(1)).alias("n_nodes")), links.agg(F.count(F.lit(1)).alias("n_edges"))
     parts = weak_components(links, nodes).agg(F.countDistinct("component").alias("n_components"))
-    back = closure(links.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")), 32).agg((F.count_if(F.col("start") == F.col("node")) == 0).alias("acyclic"))
+    back = cyclic_core(links.toDF("a", "b")).agg((F.count(F.lit(1)) == 0).alias("acyclic"))
     return n.crossJoin(m).crossJoin(parts).crossJoin(back).withColumn("density", F.coalesce(F.try_divide(F.col("n_edges"), F.col("n_nodes") * (F.col("n_nodes") - 1)), F.lit(0.0)))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strata import config
 from strata.functions import vectors as v
 from strata.operators.retrieval import top_per
+from strata.storage import cut
 
 
 def similarities(states: DataFrame, patterns: DataFrame, *, state: str, pattern: str, vector: str = "embedding") -> DataFrame:
@@ -40,10 +41,12 @@ def update(weighted: DataFrame, patterns: DataFrame, state: str, pattern: str, s
 
 
 def energy(pairs: DataFrame, state: str, beta: float = config.HOPFIELD_BETA) -> DataFrame:
-    """-logsumexp(beta * similarity) / beta over all patterns, and the confidence e^-E / (1 + e^-E)."""
-    peak = pairs.groupBy(state).agg(F.max("similarity").alias("_m"))
-    summed = pairs.join(peak, state).groupBy(state).agg(F.first("_m").alias("_m"), F.sum(F.exp(beta * (F.col("similarity") - F.col("_m")))).alias("_z"))
-    e = -(F.col("_m") + F.ln("_z") / beta)
+    """-logsumexp(beta * similarity) / beta over all patterns, and the confidence e^-E / (1 + e^-E).
+
+    No cosine exceeds 1, so the sum is taken from there down in one aggregate; that holds for any beta under 350.
+    """
+    summed = pairs.groupBy(state).agg(F.sum(F.exp(beta * (F.col("similarity") - 1))).alias("_z"))
+    e = -(1 + F.ln("_z") / beta)
     return summed.select(state, e.alias("energy"), (F.exp(-e) / (1 + F.exp(-e))).alias("confidence"))
 
 
@@ -66,19 +69,17 @@ def classify_cascade(pairs: DataFrame, hierarchy: DataFrame, levels: int, *, sta
     hierarchy: pattern, parent (null at level 1), level. The result is flat: level and the path from the root. Children are filtered by parent first, then ranked.
     """
     scored = pairs.withColumn("confidence", (F.col("similarity") + 1) / 2).filter(F.col("confidence") >= least)
-    accepted, out = None, None
-    for level in range(1, levels + 1):
-        here = hierarchy.filter(F.col("level") == level).select(pattern, "parent")
-        rows = scored.join(here, pattern)
-        if accepted is None:
-            rows = rows.withColumn("path", F.array(F.col(pattern).cast("string")))
-        else:
-            above = accepted.select(state, F.col(pattern).alias("parent"), F.col("path").alias("_above"))
-            rows = rows.join(above, [state, "parent"]).withColumn("path", F.concat("_above", F.array(F.col(pattern).cast("string")))).drop("_above")
-        accepted = top_per(rows.withColumn("_g", F.concat_ws("|", F.col(state).cast("string"), F.coalesce(F.col("parent").cast("string"), F.lit("")))), "_g", k, pattern, by="confidence").drop("_g", "rank").withColumn("level", F.lit(level))
-        flat = accepted.select(state, pattern, "level", "confidence", F.array_join("path", "/").alias("path"))
-        out = flat if out is None else out.unionByName(flat)
-    return out
+    rows = scored.join(hierarchy.filter(F.col("level") <= levels).select(pattern, "parent", "level"), pattern)
+    # the rank among a parent's children does not depend on what is accepted above, so one window serves all levels
+    order = Window.partitionBy(state, "level", "parent").orderBy(F.desc("confidence"), pattern)
+    best = cut(rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).select(state, pattern, "parent", "level", "confidence"))
+    above = best.filter("level = 1").withColumn("path", F.col(pattern).cast("string"))
+    out = above
+    for level in range(2, levels + 1):
+        upper = above.select(state, F.col(pattern).alias("parent"), F.col("path").alias("_above"))
+        above = best.filter(F.col("level") == level).join(upper, [state, "parent"]).withColumn("path", F.concat_ws("/", "_above", F.col(pattern).cast("string"))).drop("_above")
+        out = out.unionByName(above)
+    return out.select(state, pattern, F.col("level").cast("int").alias("level"), "confidence", "path")
 
 
 def auto_detect(pairs: DataFrame, levels: DataFrame, *, state: str, pattern: str, most: int, least: float) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.storage import cut
+
 #: Compatibility of related concepts by relation.
 RELATION_SCORES = {"semantic_equivalent": 0.9, "semantic_similar": 0.7, "semantic_related": 0.5, "semantic_opposite": -0.5, "semantic_exclusive": -0.9}
 
@@ -36,54 +38,66 @@ def concept_semantics(triples: DataFrame) -> DataFrame:
     return classes.join(wide, "s").select(F.col("s").alias("uri"), F.coalesce("pref", "label", tail).alias("label"), F.coalesce("comment", "definition", F.lit("")).alias("description"))
 
 
-def closure(edges: DataFrame, depth: int) -> DataFrame:
-    """start, node, distance: shortest distances up to ``depth`` over edges(src, dst), by hops; terminates on cycles as every round keeps only new pairs.
+def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """start, node, distance: shortest distances over edges(src, dst), up to ``depth`` if it is given.
 
-    Each round is persisted, so that a round's plan does not contain all before it, and the first empty round ends it.
+    Every round joins what is reached with itself, so distances double and a chain of n links takes log2(n) rounds; each
+    round is checkpointed, and a round that changes nothing is the last. Cycles end, as only the least distance of a pair stays.
     """
-    now = edges.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("distance")).distinct().persist()
-    out = now
-    step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
-    for hop in range(2, depth + 1):
-        new = now.join(step, "node").select("start", F.col("next").alias("node")).distinct().join(out.select("start", "node"), ["start", "node"], "left_anti")
-        now = new.withColumn("distance", F.lit(hop)).persist()
-        if now.isEmpty():
+    reach = cut(edges.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("distance")).distinct())
+    state = None
+    while depth is None or depth > 1:
+        now = tuple(reach.agg(F.count(F.lit(1)), F.sum("distance")).first())
+        if now == state:
             break
-        out = out.unionByName(now)
-    return out
+        state = now
+        on = reach.select(F.col("start").alias("node"), F.col("node").alias("next"), F.col("distance").alias("more"))
+        far = reach.join(on, "node").select("start", F.col("next").alias("node"), (F.col("distance") + F.col("more")).alias("distance"))
+        every = reach.unionByName(far if depth is None else far.filter(F.col("distance") <= depth))
+        reach = cut(every.groupBy("start", "node").agg(F.min("distance").alias("distance")))
+    return reach
 
 
-def concept_levels(axioms: DataFrame, depth: int = 8) -> DataFrame:
+def concept_levels(axioms: DataFrame) -> DataFrame:
     """1 for roots, else one more than the least level of a parent. Concepts of cycles that no root reaches are at level 3."""
     up = parents(axioms)
     nodes = up.select(F.explode(F.array("child", "parent")).alias("uri")).distinct()
     roots = nodes.join(up.select(F.col("child").alias("uri")), "uri", "left_anti")
-    down = closure(up.select(F.col("parent").alias("src"), F.col("child").alias("dst")), depth).join(roots.withColumnRenamed("uri", "start"), "start", "left_semi")
+    down = closure(up.select(F.col("parent").alias("src"), F.col("child").alias("dst"))).join(roots.withColumnRenamed("uri", "start"), "start", "left_semi")
     best = down.groupBy(F.col("node").alias("uri")).agg((F.min("distance") + 1).alias("level"))
     return nodes.join(roots.withColumn("_root", F.lit(1)), "uri", "left").join(best, "uri", "left").select("uri", F.coalesce("_root", "level", F.lit(3)).alias("level"))
 
 
-def subconcepts(axioms: DataFrame, depth: int = 8) -> DataFrame:
+def subconcepts(axioms: DataFrame) -> DataFrame:
     """ancestor, uri: every concept below another, itself left out."""
     up = parents(axioms)
-    return closure(up.select(F.col("parent").alias("src"), F.col("child").alias("dst")), depth).filter("start != node").select(F.col("start").alias("ancestor"), F.col("node").alias("uri"))
+    return closure(up.select(F.col("parent").alias("src"), F.col("child").alias("dst"))).filter("start != node").select(F.col("start").alias("ancestor"), F.col("node").alias("uri"))
+
 
+def hierarchy_chains(axioms: DataFrame) -> DataFrame:
+    """uri and the path from its root, over the first parent of each concept; in a cycle a path ends before it meets itself.
 
-def hierarchy_chains(axioms: DataFrame, depth: int = 8) -> DataFrame:
-    """uri and the path from its root, over the first parent of each concept."""
+    A round puts the path of a path's top before it, so paths double.
+    """
     first = parents(axioms).groupBy("child").agg(F.min("parent").alias("parent"))
     nodes = parents(axioms).select(F.explode(F.array("child", "parent")).alias("uri")).distinct()
-    chain = nodes.select("uri", F.col("uri").alias("top"), F.array("uri").alias("path"))
-    for _ in range(depth):
-        chain = chain.join(first, F.col("top") == F.col("child"), "left").select("uri", F.when(F.col("parent").isNull() | F.array_contains("path", F.col("parent")), F.lit(None)).otherwise(F.col("parent")).alias("next"), "top", "path")
-        chain = chain.select("uri", F.coalesce("next", "top").alias("top"), F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat(F.array("next"), F.col("path"))).alias("path"))
-    return chain.select("uri", F.array_join("path", " > ").alias("chain"))
-
-
-def validate(axioms: DataFrame, relations: DataFrame, depth: int = 8) -> DataFrame:
+    chain = nodes.join(first, F.col("uri") == F.col("child"), "left").select("uri", F.when(F.col("parent").isNull() | (F.col("parent") == F.col("uri")), F.array("uri")).otherwise(F.array("parent", "uri")).alias("path"), F.coalesce(F.col("parent") == F.col("uri"), F.lit(True)).alias("done"))
+    while True:
+        chain = cut(chain)
+        if chain.filter("not done").isEmpty():
+            return chain.select("uri", F.array_join("path", " > ").alias("chain"))
+        above = chain.select(F.col("uri").alias("top"), F.col("path").alias("_above"), F.col("done").alias("_ended"))
+        met = F.transform(F.reverse(F.slice("_above", F.lit(1), F.size("_above") - 1)), lambda x: F.array_contains("path", x))
+        rows = chain.withColumn("top", F.col("path")[0]).join(above, "top").withColumn("_met", met)
+        met = F.col("_met")
+        new = F.when(F.col("done"), 0).when(F.array_contains(met, True), F.array_position(met, True) - 1).otherwise(F.size(met)).cast("int")
+        chain = rows.select("uri", F.concat(F.slice("_above", F.size("_above") - new, new), "path").alias("path"), (F.col("done") | F.col("_ended") | F.array_contains(met, True)).alias("done"))
+
+
+def validate(axioms: DataFrame, relations: DataFrame) -> DataFrame:
     """kind, uri: concepts that are their own ancestors; relations without domain or range."""
     up = parents(axioms)
-    cycles = closure(up.select(F.col("child").alias("src"), F.col("parent").alias("dst")), depth).filter("start = node").select(F.lit("cycle").alias("kind"), F.col("start").alias("uri"))
+    cycles = closure(up.select(F.col("child").alias("src"), F.col("parent").alias("dst"))).filter("start = node").select(F.lit("cycle").alias("kind"), F.col("start").alias("uri"))
 
     def without(kind: str) -> DataFrame:
         return relations.join(axioms.filter(F.col("type") == kind).select(F.col("source").alias("uri")), "uri", "left_anti").select(F.lit(f"no_{kind}").alias("kind"), "uri")

@@ -56,7 +56,7 @@ def concept_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH l AS (SELECT 'geo#world' AS uri, 1 AS level UNION ALL SELECT 'geo#' || r_name, 2 FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name UNION ALL SELECT 'geo#' || n_name, 3 FROM nation UNION ALL SELECT DISTINCT 'geo#' || c_name, 4 FROM customer) SELECT level, count(*) AS n FROM l GROUP BY level""")
 def concept_level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.concept_levels(_hierarchy(spark, sf_dir), 4).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    return o.concept_levels(_hierarchy(spark, sf_dir)).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(CLOSE + " SELECT DISTINCT start AS ancestor, node AS uri FROM reach WHERE start <> node")
@@ -67,12 +67,12 @@ def subconcepts_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT ancestor, count(*) AS n FROM (SELECT 'geo#' || r_name AS ancestor FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT 'geo#' || r_name FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey
 UNION ALL SELECT 'geo#' || n_name FROM nation JOIN customer ON c_nationkey = n_nationkey UNION ALL SELECT 'geo#world' FROM (SELECT DISTINCT n_regionkey FROM nation) UNION ALL SELECT 'geo#world' FROM nation UNION ALL SELECT 'geo#world' FROM customer) GROUP BY ancestor""")
 def subdomain_closure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.subconcepts(_hierarchy(spark, sf_dir), 4).groupBy("ancestor").agg(F.count(F.lit(1)).alias("n"))
+    return o.subconcepts(_hierarchy(spark, sf_dir)).groupBy("ancestor").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT 'geo#' || n_name AS uri, 'geo#world > geo#' || r_name || ' > geo#' || n_name AS chain FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def hierarchy_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.hierarchy_chains(_hierarchy(spark, sf_dir), 4).filter("size(split(chain, ' > ')) = 3")
+    return o.hierarchy_chains(_hierarchy(spark, sf_dir)).filter("size(split(chain, ' > ')) = 3")
 
 
 @query("SELECT * FROM (VALUES ('cycle', 'ex#F'), ('cycle', 'ex#F2'), ('no_domain', 'ex#r2'), ('no_range', 'ex#r1'), ('no_range', 'ex#r2')) v(kind, uri)")

@@ -36,11 +36,9 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS first FROM w WHERE NOT list_contains({STOPS}, word) GROUP BY ALL),
 r AS (SELECT doc_id, word, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank FROM c) SELECT doc_id, word, n, rank FROM r WHERE rank <= 10""")
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Most frequent words of three characters or more, ties by first place. Counting is per document and combines before the shuffle."""
-    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(t.words("text", 3)).alias("pos", "word")).filter(~F.col("word").isin(*config.KEYWORD_STOPS))
-    counts = rows.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")
-    return counts.withColumn("rank", F.row_number().over(order).cast("bigint")).filter("rank <= 10").select("doc_id", "word", "n", "rank")
+    """Most frequent words of three characters or more, ties by first place."""
+    rows = _docs(spark, sf_dir).select("doc_id", F.filter(t.words("text", 3), lambda x: ~x.isin(*config.KEYWORD_STOPS)).alias("words"))
+    return t.top_words(rows, "doc_id", "words", 10)
 
 
 @query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{4,}}') AS w FROM documents), f AS (SELECT doc_id, list_filter(w, lambda x: NOT list_contains({BOTH_STOPS}, x)) AS f FROM w),

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strata.functions import vectors as v
-from strata.operators import chunking, graph, retrieval
+from strata.operators import chunking, graph, ontology, retrieval
 from strata.plans import fixtures
 from strata.sources import code, files, turtle
 from strata.streaming import ingest
@@ -109,3 +109,26 @@ def test_partitions_do_not_matter(spark):
     e = fixtures.frame(spark, "entities")
     one, many = (sorted(map(tuple, graph.impact(e.repartition(n), rows.repartition(n)).collect())) for n in (1, 7))
     assert one == many
+
+
+def test_deep_hierarchies_and_long_cycles(spark):
+    chain = [("subsumption", f"c{i + 1:03d}", f"c{i:03d}") for i in range(200)]
+    axioms = spark.createDataFrame(chain, "type string, source string, target string")
+    levels = {r.uri: r.level for r in ontology.concept_levels(axioms).collect()}
+    assert levels == {f"c{i:03d}": i + 1 for i in range(201)}
+    assert ontology.subconcepts(axioms).count() == 200 * 201 // 2
+    paths = {r.uri: r.chain.split(" > ") for r in ontology.hierarchy_chains(axioms.unionByName(spark.createDataFrame([("subsumption", "x", "y"), ("subsumption", "y", "z"), ("subsumption", "z", "y"), ("subsumption", "s", "s")], axioms.schema))).collect()}
+    assert paths["c200"] == [f"c{i:03d}" for i in range(201)] and paths["x"] == ["z", "y", "x"] and paths["y"] == ["z", "y"] and paths["s"] == ["s"]
+    ring = [(i, f"m{i:02d}", "module", "f", 1, 2) for i in range(14)]
+    e = spark.createDataFrame(ring, "entity_id int, name string, etype string, file string, start_line int, end_line int")
+    uses = spark.createDataFrame([(i, f"m{(i + 1) % 14:02d}") for i in range(14)] + [(3, "m00")], "src_id int, dst_name string")
+    found = [r.cycle for r in graph.cycles(e, uses).collect()]
+    assert sorted(map(len, (c.split(" -> ") for c in found))) == [5, 15]
+
+
+def test_only_cycles_are_cyclic(spark):
+    line = spark.createDataFrame([(i, i + 1) for i in range(60)], "src_id int, dst_id int")
+    nodes = spark.range(61).select(F.col("id").cast("int").alias("node"))
+    row = graph.metrics(line, nodes).first()
+    assert row.acyclic and row.n_components == 1 and row.n_edges == 60
+    assert not graph.metrics(line.unionByName(spark.createDataFrame([(60, 0)], line.schema)), nodes).first().acyclic
