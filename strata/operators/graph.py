@@ -253,3 +253,18 @@ def agent_context(spark, tokens: int) -> DataFrame:
     w = spark.createDataFrame(rows, "role string, task string, l double, g double, s double")
     total = F.col("l") + F.col("g") + F.col("s")
     return w.select("role", "task", *(F.floor(F.col(c) / total * tokens + 1e-9).cast("int").alias(n) for c, n in (("l", "local_tokens"), ("g", "global_tokens"), ("s", "semantic_tokens"))))
+
+
+def diagnostics(e: DataFrame) -> DataFrame:
+    """etype, file, n, sample: entities by type and file, with the least id of each."""
+    return e.groupBy("etype", "file").agg(F.count(F.lit(1)).alias("n"), F.min("entity_id").alias("sample"))
+
+
+def by_name(e: DataFrame, name: str) -> DataFrame:
+    """Rows of that name, in any case."""
+    return e.filter(F.lower("name") == name.lower())
+
+
+def pattern_statistics(concepts: DataFrame) -> DataFrame:
+    """category, n_patterns, n_uses, mean_confidence of a table of detected or listed patterns."""
+    return concepts.groupBy("category").agg(F.countDistinct("label").alias("n_patterns"), F.count(F.lit(1)).alias("n_uses"), F.avg("confidence").alias("mean_confidence"))
