@@ -218,3 +218,38 @@ def fixed_windows(text: Column, size: int, step: int) -> Column:
     """Windows of ``size`` characters every ``step``."""
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - 1), F.lit(step))
     return F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(size)))
+
+
+#: What a line of code starts with, by kind of section.
+CODE_SECTIONS = (("declarations", "implicit|use|real|integer|logical|character|type"), ("executable", "do|if|select|where|forall|call"), ("io", "open|close|read|write|print"), ("parallel", r"\$omp|\$acc|!dir\$"))
+
+
+def code_sections(rows: DataFrame, key: str, text: str = "text", longer: int = 5) -> DataFrame:
+    """key, kind, first, last (lines from 0): stretches of code of one kind with more than ``longer`` lines, for texts with two or more.
+
+    A section starts where a line's kind differs from the last known one; blank lines, comments and unknown lines belong to it.
+    """
+    lines = rows.select(key, F.posexplode(F.split(text, "\n")).alias("n", "_l"))
+    low = F.lower("_l")
+    kind = F.when(low.rlike(r"^\s*contains\s*$"), "contains")
+    for name, starts in CODE_SECTIONS:
+        kind = F.coalesce(kind, F.when(low.rlike(rf"^\s*(?:{starts})"), name))
+    lines = lines.withColumn("_k", F.when((F.trim("_l") != "") & ~F.startswith(F.trim("_l"), F.lit("!")), kind))
+    order = Window.partitionBy(key).orderBy("n")
+    before = F.last("_k", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    lines = lines.withColumn("_new", (F.col("_k").isNotNull() & (F.col("_k") != F.coalesce(before, F.lit("code")))).cast("int"))
+    lines = lines.withColumn("_s", F.sum("_new").over(order))
+    sections = lines.groupBy(key, "_s").agg(F.coalesce(F.max(F.when(F.col("_new") == 1, F.col("_k"))), F.lit("code")).alias("kind"), F.min("n").alias("first"), F.max("n").alias("last"))
+    kept = sections.filter(F.col("last") - F.col("first") >= longer)
+    return kept.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy(key))).filter("_c > 1").select(key, "kind", "first", "last")
+
+
+def paper_chunks(rows: DataFrame, key: str, text: str = "text", least: int = 1) -> DataFrame:
+    """key, chunk, level, title, first, last, n_chars: a chunk for each # heading, to the line before the next one of its level or above; those of fewer than ``least`` characters are left out and not numbered."""
+    split = rows.select(key, F.split(text, "\r?\n").alias("_lines"))
+    marked = F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("n"), F.length(F.regexp_extract(x, r"^(#{1,6})\s+\S", 1)).alias("level"), F.trim(F.regexp_extract(x, r"^#{1,6}\s+(.*)$", 1)).alias("title"))), lambda h: h.level > 0)
+    heads = split.withColumn("_heads", marked).select(key, "_lines", "_heads", F.explode("_heads").alias("_h"))
+    until = F.array_min(F.transform(F.filter("_heads", lambda h: (h.n > F.col("_h.n")) & (h.level <= F.col("_h.level"))), lambda h: h.n))
+    out = heads.select(key, F.col("_h.level").alias("level"), F.col("_h.title").alias("title"), F.col("_h.n").alias("first"), (F.coalesce(until, F.size("_lines")) - 1).alias("last"), "_lines")
+    out = out.withColumn("n_chars", F.length(F.array_join(F.slice("_lines", F.col("first") + 1, F.col("last") - F.col("first") + 1), "\n"))).filter(F.col("n_chars") >= least)
+    return out.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("first")) - 1).cast("bigint").alias("chunk"), "level", "title", "first", "last", "n_chars")
