@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from strata.llm import columnar as c
 from strata.llm.components import components
-from strata.llm.storage import cut
+from strata.llm.storage import bound_batches, cut
 
 _BLOOM_BITS = 1 << 25
 
@@ -263,6 +263,7 @@ def jaccard_classes(docs: DataFrame, *, words: int = 5, threshold: tuple[int, in
     texts have no shingles and link with nothing, so each is its own component. Rows that share a doc_id share the least
     component that any of them reaches through equal or similar texts. Null doc_ids count as largest. Set names have 64 bits.
     """
+    bound_batches(docs.sparkSession)
     rule = Filter(threshold)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_x"))
     i64 = pa.int64()
@@ -299,10 +300,11 @@ def jaccard_classes(docs: DataFrame, *, words: int = 5, threshold: tuple[int, in
     if not wide.isEmpty():
         member = wide.join(group.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         major = member.groupBy("name", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("name").agg(F.max_by("component", F.struct("k", "component")).alias("major"))
-        member = member.join(major.hint("merge"), "name").select("name", "node", "block", "blocks", (F.col("component") != F.col("major")).alias("ask"))
+        member = member.join(major, "name").select("name", "node", "block", "blocks", (F.col("component") != F.col("major")).alias("ask"))
+        # names of several blocks are few, so these two joins are left to the size that Spark measures
         # a piece of at most about ``block`` guests meets one block at a time, so no task holds more than two blocks
         pieces = member.filter("ask").groupBy("name").agg(F.expr(f"(count(1) + {block - 1}) div {block}").alias("pieces"))
-        member = member.join(pieces.hint("merge"), "name").withColumn("home", F.col("block"))
+        member = member.join(pieces, "name").withColumn("home", F.col("block"))
         guests = member.filter("ask").withColumn("piece", F.pmod(F.xxhash64("node", "name"), F.col("pieces"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         hosts = member.withColumn("ask", F.lit(False)).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
         visit = guests.unionByName(hosts).select("name", "node", "ask", (F.col("block") * F.col("pieces") + F.col("piece")).alias("block"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import columnar as c
-from strata.llm.storage import cut, stored
+from strata.llm.storage import bound_batches, cut, stored
 
 #: rows of one group: (document key, first window, windows, content); gives spans (row, first window, windows).
 Matcher = Callable[[list[list[bytes]]], list[list[np.ndarray]]]
@@ -306,6 +306,7 @@ def remove_repeats(docs: DataFrame, unit: Unit, matcher: Matcher, *, doc_id: str
     matcher gets at once, besides one group.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     deals = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("_id"), raw.alias("_x")).withColumn("_t", F.xxhash64("_x"))

@@ -36,3 +36,10 @@ def cut(frame: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return frame.checkpoint(eager=True)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches hold 2,000 rows where the session has Spark's own 10,000: texts are long, and a batch of them is held whole."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.llm import columnar as c
+from strata.llm.storage import bound_batches
 
 #: entries of a worker's word table, and ids of all entries, above which it starts anew
 _ENTRIES, _POOL = 1 << 20, 1 << 23
@@ -210,6 +211,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, doc_id: str = "d
     ``sample_bytes`` of ids, so all of the table is drawn from and reruns agree. An empty table gives an empty store.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_x"))
     kind = _encoder(tokenizer).kind.str
     ranked = rows.filter(F.length("_x") <= sample_chars).withColumn("_r", F.xxhash64("_id", "_x"))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import columnar as c
+from strata.llm.storage import bound_batches
 
 _BITS = 22
 _PREFIX = 4
@@ -167,6 +168,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, labelled: DataFrame | None =
     than likely and nothing is rejected. Repeated rows each get a row; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     known = labels.select(F.col("doc_id").cast("bigint").alias("_id"), *(F.col(k).cast("double").alias(f"_y{i}") for i, k in enumerate(categories))).dropna()
     known = known.groupBy("_id").agg(*(F.max(f"_y{i}").alias(f"_y{i}") for i in range(len(categories)))).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     source = docs if labelled is None else labelled
