@@ -49,7 +49,7 @@ ENDS_P = BLOCK - {"body", "html", "option", "optgroup", "caption", "legend", "dt
 SCOPE = frozenset("table td th caption button body html".split())
 FORMATTING = frozenset("a b i em strong u s small big font code tt nobr strike span abbr cite q sub sup mark label".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _NOSCRIPT = re.compile(r"<(?:(/noscript)|/head|body)(?=[\s/>])", re.I)
@@ -117,10 +117,14 @@ def build_tree(source: str) -> Node:
             if open_[k].name in barrier:
                 return
 
-    while m := _TOKEN.search(source, at):
+    # no tag ends behind the last >, so looking there for ends of "<a <a <a .." would only take time
+    last = source.rfind(">") + 1
+    while m := _TOKEN.search(source, at, last):
         text(source[at : m.start()])
         at = m.end()
         if m[2] is None:
+            if source.startswith("<!--", m.start()) and not source.endswith("-->", m.start() + 4, at):
+                at = len(source)  # a comment without an end
             continue
         name = m[2].lower()
         if m[1]:
@@ -166,7 +170,7 @@ def build_tree(source: str) -> Node:
         open_.append(node)
         if len(open_) > 512:  # deeper elements keep their text with the element above
             open_.pop()
-    text(source[at:])
+    text(source[at:].partition("<!--")[0])
     return root
 
 

@@ -1,5 +1,7 @@
 """Pages that leave out tags or hold text in unusual places: what browsers show of them stays."""
 
+import time
+
 import pytest
 
 from strata.llm.html_layout import visible_text
@@ -70,3 +72,15 @@ def test_wide_tables_keep_their_text():
     n = 3000
     text = visible_text("<table>" + "".join(f"<tr><td rowspan=0>word{k}" for k in range(n)) + "</table>")
     assert text.split() == [f"word{k}" for k in range(n)] and len(text) < 100 * n
+
+
+@pytest.mark.parametrize("page", ["<a " * 200_000, '<a "' * 200_000, "<" * 500_000, "<!-- " * 100_000, "<a '\"" * 100_000 + ">"])
+def test_broken_pages_take_linear_time(page):
+    began = time.time()
+    visible_text(page)
+    assert time.time() - began < 5
+
+
+@pytest.mark.parametrize("page,text", [("<p>a<!-- b > c", "a"), ("a<!-- x", "a"), ("x <b>y</b> <!-- q <p>z", "x y"), ("a <b c", "a <b c"), ("<p>a<!-- b --> c", "a c")])
+def test_ends_that_are_missing(page, text):
+    assert visible_text(page) == text
