@@ -36,8 +36,56 @@ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), o AS (SELECT x.doc_i
 l AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 90 * (p.n + q.n - k)), r(doc_id, root) AS (SELECT a, a FROM (SELECT DISTINCT a FROM l) UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id), m AS (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(root, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
+_TURN = "ORDER BY turn NULLS FIRST, role, text"
+_ESCAPE = r"regexp_replace({0}, '<(\\*\|(?:im_start|im_end)\|>)', '<\\\1', 'g')"
+_ROLE = r"replace(replace(role, '\', '\\'), chr(10), '\n')"
+
+#: A turn is written as two marks (12 and 10 characters), a line feed behind the role, and one behind the turn.
+CHATS = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, i, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {_TURN})) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+sha256(coalesce(string_agg(text, '' {_TURN}) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(24 + length({_ESCAPE.format(_ROLE)}) + length({_ESCAPE.format("text")}))::BIGINT AS formatted_chars FROM c GROUP BY conv_id"""
+
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_DOWN = "((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT"
+
+
+def _centroids(k: int = 40, rounds: int = 5, dims: int = 64, scale: int = 256, seed: int = 2) -> str:
+    steps = [
+        f"v AS (SELECT vec_id, unnest(range({dims})) AS d, unnest(list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT)) AS x FROM embeddings WHERE len(embedding) = {dims} AND {_FINITE})",
+        f"s AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS c FROM (SELECT DISTINCT vec_id FROM v) QUALIFY c < {k})",
+        "c0 AS MATERIALIZED (SELECT c, d, x FROM v JOIN s USING (vec_id))",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT vec_id, arg_min(c, (q, c)) AS c, min(q) AS q FROM (SELECT v.vec_id, c.c, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS q FROM v JOIN c{i} c USING (d) GROUP BY ALL) GROUP BY vec_id)")
+        if i < rounds:
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c, d, coalesce(n.x, o.x) AS x FROM c{i} o LEFT JOIN (SELECT a.c, v.d, {_DOWN} AS x FROM v JOIN a{i} a USING (vec_id) GROUP BY a.c, v.d) n USING (c, d))")
+    steps.append(f"h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c)")
+    return "WITH " + ",\n".join(steps) + f"\nSELECT vec_id, c::INTEGER AS cluster, q AS distance, (sum(q) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(q) OVER ())::BIGINT AS inertia, centroid_sha256 FROM a{rounds} JOIN h USING (c)"
+
+
+def _codes(parts: int = 4, entries: int = 256, rounds: int = 4, dims: int = 64, scale: int = 1024) -> str:
+    width = dims // parts
+    steps = [
+        f"v AS (SELECT vec_id, label, d // {width} AS p, d % {width} AS d, x FROM (SELECT vec_id, label, unnest(range({dims})) AS d, unnest(list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT)) AS x FROM embeddings WHERE {_FINITE}))",
+        f"s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM (SELECT DISTINCT vec_id FROM v) QUALIFY e < {entries})",
+        "c0 AS MATERIALIZED (SELECT p, e, d, x FROM v JOIN s USING (vec_id))",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT vec_id, p, arg_min(e, (q, e)) AS e, min(q) AS q FROM (SELECT v.vec_id, p, c.e, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS q FROM v JOIN c{i} c USING (p, d) GROUP BY ALL) GROUP BY vec_id, p)")
+        if i < rounds:
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT p, e, d, coalesce(n.x, o.x) AS x FROM c{i} o LEFT JOIN (SELECT p, a.e, v.d, {_DOWN} AS x FROM v JOIN a{i} a USING (vec_id, p) GROUP BY ALL) n USING (p, e, d))")
+    steps.append(f"h AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, d)) AS codebooks_sha256 FROM c{rounds})")
+    steps.append(f"t AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(q)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)")
+    return "WITH " + ",\n".join(steps) + "\nSELECT t.vec_id, code, error, (sum(error) OVER (PARTITION BY m.label))::BIGINT AS label_error, codebooks_sha256 FROM t JOIN (SELECT vec_id, label FROM embeddings) m ON m.vec_id = t.vec_id CROSS JOIN h"
+
+
+CENTROIDS, CODES = _centroids(), _codes()
+
 ORACLE: dict[str, str] = {
     "op2_decontaminate": DECONTAMINATE,
     "op3_substring_dedup": SUBSTRING,
     "op10_jaccard_join": JACCARD,
+    "op11_chat_format": CHATS,
+    "op12_centroid_clusters": CENTROIDS,
+    "op13_vector_codes": CODES,
 }
