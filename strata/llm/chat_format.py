@@ -10,7 +10,8 @@ so the decoded form shows marks only where there are marks, and taking one backs
 backslashes and line feeds are escaped as well, as a line feed ends the role.
 
 Rows are dealt by ranges of conversation and turn, so a long conversation is spread over tasks; each task sums token counts
-up inside its range, and what a conversation has before a range is added from a table of one row for each range at most.
+up inside its range and writes its turns. The reader adds what a conversation has before a range from a table of one row for
+each range at most, which it makes from the counts alone.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.llm import columnar as c
-from strata.llm.storage import cut
+from strata.llm.token_store import Encoder
 
 #: The names of the control strings <|name|>, in the order of their ids behind the vocabulary.
 CONTROLS = ("im_start", "im_end")
@@ -57,30 +58,34 @@ class Coder:
     """Ids of segments and back; reserved ids lie behind the vocabulary."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.encoder = Encoder(path)
+        self.tokenizer = self.encoder.tokenizer
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
         self.start = self.tokenizer.get_vocab_size()
         self.end = self.start + 1
-        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.heads: dict[str, list[int]] = {}
+        self.feed = self._ids("\n")
+        self.heads: dict[str, np.ndarray] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
-    def head(self, role: str) -> list[int]:
+    def head(self, role: str) -> np.ndarray:
         if role not in self.heads:
             if len(self.heads) >= 256:  # roles are few; where they are not, the table starts anew
                 self.heads.clear()
-            self.heads[role] = self.tokenizer.encode(escape_role(role) + "\n", add_special_tokens=False).ids
+            self.heads[role] = self._ids(escape_role(role) + "\n")
         return self.heads[role]
 
     def assemble(self, roles: list[str], texts: list[str], learned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all turns end to end, their loss mask, and the offsets of the turns."""
-        bodies = [x.ids for x in self.tokenizer.encode_batch_fast([escape(x) for x in texts], add_special_tokens=False)]
+        coded = self.encoder.encode(pa.array([escape(x) for x in texts], pa.string()))
+        bodies = [np.frombuffer(x, self.encoder.kind)[:-1] for x in coded]  # without the end id of a document
         heads = [self.head(x) for x in roles]
         size = np.ones((len(texts), 5), np.int64)
         size[:, 1], size[:, 2], size[:, 4] = list(map(len, heads)), list(map(len, bodies)), len(self.feed)
         edge = np.concatenate([[0], np.cumsum(size.ravel())])
-        ids = np.fromiter(chain.from_iterable(chain((self.start,), h, b, (self.end,), self.feed) for h, b in zip(heads, bodies, strict=True)), np.int32, int(edge[-1]))
+        start, end = (np.array([x], np.int32) for x in (self.start, self.end))
+        ids = np.concatenate([np.zeros(0, np.int32), *chain.from_iterable((start, h, b, end, self.feed) for h, b in zip(heads, bodies, strict=True))])
         step = np.zeros(len(ids) + 1, np.int8)
         np.add.at(step, edge[2:-1:5][learned], 1)
         np.add.at(step, edge[3:-1:5][learned], -1)
@@ -133,19 +138,27 @@ def _encode(path: str, learn: tuple[str, ...]):
     return run
 
 
-def format_chats(conversations: DataFrame, *, tokenizer: str, learn: tuple[str, ...] = ("assistant",), conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, turn, start, n_tokens, ids, mask: a row for each turn; a conversation's ids are those of its turns by start.
+def write_chats(conversations: DataFrame, path: str, *, tokenizer: str, learn: tuple[str, ...] = ("assistant",), conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> None:
+    """Formats all turns and writes them, in order of conversation and turn.
 
-    start is the number of ids that the conversation has before the turn; mask is 1 on the ids of the texts whose role is in
-    ``learn`` and 0 elsewhere. Turns are in order of turn, role and text, nulls first; repeated rows are repeated turns. A null
-    role or text is empty. Rows with a null conv_id are one conversation. Other columns do not matter; an empty table gives no rows.
+    The loss mask covers the texts whose role is in ``learn``. Turns are in order of turn, role and text, nulls first; repeated
+    rows are repeated turns. A null role or text is empty. Rows with a null conv_id are one conversation. Other columns do not
+    matter; an empty table gives a store without turns.
     """
-    spark = conversations.sparkSession
     name = F.col(conv_id).cast("bigint")
     rows = conversations.select(name.isNull().alias("_null"), F.coalesce(name, F.lit(0).cast("bigint")).alias("_id"), F.col(turn).cast("bigint").alias("turn"), F.col(role).alias("_role"), F.col(text).alias("_text"))
     order = [F.col(x).asc_nulls_first() for x in ("_null", "_id", "turn", "_role", "_text")]
-    ranges = rows.withColumn("_begin", F.substring("_text", 1, 64)).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order[:4], F.col("_begin").asc_nulls_first())
-    turns = cut(ranges.drop("_begin").sortWithinPartitions(*order).mapInArrow(_encode(tokenizer, learn), _TURN))
+    ranges = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_begin", F.substring("_text", 1, 64)).repartitionByRange(ranges, *order[:4], F.col("_begin").asc_nulls_first()).drop("_begin")
+    dealt.sortWithinPartitions(*order).mapInArrow(_encode(tokenizer, learn), _TURN).write.parquet(path)
+
+
+def stored_chats(spark: SparkSession, path: str) -> DataFrame:
+    """conv_id, turn, start, n_tokens, ids, mask: a row for each stored turn; a conversation's ids are those of its turns by start.
+
+    start is the number of ids that the conversation has before the turn; mask is 1 on ids of learned texts and 0 elsewhere.
+    """
+    turns = spark.read.parquet(path)
     before = Window.partitionBy("_null", "_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = turns.groupBy("_null", "_id", "_part").agg(F.sum("n_tokens").alias("_n"))
     # only the conversation at the beginning of a range can have tokens in ranges before it: a row a range at most
@@ -164,7 +177,7 @@ _READ_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa
 
 
 def read_chats(turns: DataFrame, *, tokenizer: str) -> DataFrame:
-    """conv_id, start, role, text, learned, formatted_chars of formatted turns, all decoded from their ids and masks.
+    """conv_id, start, role, text, learned, formatted_chars of stored turns, all decoded from their ids and masks.
 
     learned is the text under the mask, null where the mask covers nothing.
     """

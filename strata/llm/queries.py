@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.centroid_clusters import centroid_clusters
-from strata.llm.chat_format import chat_digests, format_chats, read_chats
+from strata.llm.chat_format import chat_digests, read_chats, stored_chats, write_chats
 from strata.llm.decontaminate import contaminated_words, is_contaminated
 from strata.llm.html_layout import html_text
 from strata.llm.jaccard_join import jaccard_classes
@@ -84,8 +84,8 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     every = rows.unionByName(spark.createDataFrame(_HOSTILE, "conv_id long, turn long, role string, text string"))
     tokenizer, path = public_tokenizers.path("byte_bpe_50k.json"), new_path(spark, "chats")
-    format_chats(every, tokenizer=tokenizer).write.parquet(path)
-    return chat_digests(read_chats(spark.read.parquet(path), tokenizer=tokenizer))
+    write_chats(every, path, tokenizer=tokenizer)
+    return chat_digests(read_chats(stored_chats(spark, path), tokenizer=tokenizer))
 
 
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

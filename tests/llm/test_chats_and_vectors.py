@@ -12,12 +12,19 @@ from pyspark.sql import functions as F
 
 from strata.llm import centroid_clusters as cc
 from strata.llm import vector_codes as vc
-from strata.llm.chat_format import Coder, chat_digests, escape, escape_role, format_chats, read_chats, unescape, unescape_role
+from strata.llm.chat_format import Coder, chat_digests, escape, escape_role, read_chats, stored_chats, unescape, unescape_role, write_chats
+from strata.llm.storage import new_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 CHATS = "conv_id long, turn long, role string, text string, ids string, _id int, _base int, start int"
 
 
+def format_chats(rows, *, tokenizer):
+    path = new_path(rows.sparkSession, "chats")
+    write_chats(rows, path, tokenizer=tokenizer)
+    return stored_chats(rows.sparkSession, path)
+
+
 def chats(spark, rows):
     return spark.createDataFrame([(*r, "x", 1, 2, 3) for r in rows], CHATS)
 
