@@ -18,6 +18,14 @@ def words(text):
     return re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
+CLASHES = "_row row _once _times _number _copy _check _least _id _x component_id taken".split()
+
+
+def wide(frame):
+    """The frame with columns of names that stages use themselves."""
+    return frame.withColumns({c: F.coalesce(F.length("text"), F.lit(-1)) % (i + 2) for i, c in enumerate(CLASHES)})
+
+
 def as_rows(frame):
     return Counter(map(tuple, frame.collect()))
 
@@ -41,12 +49,12 @@ def made(spark):
         (None, " ".join(other)), (None, " ".join(other)), (11, "One"), (12, "one "), (13, None), (13, None), (None, ""), (14, "  "),
     ]
     rows = [(i, t, "en", "abc"[k % 3], len(t or "")) for k, (i, t) in enumerate(texts)]
-    return spark.createDataFrame([*rows, rows[12], rows[21]], given.schema).repartition(3), items
+    return wide(spark.createDataFrame([*rows, rows[12], rows[21]], given.schema)).repartition(3), items
 
 
 def test_toxic_rows(spark, made):
     docs, _ = made
-    labels, given = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/documents.parquet")
+    labels, given = spark.read.parquet(f"{SF}/labels.parquet"), wide(spark.read.parquet(f"{SF}/documents.parquet"))
     rows = docs.union(given).collect()
     texts = spark.createDataFrame([(k, r.text) for k, r in enumerate(rows)], "doc_id long, text string")
     labelled = docs.union(given)
@@ -92,7 +100,7 @@ def test_contaminated_rows(spark, made):
         hit = {k for n in lengths for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows for k in range(i, i + n)}
         return bool(hit) and 20 * len(hit) >= len(w)
 
-    both = docs.union(spark.read.parquet(f"{SF}/documents.parquet"))
+    both = docs.union(wide(spark.read.parquet(f"{SF}/documents.parquet")))
     rows = [tuple(r) for r in both.collect()]
     wanted = Counter(r for r in rows if not dirty(r[1]))
     assert any(r[0] is None and dirty(r[1]) for r in rows) and any(r[0] == 10 for r in wanted)
@@ -101,10 +109,27 @@ def test_contaminated_rows(spark, made):
 
 def test_mixed_rows(spark, made):
     docs, _ = made
-    keyed = p._with_key(docs)
-    row = {r["_row"]: tuple(r[c] for c in docs.columns) for r in keyed.collect()}
+    keyed = p._keyed(docs)
+    row = {r["_row"]: tuple(r.row) for r in keyed.collect()}
     assert len(row) == len({tuple(r) for r in docs.collect()})
     wanted = Counter()
-    for r in mix_sources(keyed, doc_id="_row").collect():
+    for r in mix_sources(p._texts(keyed)).collect():
         wanted[row[r.doc_id]] += int(r.taken / max(1, r["size"]) + 0.5)
     assert as_rows(p.mix(spark, docs, SF)) == +wanted and sum(wanted.values()) > 0
+
+
+def test_stages_keep_columns_of_any_name_and_empty_tables(spark, made):
+    docs, _ = made
+    for name, stage in p.STAGES[:-1]:
+        none = stage(spark, docs.filter("false"), SF)
+        assert none.columns == docs.columns and none.collect() == [], name
+    assert p.STAGES[-1][1](spark, docs.filter("false"), SF).collect() == []
+
+
+def test_rows_whose_hashes_meet_have_keys_of_their_own(spark, made, monkeypatch):
+    docs, _ = made
+    whole = F.xxhash64
+    narrow = lambda *x: whole(*x) if len(x) == 2 or str(x[0]._jc) == "1" else whole(*x) % 3
+    monkeypatch.setattr(F, "xxhash64", narrow)
+    keyed = p._keyed(docs).collect()
+    assert len({r["_row"] for r in keyed}) == len({tuple(r.row) for r in keyed})
