@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strata.operators import graph as g
 from strata.operators import ontology as o
+from strata.operators.containment import contained_names
 
 #: Order and specificity of entity types, words of names and what they stand for, keyword families of code.
 PRIORITY = {"module": 1, "program": 1, "type_definition": 2, "parameter": 3, "interface": 4, "subroutine": 5, "function": 5, "block": 6, "internal_function": 7, "variable_declaration": 8, "variable": 8}
@@ -123,10 +124,11 @@ def relevant_lines(rows: DataFrame, key: str, text: str, patterns: list[str], wi
 def mentions(queries: DataFrame, names: DataFrame) -> DataFrame:
     """query_id, target, level: entity names (name, etype, is_internal) that stand in a query, and its DOI at level 5.
 
-    Queries are few (they are the broadcast side of the containment join, under Spark's own threshold); names stream.
+    Names stand in automata, block by block; queries stream past them.
     """
     level = F.when(F.col("is_internal"), 5).otherwise(_lookup(SPECIFICITY, F.col("etype"), 3))
-    named = names.filter("length(name) > 0").join(queries, F.contains(F.lower("query"), F.lower("name"))).select("query_id", F.lower("name").alias("target"), level.alias("level"))
+    found = contained_names(queries, names, text_id="query_id", text="query").select(F.col("text_id").alias("query_id"), F.col("name").alias("target"))
+    named = found.join(names.select(F.lower("name").alias("target"), level.alias("level")), "target").select("query_id", "target", "level")
     cited = queries.select("query_id", F.lower(F.regexp_extract("query", f"(?i){DOI}", 0)).alias("target"), F.lit(5).alias("level")).filter("target != ''")
     return named.unionByName(cited).groupBy("query_id", "target").agg(F.max("level").alias("level"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions import text as t
+from strata.operators import nesting, paths
 from strata.storage import cut
 
 #: Keywords of important modules, base sizes of drawn nodes, weights (local, global, semantic) of roles and tasks.
@@ -51,17 +52,23 @@ def find_by_criteria(e: DataFrame, *, kind: str | None = None, name: str | None
     return e.withColumn("score", reduce(lambda a, b: a + b, parts) / len(parts) if parts else F.lit(0.0)).drop("_r")
 
 
+def _ranges(e: DataFrame) -> DataFrame:
+    return e.select("file", F.col("entity_id").alias("id"), F.col("start_line").alias("start"), F.col("end_line").alias("end"))
+
+
 def owner_of_line(e: DataFrame, lines: DataFrame) -> DataFrame:
-    """Smallest enclosing entity of each (file, line); equi-join on the file, range inside it."""
-    inside = lines.join(e, "file").filter("line between start_line and end_line")
-    return inside.groupBy("file", "line").agg(F.min_by("name", F.struct(F.col("end_line") - F.col("start_line"), "entity_id")).alias("owner"))
+    """file, line, owner: name of the smallest entity around each (file, line); lines outside all entities are left out."""
+    asked = lines.select("file", "line").distinct().select("file", F.col("line").cast("bigint").alias("id"), F.col("line").alias("start"), F.col("line").alias("end"))
+    found = nesting.smallest_enclosing(_ranges(e), queries=asked).filter("query and parent_id is not null")
+    kind = lines.schema["line"].dataType
+    return found.select("file", F.col("start").cast(kind).alias("line"), F.col("parent_id").alias("_p")).join(e.select(F.col("entity_id").cast("bigint").alias("_p"), F.col("name").alias("owner")), "_p").select("file", "line", "owner")
 
 
 def parents(e: DataFrame) -> DataFrame:
-    """entity_id, parent_id: smallest other entity of the file whose range encloses it."""
-    o = e.select("file", F.col("entity_id").alias("parent_id"), F.col("start_line").alias("s"), F.col("end_line").alias("t"))
-    inside = e.join(o, "file").filter("parent_id != entity_id and s <= start_line and t >= end_line and (t - s) > (end_line - start_line)")
-    return inside.groupBy("entity_id").agg(F.min_by("parent_id", F.struct(F.col("t") - F.col("s"), "parent_id")).alias("parent_id"))
+    """entity_id, parent_id: smallest other entity of the file whose range encloses it and is longer; one sweep over each file's ranges."""
+    kind = e.schema["entity_id"].dataType
+    found = nesting.smallest_enclosing(_ranges(e)).filter("parent_id is not null")
+    return found.select(F.col("id").cast(kind).alias("entity_id"), F.col("parent_id").cast(kind).alias("parent_id"))
 
 
 def resolved(e: DataFrame, refs: DataFrame) -> DataFrame:
@@ -107,27 +114,24 @@ def subgraph(edges: DataFrame, start: int, depth: int = 2, most: int = 50) -> Da
     return seen.orderBy("level", "node").limit(most)
 
 
-def cyclic_core(links: DataFrame) -> DataFrame:
-    """What is left of links(a, b) when nodes without a link in or out go, round by round: empty if and only if there is no cycle."""
-    core = cut(links.select("a", "b").distinct())
-    n = core.count()
-    while n:
-        core = cut(core.join(core.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(core.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
-        n, before = core.count(), n
-        if n == before:
-            break
-    return core
-
+def cycles(e: DataFrame, uses: DataFrame, *, most_nodes: int = 10) -> DataFrame:
+    """cycle: simple cycles of USE links inside components of up to ``most_nodes`` entities, each once, from its least name.
 
-def cycles(e: DataFrame, uses: DataFrame) -> DataFrame:
-    """Simple cycles of USE links, of any length, each once, from its least name. Paths grow in the cyclic core only."""
+    A larger component is one row, ``<n> entities around <least name>``: its cycles can be more than any number, and what
+    matters is which entities depend on each other, which strong_components tells.
+    """
     links = resolved(e, uses).filter("dst_id is not null").join(e.select(F.col("entity_id").alias("src_id"), F.lower("name").alias("a")), "src_id").select("a", F.lower("dst_name").alias("b")).filter("a != b").distinct()
-    links = cyclic_core(links)
-    paths = cut(links.filter("a < b").select(F.col("a").alias("first"), F.col("b").alias("last"), F.array("a", "b").alias("path")))
-    found = paths.filter("false").select(F.lit("").alias("cycle"))
-    while not paths.isEmpty():
-        found = found.unionByName(cut(paths.join(links, (F.col("last") == F.col("a")) & (F.col("first") == F.col("b"))).select(F.array_join(F.concat("path", F.array("first")), " -> ").alias("cycle"))))
-        paths = cut(paths.join(links, F.col("last") == F.col("a")).filter("b > first and not array_contains(path, b)").select("first", F.col("b").alias("last"), F.concat("path", F.array("b")).alias("path")))
+    links = cut(links)
+    part = paths.strong_components(links.toDF("src", "dst"))
+    sized = cut(part.join(part.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "component"))
+    large = sized.filter(F.col("n") > most_nodes).select(F.concat(F.col("n").cast("string"), F.lit(" entities around "), "component").alias("cycle"))
+    small = sized.filter(F.col("n") <= most_nodes)
+    links = cut(links.join(small.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(small.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").filter("ca = cb").select("a", "b"))
+    paths_now = cut(links.filter("a < b").select(F.col("a").alias("first"), F.col("b").alias("last"), F.array("a", "b").alias("path")))
+    found = large
+    while not paths_now.isEmpty():
+        found = found.unionByName(cut(paths_now.join(links, (F.col("last") == F.col("a")) & (F.col("first") == F.col("b"))).select(F.array_join(F.concat("path", F.array("first")), " -> ").alias("cycle"))))
+        paths_now = cut(paths_now.join(links, F.col("last") == F.col("a")).filter("b > first and not array_contains(path, b)").select("first", F.col("b").alias("last"), F.concat("path", F.array("b")).alias("path")))
     return found.distinct()
 
 
@@ -154,7 +158,7 @@ def metrics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     links = cut(edges.select("src_id", "dst_id").filter("src_id != dst_id").distinct())
     n, m = nodes.agg(F.count(F.lit(1)).alias("n_nodes")), links.agg(F.count(F.lit(1)).alias("n_edges"))
     parts = weak_components(links, nodes).agg(F.countDistinct("component").alias("n_components"))
-    back = cyclic_core(links.toDF("a", "b")).agg((F.count(F.lit(1)) == 0).alias("acyclic"))
+    back = paths.peeled(links.toDF("a", "b")).agg((F.count(F.lit(1)) == 0).alias("acyclic"))
     return n.crossJoin(m).crossJoin(parts).crossJoin(back).withColumn("density", F.coalesce(F.try_divide(F.col("n_edges"), F.col("n_nodes") * (F.col("n_nodes") - 1)), F.lit(0.0)))
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.operators import paths
 from strata.storage import cut
 
 #: Compatibility of related concepts by relation.
@@ -39,33 +40,30 @@ def concept_semantics(triples: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
-    """start, node, distance: shortest distances over edges(src, dst), up to ``depth`` if it is given.
+    """start, node, distance: shortest distances over edges(src, dst), up to ``depth`` if it is given. For results that are pairs.
 
-    Every round joins what is reached with itself, so distances double and a chain of n links takes log2(n) rounds; each
-    round is checkpointed, and a round that changes nothing is the last. Cycles end, as only the least distance of a pair stays.
+    A round joins the pairs at just the distance that is reached with all pairs, so distances double, a pair is made from few
+    others, and a chain of n links takes log2(n) rounds. Each round is checkpointed; without a pair at that distance it is the
+    last. Cycles end, as pairs that are known do not come again.
     """
     reach = cut(edges.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("distance")).distinct())
-    state = None
-    while depth is None or depth > 1:
-        now = tuple(reach.agg(F.count(F.lit(1)), F.sum("distance")).first())
-        if now == state:
+    far = 1
+    while depth is None or far < depth:
+        outer = reach.filter(F.col("distance") == far)
+        if outer.isEmpty():
             break
-        state = now
         on = reach.select(F.col("start").alias("node"), F.col("node").alias("next"), F.col("distance").alias("more"))
-        far = reach.join(on, "node").select("start", F.col("next").alias("node"), (F.col("distance") + F.col("more")).alias("distance"))
-        every = reach.unionByName(far if depth is None else far.filter(F.col("distance") <= depth))
-        reach = cut(every.groupBy("start", "node").agg(F.min("distance").alias("distance")))
+        made = outer.join(on, "node").select("start", F.col("next").alias("node"), (F.col("distance") + F.col("more")).alias("distance"))
+        if depth is not None:
+            made = made.filter(F.col("distance") <= depth)
+        new = made.groupBy("start", "node").agg(F.min("distance").alias("distance")).join(reach, ["start", "node"], "left_anti")
+        reach, far = cut(reach.unionByName(new)), 2 * far
     return reach
 
 
 def concept_levels(axioms: DataFrame) -> DataFrame:
     """1 for roots, else one more than the least level of a parent. Concepts of cycles that no root reaches are at level 3."""
-    up = parents(axioms)
-    nodes = up.select(F.explode(F.array("child", "parent")).alias("uri")).distinct()
-    roots = nodes.join(up.select(F.col("child").alias("uri")), "uri", "left_anti")
-    down = closure(up.select(F.col("parent").alias("src"), F.col("child").alias("dst"))).join(roots.withColumnRenamed("uri", "start"), "start", "left_semi")
-    best = down.groupBy(F.col("node").alias("uri")).agg((F.min("distance") + 1).alias("level"))
-    return nodes.join(roots.withColumn("_root", F.lit(1)), "uri", "left").join(best, "uri", "left").select("uri", F.coalesce("_root", "level", F.lit(3)).alias("level"))
+    return paths.levels(parents(axioms)).select(F.col("node").alias("uri"), F.coalesce(F.col("level") + 1, F.lit(3)).cast("int").alias("level"))
 
 
 def subconcepts(axioms: DataFrame) -> DataFrame:
@@ -97,12 +95,12 @@ def hierarchy_chains(axioms: DataFrame) -> DataFrame:
 def validate(axioms: DataFrame, relations: DataFrame) -> DataFrame:
     """kind, uri: concepts that are their own ancestors; relations without domain or range."""
     up = parents(axioms)
-    cycles = closure(up.select(F.col("child").alias("src"), F.col("parent").alias("dst"))).filter("start = node").select(F.lit("cycle").alias("kind"), F.col("start").alias("uri"))
+    cycles = paths.on_cycles(up.select(F.col("child").alias("src"), F.col("parent").alias("dst"))).select(F.lit("cycle").alias("kind"), F.col("node").alias("uri"))
 
     def without(kind: str) -> DataFrame:
         return relations.join(axioms.filter(F.col("type") == kind).select(F.col("source").alias("uri")), "uri", "left_anti").select(F.lit(f"no_{kind}").alias("kind"), "uri")
 
-    return reduce(DataFrame.unionByName, [cycles.distinct(), without("domain"), without("range")])
+    return reduce(DataFrame.unionByName, [cycles, without("domain"), without("range")])
 
 
 def neighbors(axioms: DataFrame) -> DataFrame:
