@@ -251,12 +251,13 @@ def cross_file_relations(e: DataFrame, concepts: DataFrame, uses: DataFrame, cal
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b")).cast("bigint")).filter(F.col("rank") <= k)
 
 
-def agent_context(spark, tokens: int) -> DataFrame:
-    """role, task and the tokens that local, global and semantic context get; weights are normalised, others get .5, .3, .2."""
+def agent_context(budgets: DataFrame, key: str) -> DataFrame:
+    """key, role, task and what local, global and semantic context get of each row's tokens; weights are normalised, others get .5, .3, .2."""
     rows = [(r, k, *w) for (r, k), w in STRATEGY.items()] + [("any", "any", 0.5, 0.3, 0.2)]
-    w = spark.createDataFrame(rows, "role string, task string, l double, g double, s double")
+    listed = F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(row, ("role", "task", "l", "g", "s"), strict=True))) for row in rows))
+    w = budgets.withColumn("_w", F.explode(listed)).select(key, "tokens", "_w.*")
     total = F.col("l") + F.col("g") + F.col("s")
-    return w.select("role", "task", *(F.floor(F.col(c) / total * tokens + 1e-9).cast("int").alias(n) for c, n in (("l", "local_tokens"), ("g", "global_tokens"), ("s", "semantic_tokens"))))
+    return w.select(key, "role", "task", *(F.floor(F.col(c) / total * F.col("tokens") + 1e-9).cast("int").alias(n) for c, n in (("l", "local_tokens"), ("g", "global_tokens"), ("s", "semantic_tokens"))))
 
 
 def diagnostics(e: DataFrame) -> DataFrame:

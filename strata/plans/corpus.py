@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.operators import metrics
-from strata.plans.fixtures import frame, with_sql
+from strata.plans.derived import frame, with_sql
 from strata.plans.registry import query, table
 
 
@@ -81,9 +81,10 @@ def label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.precision_recall(rows, hit, F.col("toxic") == 1)
 
 
-@query("SELECT 'triples' AS kind, round(2 / 3.0::DOUBLE, 6) AS precision, round(2 / 3.0::DOUBLE, 6) AS recall, round(2 / 3.0::DOUBLE, 6) AS f1")
+@query("""WITH n AS (SELECT count(*) FILTER (c_custkey % 3 <> 0) AS d, count(*) FILTER (c_custkey % 2 = 0) AS g, count(*) FILTER (c_custkey % 3 <> 0 AND c_custkey % 2 = 0 AND c_custkey % 8 <> 0) AS tp FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT 'triples' AS kind, round(tp / d::DOUBLE, 6) AS precision, round(tp / g::DOUBLE, 6) AS recall, round(2.0::DOUBLE * tp / (d + g), 6) AS f1 FROM n""")
 def kg_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.triple_metrics(frame(spark, "triples_detected"), frame(spark, "triples_gold")).select(F.lit("triples").alias("kind"), *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+    return metrics.triple_metrics(frame(spark, "triples_detected", sf_dir), frame(spark, "triples_gold", sf_dir)).select(F.lit("triples").alias("kind"), *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
 @query("SELECT count(*) AS n, (SELECT count(*) FROM (SELECT source FROM documents WHERE lang = 'en' EXCEPT SELECT source FROM documents WHERE lang = 'fr')) AS only_en, (SELECT count(*) FROM (SELECT source FROM documents WHERE lang = 'en' INTERSECT SELECT source FROM documents WHERE lang = 'fr')) AS common FROM (SELECT DISTINCT source FROM documents)")
@@ -113,7 +114,7 @@ def agent_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql("entity_concepts") + " SELECT count(*) AS total, count(DISTINCT label) AS distinct_labels, round(avg(confidence), 6) AS mean_confidence FROM entity_concepts")
 def concept_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, "entity_concepts").agg(F.count(F.lit(1)).alias("total"), F.countDistinct("label").alias("distinct_labels"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    return frame(spark, "entity_concepts", sf_dir).agg(F.count(F.lit(1)).alias("total"), F.countDistinct("label").alias("distinct_labels"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
 @query("SELECT n_name AS directory, count(*) AS files FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name ORDER BY files DESC, directory LIMIT 5")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from strata.operators import chunking
 from strata.operators import ontology as o
-from strata.plans.ontology import TTL
 from strata.plans.registry import query, table
 from strata.plans.samples import sample
 from strata.sources import jsonld, office, turtle
@@ -46,9 +45,11 @@ LINKED = {
 _EX = "http://example.org/o#"
 
 
-@query(f"SELECT * FROM (VALUES ('subsumption', '{_EX}Grid', '{_EX}Thing'), ('domain', '{_EX}has', '{_EX}Grid'), ('range', '{_EX}has', '{_EX}Thing')) v(type, source, target)")
+@query(f"SELECT 'subsumption' AS type, '{_EX}' || n_name AS source, '{_EX}Thing' AS target FROM nation UNION ALL SELECT 'domain', '{_EX}has' || n_name, '{_EX}' || n_name FROM nation UNION ALL SELECT 'range', '{_EX}has' || n_name, '{_EX}Thing' FROM nation")
 def jsonld_axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.load_axioms(jsonld.triples(spark.createDataFrame([(json.dumps(LINKED),)], "text string")))
+    """A JSON-LD text for each nation."""
+    text = F.replace(F.replace(F.lit(json.dumps(LINKED)), F.lit("ex:Grid"), F.concat(F.lit("ex:"), "n_name")), F.lit("ex:has"), F.concat(F.lit("ex:has"), "n_name"))
+    return o.load_axioms(jsonld.triples(table(spark, sf_dir, "nation").select(text.alias("text"))))
 
 
 @query("WITH t AS (SELECT 'r:' || replace(r_name, ' ', '_') AS s, 'is' AS p, 'region' AS o FROM region UNION ALL SELECT 'n:' || n_name, 'in', 'r:' || replace(r_name, ' ', '_') FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'r:' || replace(r_name, ' ', '_'), 'is', 'region' FROM nation JOIN region ON r_regionkey = n_regionkey) SELECT DISTINCT * FROM t")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.plans.fixtures import frame, with_sql
+from strata.plans.derived import frame, with_sql
 from strata.plans.registry import query, table
 from strata.sources import code, files, html
 
@@ -34,6 +35,13 @@ end program main"""
 NOTEBOOK = {"cells": [{"cell_type": "markdown", "source": ["# Title\n", "text"]}, {"cell_type": "code", "source": ["import math\n", "def half(x):\n", "    return math.floor(x / 2)\n", "half(4)"]}, {"cell_type": "code", "source": ["def broken(:"]}]}
 
 
+def _projects(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
+    """A file for each part: the text with the part's key behind each of the names."""
+    key = F.col("p_partkey").cast("string")
+    own = reduce(lambda x, n: F.replace(x, F.lit(n), F.concat(F.lit(n), key)), names, F.lit(text))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("f"), key).alias("file"), own.alias("text"))
+
+
 @query("SELECT page_id, CASE regexp_extract(url, '\\.([^./\\\\]+)$', 1) WHEN 'html' THEN 'document' WHEN 'json' THEN 'config' ELSE 'text' END AS file_type, regexp_replace(url, '[/\\\\: ]', '_', 'g') AS document_id FROM pages")
 def file_type_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", files.file_type("url").alias("file_type"), files.document_id("url").alias("document_id"))
@@ -64,35 +72,36 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", html.html_to_text("html").alias("text"))
 
 
-@query("SELECT * FROM (VALUES ('shapes', 'module', 1, 16, NULL, 'public'), ('area', 'function', 6, 10, 'shapes', 'public'), ('hidden', 'subroutine', 11, 15, 'shapes', 'private'), ('main', 'program', 17, 20, NULL, 'public')) v(name, etype, start_line, end_line, parent, access)")
+@query("""SELECT 'f' || p_partkey AS file, name || CASE WHEN name IN ('shapes', 'hidden') THEN p_partkey::VARCHAR ELSE '' END AS name, etype, start_line, end_line, parent || p_partkey AS parent, access FROM part, (VALUES ('shapes', 'module', 1, 16, NULL, 'public'), ('area', 'function', 6, 10, 'shapes', 'public'), ('hidden', 'subroutine', 11, 15, 'shapes', 'private'), ('main', 'program', 17, 20, NULL, 'public')) v(name, etype, start_line, end_line, parent, access)""")
 def parse_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = code.entity_rows(spark.createDataFrame([("shapes.f90", SOURCE)], "file string, text string"))
-    return rows.filter("kind = 'entity'").select("name", "etype", "start_line", "end_line", "parent", "access")
+    rows = code.entity_rows(_projects(spark, sf_dir, SOURCE, "shapes", "hidden"))
+    return rows.filter("kind = 'entity'").select("file", "name", "etype", "start_line", "end_line", "parent", "access")
 
 
-@query("SELECT * FROM (VALUES ('use', 'kinds', 'shapes', 2), ('call', 'log_it', 'area', 9), ('call', 'area_twice', 'hidden', 13), ('use', 'shapes', 'main', 18), ('call', 'run', 'main', 19)) v(kind, name, parent, line)")
+@query("""SELECT 'f' || p_partkey AS file, kind, name || CASE WHEN name = 'shapes' THEN p_partkey::VARCHAR ELSE '' END AS name, parent || CASE WHEN parent IN ('shapes', 'hidden') THEN p_partkey::VARCHAR ELSE '' END AS parent, line FROM part, (VALUES ('use', 'kinds', 'shapes', 2), ('call', 'log_it', 'area', 9), ('call', 'area_twice', 'hidden', 13), ('use', 'shapes', 'main', 18), ('call', 'run', 'main', 19)) v(kind, name, parent, line)""")
 def parse_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = code.entity_rows(spark.createDataFrame([("shapes.f90", SOURCE)], "file string, text string"))
-    return rows.filter("kind != 'entity'").select("kind", "name", "parent", "line")
+    rows = code.entity_rows(_projects(spark, sf_dir, SOURCE, "shapes", "hidden"))
+    return rows.filter("kind != 'entity'").select("file", "kind", "name", "parent", "line")
 
 
-@query("SELECT * FROM (VALUES ('entity', 'cell_0', 'markdown_cell', NULL), ('entity', 'cell_1', 'code_cell', NULL), ('use', 'math', NULL, 'cell_1'), ('entity', 'half', 'function', 'cell_1'), ('call', 'floor', NULL, 'cell_1'), ('call', 'half', NULL, 'cell_1'), ('entity', 'cell_2', 'code_cell', NULL)) v(kind, name, etype, parent)")
+@query("""SELECT 'f' || p_partkey AS file, kind, name || CASE WHEN name = 'half' THEN p_partkey::VARCHAR ELSE '' END AS name, etype, parent FROM part, (VALUES ('entity', 'cell_0', 'markdown_cell', NULL), ('entity', 'cell_1', 'code_cell', NULL), ('use', 'math', NULL, 'cell_1'), ('entity', 'half', 'function', 'cell_1'), ('call', 'floor', NULL, 'cell_1'), ('call', 'half', NULL, 'cell_1'), ('entity', 'cell_2', 'code_cell', NULL)) v(kind, name, etype, parent)""")
 def parse_notebook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = code.entity_rows(spark.createDataFrame([("n.ipynb", json.dumps(NOTEBOOK))], "file string, text string"), "notebook")
-    return rows.select("kind", "name", "etype", "parent")
+    rows = code.entity_rows(_projects(spark, sf_dir, json.dumps(NOTEBOOK), "half"), "notebook")
+    return rows.select("file", "kind", "name", "etype", "parent")
 
 
 @query(with_sql("axioms") + " SELECT '<' || source || '> ' || CASE type WHEN 'subsumption' THEN 'rdfs:subClassOf' ELSE 'ex:' || type END || ' <' || target || '> .' AS value FROM axioms")
 def ontology_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.export_turtle(frame(spark, "axioms"))
+    return files.export_turtle(frame(spark, "axioms", sf_dir))
 
 
 @query(with_sql("entities") + ", t AS (SELECT 'entity/' || entity_id AS s, unnest(['rdf:type', 'hasName', 'lineBegin', 'lineEnd', 'filePath']) AS p, unnest([etype, name, start_line::VARCHAR, end_line::VARCHAR, file]) AS o FROM entities) SELECT s, p, o FROM t")
 def entity_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.entity_triples(frame(spark, "entities"))
+    return files.entity_triples(frame(spark, "entities", sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('a.f90', 1, 'a.f90', 1, 'x'), ('a.f90', 2, 'b.inc', 1, 'y'), ('a.f90', 3, 'b.inc', 2, 'include ' || chr(39) || 'a.f90' || chr(39)), ('a.f90', 4, 'a.f90', 3, 'z'), ('b.inc', 1, 'b.inc', 1, 'y'), ('b.inc', 2, 'a.f90', 1, 'x'), ('b.inc', 3, 'a.f90', 2, 'include \"b.inc\"'), ('b.inc', 4, 'a.f90', 3, 'z')) v(file, flat_line, source, line, text)")
+@query("""SELECT 'p' || p_partkey AS project, file, flat_line, source, line, CASE text WHEN 'x' THEN 'x' || p_partkey ELSE text END AS text FROM part, (VALUES ('a.f90', 1, 'a.f90', 1, 'x'), ('a.f90', 2, 'b.inc', 1, 'y'), ('a.f90', 3, 'b.inc', 2, 'include ' || chr(39) || 'a.f90' || chr(39)), ('a.f90', 4, 'a.f90', 3, 'z'), ('b.inc', 1, 'b.inc', 1, 'y'), ('b.inc', 2, 'a.f90', 1, 'x'), ('b.inc', 3, 'a.f90', 2, 'include "b.inc"'), ('b.inc', 4, 'a.f90', 3, 'z')) v(file, flat_line, source, line, text)""")
 def include_flattening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("p", "a.f90", 'x\ninclude "b.inc"\nz'), ("p", "b.inc", "y\ninclude 'a.f90'")]
-    return code.source_map(spark.createDataFrame(rows, "project string, file string, text string")).drop("project")
+    key = F.col("p_partkey").cast("string")
+    pair = F.array(F.struct(F.lit("a.f90").alias("file"), F.concat(F.lit("x"), key, F.lit('\ninclude "b.inc"\nz')).alias("text")), F.struct(F.lit("b.inc").alias("file"), F.lit("y\ninclude 'a.f90'").alias("text")))
+    return code.source_map(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), key).alias("project"), F.inline(pair)))

@@ -1,4 +1,4 @@
-"""Queries on ontologies: the axiom fixture, a small Turtle text, and the region - nation hierarchy of the driver's tables."""
+"""Queries on ontologies that the geography of the given tables makes: axioms, Turtle texts, and the hierarchy down to customers."""
 
 from __future__ import annotations
 
@@ -6,28 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.operators import ontology as o
-from strata.plans import fixtures
+from strata.plans.derived import frame, with_sql
 from strata.plans.registry import query, table
 from strata.sources import turtle
 
-TTL = """@prefix owl: <http://www.w3.org/2002/07/owl#> .
+PREFIXES = """@prefix owl: <http://www.w3.org/2002/07/owl#> .
 @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
 @prefix skos: <http://www.w3.org/2004/02/skos/core#> .
 @prefix ex: <http://example.org/o#> .
-ex:Thing a owl:Class ; rdfs:label "thing"@en ; rdfs:comment "Any thing."@en .
-ex:Grid a owl:Class ; rdfs:subClassOf ex:Thing ; skos:prefLabel "grid" ; rdfs:label "mesh grid" .
-ex:Cell a owl:Class ; rdfs:subClassOf ex:Grid , ex:Unknown .
-ex:hasCell a owl:ObjectProperty ; rdfs:domain ex:Grid ; rdfs:range ex:Cell .
-ex:loose a owl:ObjectProperty .
 """
 
-AX = fixtures.with_sql("axioms")
+AX = with_sql("axioms")
 CLOSE = AX + """, up AS (SELECT DISTINCT source AS child, target AS parent FROM axioms WHERE type = 'subsumption'), reach(start, node, d) AS (SELECT parent, child, 1 FROM up UNION SELECT r.start, u.child, r.d + 1 FROM reach r JOIN up u ON u.parent = r.node WHERE r.d < 8),
 near AS (SELECT DISTINCT uri, neighbor FROM (SELECT source AS uri, target AS neighbor FROM axioms UNION ALL SELECT target, source FROM axioms) WHERE uri <> neighbor)"""
 
 
-def _axioms(spark: SparkSession) -> DataFrame:
-    return fixtures.frame(spark, "axioms")
+SPACE = "regexp_extract({0}, '^(.*[#/])[^#/]*$', 1)"
+
+
+def _axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, "axioms", sf_dir)
+
+
+def turtle_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples of a Turtle text for each region, nation and supplier."""
+    return turtle.triples(frame(spark, "turtle", sf_dir).select("file", F.concat(F.lit(PREFIXES), "body").alias("text")))
 
 
 def _hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,19 +42,20 @@ def _hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sub(nation, region, F.lit("geo#world")).distinct().unionByName(sub(nation, country, region)).unionByName(sub(people, F.concat(F.lit("geo#"), "c_name"), country))
 
 
-@query("""SELECT * FROM (VALUES ('domain', 'ex:hasCell', 'ex:Grid'), ('range', 'ex:hasCell', 'ex:Cell'), ('subsumption', 'ex:Grid', 'ex:Thing'), ('subsumption', 'ex:Cell', 'ex:Grid')) v(type, source, target)""")
+@query("""WITH g AS (SELECT 'ex:' || n_name AS n, 'ex:' || replace(r_name, ' ', '_') AS r, 'ex:has' || n_name AS p FROM nation JOIN region ON r_regionkey = n_regionkey)
+SELECT 'subsumption' AS type, n AS source, r AS target FROM g UNION SELECT 'subsumption', 'ex:' || replace(s_name, '#', '_'), 'ex:' || n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION SELECT 'domain', p, r FROM g UNION SELECT 'range', p, n FROM g""")
 def load_axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.load_axioms(turtle.triples(spark.createDataFrame([("o.ttl", TTL)], "file string, text string")))
+    return o.load_axioms(turtle_triples(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('ex:Thing', 'thing', 'Any thing.'), ('ex:Grid', 'grid', ''), ('ex:Cell', 'Cell', '')) v(uri, label, description)")
+@query("""SELECT 'ex:' || replace(r_name, ' ', '_') AS uri, lower(r_name) AS label, 'Region ' || r_name || '.' AS description FROM region UNION SELECT 'ex:' || n_name, lower(n_name), '' FROM nation JOIN region ON r_regionkey = n_regionkey UNION SELECT 'ex:' || replace(s_name, '#', '_'), replace(s_name, '#', '_'), '' FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
 def concept_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.concept_semantics(turtle.triples(spark.createDataFrame([("o.ttl", TTL)], "file string, text string")))
+    return o.concept_semantics(turtle_triples(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('ex#A', 1), ('ex#B', 2), ('ex#C', 3), ('ex#D', 3), ('ex#E', 2), ('ex#F', 3), ('ex#F2', 3)) v(uri, level)")
+@query(CLOSE + """, top AS (SELECT parent AS uri FROM up EXCEPT SELECT child FROM up), far AS (SELECT uri, 1 AS level FROM top UNION ALL SELECT node, d + 1 FROM reach WHERE start IN (SELECT uri FROM top)) SELECT u.uri, coalesce(min(level), 3)::INTEGER AS level FROM (SELECT child AS uri FROM up UNION SELECT parent FROM up) u LEFT JOIN far USING (uri) GROUP BY u.uri""")
 def concept_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.concept_levels(_axioms(spark))
+    return o.concept_levels(_axioms(spark, sf_dir))
 
 
 @query("""WITH l AS (SELECT 'geo#world' AS uri, 1 AS level UNION ALL SELECT 'geo#' || r_name, 2 FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name UNION ALL SELECT 'geo#' || n_name, 3 FROM nation UNION ALL SELECT DISTINCT 'geo#' || c_name, 4 FROM customer) SELECT level, count(*) AS n FROM l GROUP BY level""")
@@ -61,7 +65,7 @@ def concept_level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CLOSE + " SELECT DISTINCT start AS ancestor, node AS uri FROM reach WHERE start <> node")
 def subconcepts_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.subconcepts(_axioms(spark))
+    return o.subconcepts(_axioms(spark, sf_dir))
 
 
 @query("""SELECT ancestor, count(*) AS n FROM (SELECT 'geo#' || r_name AS ancestor FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT 'geo#' || r_name FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey
@@ -75,38 +79,42 @@ def hierarchy_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.hierarchy_chains(_hierarchy(spark, sf_dir)).filter("size(split(chain, ' > ')) = 3")
 
 
-@query("SELECT * FROM (VALUES ('cycle', 'ex#F'), ('cycle', 'ex#F2'), ('no_domain', 'ex#r2'), ('no_range', 'ex#r1'), ('no_range', 'ex#r2')) v(kind, uri)")
+@query(CLOSE + """ SELECT 'cycle' AS kind, start AS uri FROM reach WHERE start = node GROUP BY 2 UNION ALL SELECT 'no_domain', 'rel#' || n_name FROM nation WHERE n_nationkey % 2 = 1 UNION ALL SELECT 'no_range', 'rel#' || n_name FROM nation WHERE n_nationkey % 3 > 0""")
 def validate_ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axioms = _axioms(spark).unionByName(spark.createDataFrame([("domain", "ex#r1", "ex#A")], "type string, source string, target string"))
-    return o.validate(axioms, spark.createDataFrame([("ex#r1",), ("ex#r2",)], "uri string"))
+    nation = table(spark, sf_dir, "nation").withColumn("uri", F.concat(F.lit("rel#"), "n_name"))
+    about = lambda kind, k: nation.filter(F.col("n_nationkey") % k == 0).select(F.lit(kind).alias("type"), F.col("uri").alias("source"), F.lit("geo#world").alias("target"))
+    axioms = _axioms(spark, sf_dir).unionByName(about("domain", 2)).unionByName(about("range", 3))
+    return o.validate(axioms, nation.select("uri"))
 
 
 @query(CLOSE + " SELECT uri, neighbor FROM near")
 def concept_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.neighbors(_axioms(spark))
+    return o.neighbors(_axioms(spark, sf_dir))
 
 
 @query(CLOSE + """, d AS (SELECT uri AS a, neighbor AS b, 1 AS d FROM near UNION ALL SELECT x.uri, y.uri, 2 FROM near x JOIN near y ON x.neighbor = y.neighbor WHERE x.uri <> y.uri
-UNION ALL SELECT x.uri, y.uri, CASE WHEN x.uri = y.uri THEN 0 ELSE 3 END FROM (SELECT DISTINCT uri FROM near) x, (SELECT DISTINCT uri FROM near) y) SELECT a, b, min(d) AS distance FROM d GROUP BY a, b""")
+UNION ALL SELECT x.uri, y.uri, CASE WHEN x.uri = y.uri THEN 0 ELSE 3 END FROM (SELECT DISTINCT uri FROM near) x JOIN (SELECT DISTINCT uri FROM near) y ON regexp_extract(x.uri, '^(.*[#/])', 1) = regexp_extract(y.uri, '^(.*[#/])', 1)) SELECT a, b, min(d) AS distance FROM d GROUP BY a, b""")
 def ontology_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.distances(_axioms(spark))
+    return o.distances(_axioms(spark, sf_dir))
 
 
-@query(CLOSE + """, c AS (SELECT child AS a, parent AS b, 0.8::DOUBLE AS s, 1 AS r FROM up UNION ALL SELECT parent, child, 0.8::DOUBLE, 1 FROM up UNION ALL SELECT source, target, CASE type WHEN 'semantic_equivalent' THEN 0.9::DOUBLE ELSE -0.5::DOUBLE END, 2 FROM axioms WHERE type LIKE 'semantic%'
-UNION ALL SELECT target, source, CASE type WHEN 'semantic_equivalent' THEN 0.9::DOUBLE ELSE -0.5::DOUBLE END, 2 FROM axioms WHERE type LIKE 'semantic%' UNION ALL SELECT x.uri, y.uri, CASE WHEN x.uri = y.uri THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END, CASE WHEN x.uri = y.uri THEN 0 ELSE 3 END FROM (SELECT DISTINCT uri FROM near) x, (SELECT DISTINCT uri FROM near) y)
-SELECT a, b, arg_min(s, r) AS score FROM c GROUP BY a, b""")
+@query(CLOSE + """, c AS (SELECT child AS a, parent AS b, 0.8::DOUBLE AS s, 1 AS r FROM up UNION ALL SELECT parent, child, 0.8::DOUBLE, 1 FROM up UNION ALL SELECT source, target, CASE type WHEN 'semantic_equivalent' THEN 0.9::DOUBLE WHEN 'semantic_related' THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END, 2 FROM axioms WHERE type LIKE 'semantic%'
+UNION ALL SELECT target, source, CASE type WHEN 'semantic_equivalent' THEN 0.9::DOUBLE WHEN 'semantic_related' THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END, 2 FROM axioms WHERE type LIKE 'semantic%' UNION ALL SELECT x.uri, y.uri, CASE WHEN x.uri = y.uri THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END, CASE WHEN x.uri = y.uri THEN 0 ELSE 3 END FROM (SELECT DISTINCT uri FROM near) x JOIN (SELECT DISTINCT uri FROM near) y ON regexp_extract(x.uri, '^(.*[#/])', 1) = regexp_extract(y.uri, '^(.*[#/])', 1))
+SELECT a, b, arg_min(s, (r, -s)) AS score FROM c GROUP BY a, b""")
 def pairwise_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.compatibility(_axioms(spark))
+    return o.compatibility(_axioms(spark, sf_dir))
 
 
-@query("SELECT 'ex#' AS domain, 1.0::DOUBLE AS weight")
+@query(with_sql("axioms", "chunk_concepts") + """, f AS (SELECT uri, confidence AS w FROM chunk_concepts UNION ALL SELECT target, 0.5::DOUBLE * confidence FROM chunk_concepts JOIN (SELECT DISTINCT source, target FROM axioms WHERE type = 'subsumption') ON source = uri UNION ALL SELECT target, 0.3::DOUBLE * confidence FROM chunk_concepts JOIN axioms ON source = uri AND type LIKE 'semantic%'),
+d AS (SELECT regexp_extract(uri, '^(.*[#/])', 1) AS domain, sum(w) AS w FROM f GROUP BY 1) SELECT domain, round(w / sum(w) OVER (), 6) AS weight FROM d""")
 def domain_context_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.domain_context_weights(fixtures.frame(spark, "chunk_concepts"), _axioms(spark))
+    return o.domain_context_weights(frame(spark, "chunk_concepts", sf_dir), _axioms(spark, sf_dir)).select("domain", F.round("weight", 6).alias("weight"))
 
 
-@query("SELECT 'ex#' AS a, 'ex#' AS b, round(0.6::DOUBLE * 7 / 49 + 0.4::DOUBLE * 2 / 49 - 0.2::DOUBLE, 6) AS score")
+@query(AX + """, u AS (SELECT source AS uri FROM axioms UNION SELECT target FROM axioms), n AS (SELECT regexp_extract(uri, '^(.*[#/])', 1) AS d, count(*) AS n FROM u GROUP BY 1), l AS (SELECT least(regexp_extract(source, '^(.*[#/])', 1), regexp_extract(target, '^(.*[#/])', 1)) AS a, greatest(regexp_extract(source, '^(.*[#/])', 1), regexp_extract(target, '^(.*[#/])', 1)) AS b, count(*) FILTER (type = 'subsumption') AS h, count(*) FILTER (type LIKE 'semantic%') AS r, max((type IN ('semantic_opposite', 'semantic_exclusive'))::INT) AS o FROM axioms GROUP BY 1, 2)
+SELECT x.d AS a, y.d AS b, round(0.6::DOUBLE * coalesce(h, 0) / (x.n * y.n) + 0.4::DOUBLE * coalesce(r, 0) / (x.n * y.n) - 0.2::DOUBLE * coalesce(o, 0), 6) AS score FROM n x JOIN n y ON x.d <= y.d LEFT JOIN l ON l.a = x.d AND l.b = y.d""")
 def domain_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.domain_compatibility(_axioms(spark)).select("a", "b", F.round("score", 6).alias("score"))
+    return o.domain_compatibility(_axioms(spark, sf_dir)).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query("""WITH f AS (SELECT doc_id, source AS label, 'u#' || lang AS uri, (n_chars % 100) / 100.0::DOUBLE AS confidence FROM documents), c(uri, context) AS (VALUES ('u#en', 0.5::DOUBLE), ('u#fr', 0.2::DOUBLE)),

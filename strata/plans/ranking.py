@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.operators import ranking as r
 from strata.operators import retrieval
-from strata.plans.fixtures import frame, with_sql
+from strata.plans.derived import frame, with_sql
 from strata.plans.registry import query, table
 from strata.plans.retrieval import SCORED, _scored
 
@@ -24,9 +24,10 @@ def _wanted(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("l#1", 0.9), ("l#4", 0.6)], "uri string, confidence double")
 
 
-@query("SELECT * FROM (VALUES (1, 0.72::DOUBLE)) v(chunk_id, concept)")
+@query(with_sql("axioms", "chunk_concepts", "query_concepts") + """, up AS (SELECT DISTINCT source AS child, target AS parent FROM axioms WHERE type = 'subsumption'), kin AS (SELECT DISTINCT x.child AS a, y.child AS b FROM up x JOIN up y USING (parent) WHERE x.child <> y.child),
+q AS (SELECT uri, confidence AS c FROM query_concepts UNION ALL SELECT a, 0.7::DOUBLE * confidence FROM query_concepts JOIN kin ON b = uri) SELECT chunk_id, round(max(k.confidence * q.c), 6) AS concept FROM chunk_concepts k JOIN q USING (uri) GROUP BY chunk_id""")
 def concept_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = r.concept_scores(frame(spark, "chunk_concepts"), frame(spark, "query_concepts"), frame(spark, "axioms"))
+    out = r.concept_scores(frame(spark, "chunk_concepts", sf_dir), frame(spark, "query_concepts", sf_dir), frame(spark, "axioms", sf_dir))
     return out.select("chunk_id", F.round("concept", 6).alias("concept"))
 
 
@@ -64,7 +65,7 @@ def grouped_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql("entities") + " SELECT name FROM entities e WHERE NOT EXISTS (SELECT 1 FROM entities i WHERE i.file = e.file AND i.entity_id <> e.entity_id AND e.start_line <= i.start_line AND e.end_line >= i.end_line AND e.end_line - e.start_line > i.end_line - i.start_line)")
 def drop_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.drop_containers(frame(spark, "entities")).select("name")
+    return r.drop_containers(frame(spark, "entities", sf_dir)).select("name")
 
 
 @query(BASE + " SELECT chunk_id, round(similarity, 6) AS similarity FROM chunks WHERE confidence >= 0.4 AND uri IN (SELECT uri FROM wanted) ORDER BY chunks.similarity DESC, chunk_id LIMIT 10")

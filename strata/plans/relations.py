@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.operators import relations as r
-from strata.plans.fixtures import frame
+from strata.plans.derived import frame, with_sql
 from strata.plans.registry import query, table
 
 
-@query("SELECT * FROM (VALUES ('a', 'c', 2, 0.64::DOUBLE), ('b', 'd', 2, 0.64::DOUBLE), ('a', 'd', 3, 0.512::DOUBLE)) v(s, o, hops, score)")
+@query(with_sql("relation_edges") + """, reach(s, o, d) AS (SELECT s, o, 1 FROM relation_edges UNION SELECT r.s, e.o, r.d + 1 FROM reach r JOIN relation_edges e ON e.s = r.o WHERE r.d < 60) SELECT s, o, min(d)::INTEGER AS hops, round(power(0.8::DOUBLE, min(d)), 6) AS score FROM reach WHERE s <> o GROUP BY s, o HAVING min(d) > 1""")
 def transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.transitive_closure(frame(spark, "relation_edges")).withColumn("score", F.round(r.chained_score(F.col("hops")), 6))
+    return r.transitive_closure(frame(spark, "relation_edges", sf_dir)).withColumn("score", F.round(r.chained_score(F.col("hops")), 6))
 
 
 @query()

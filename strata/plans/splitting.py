@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.operators import chunking as c
-from strata.plans.fixtures import frame
+from strata.plans.derived import frame
 from strata.plans.registry import query, table
 
 
@@ -34,14 +34,14 @@ def line_pack_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sizes(c.split_rows(table(spark, sf_dir, "documents"), c.line_pack))
 
 
-@query("SELECT * FROM (VALUES ('header', 1, 'Alpha', 0, 0), ('paragraph', 0, '', 1, 1), ('header', 2, 'Beta', 2, 2), ('list', 0, '', 3, 4), ('header', 3, 'Gamma', 5, 5), ('paragraph', 0, '', 6, 6), ('header', 2, 'Delta', 7, 7), ('paragraph', 0, '', 8, 8), ('header', 1, 'SUMMARY', 9, 9), ('header', 2, 'Numbered', 10, 10), ('paragraph', 0, '', 11, 11)) v(kind, level, title, start_line, end_line)")
+@query("""SELECT doc_id, kind, level, CASE title WHEN 'Alpha' THEN 'Alpha' || doc_id WHEN 'Beta' THEN lang WHEN 'Gamma' THEN source ELSE title END AS title, start_line, end_line FROM documents, (VALUES ('header', 1, 'Alpha', 0, 0), ('paragraph', 0, '', 1, 1), ('header', 2, 'Beta', 2, 2), ('list', 0, '', 3, 4), ('header', 3, 'Gamma', 5, 5), ('paragraph', 0, '', 6, 6), ('header', 2, 'Delta', 7, 7), ('paragraph', 0, '', 8, 8), ('header', 1, 'SUMMARY', 9, 9), ('header', 2, 'Numbered', 10, 10), ('paragraph', 0, '', 11, 11)) v(kind, level, title, start_line, end_line)""")
 def document_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.structure_rows(frame(spark, "notes")).select("kind", "level", "title", "start_line", "end_line")
+    return c.structure_rows(frame(spark, "notes", sf_dir)).select("doc_id", "kind", "level", "title", "start_line", "end_line")
 
 
-@query("SELECT * FROM (VALUES (0, 1, 'Alpha', NULL::INTEGER), (1, 2, 'Alpha/Beta', 0), (2, 3, 'Alpha/Beta/Gamma', 1), (3, 2, 'Alpha/Delta', 0)) v(n, level, path, parent)")
+@query("""SELECT doc_id, n, level, replace(replace(replace(path, 'Alpha', 'Alpha' || doc_id), 'Beta', lang), 'Gamma', source) AS path, parent FROM documents, (VALUES (0, 1, 'Alpha', NULL::INTEGER), (1, 2, 'Alpha/Beta', 0), (2, 3, 'Alpha/Beta/Gamma', 1), (3, 2, 'Alpha/Delta', 0)) v(n, level, path, parent)""")
 def section_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.section_rows(frame(spark, "notes")).select("n", "level", "path", "parent")
+    return c.section_rows(frame(spark, "notes", sf_dir)).select("doc_id", "n", "level", "path", "parent")
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), s AS (SELECT *, sum((length(line) < 40)::INT) OVER (PARTITION BY doc_id ORDER BY n)::BIGINT AS section FROM l)

@@ -1,4 +1,4 @@
-"""Queries on text scalars, over documents and pages and over small code and note fixtures."""
+"""Queries on text scalars, over documents, pages and conversations, and over code that parts give."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strata import config
 from strata.functions import text as t
-from strata.plans import fixtures
+from strata.plans.derived import frame, with_sql
 from strata.plans.registry import query, table
 
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
@@ -123,33 +123,39 @@ def uri_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", t.uri_label("url").alias("label"), t.uri_domain("url").alias("domain"))
 
 
-@query("SELECT * FROM (VALUES ('IL', 'marie', 'MARIE'), ('Il', 'marie', 'Marie'), ('il', 'Marie', 'Marie')) v(original, replacement, adjusted)")
+@query(with_sql("phrases") + """ SELECT conv_id, turn, original, replacement, CASE WHEN replace(upper(original), 'ẞ', 'SS') = original AND lower(original) <> original AND length(original) > 1 THEN replace(upper(replacement), 'ẞ', 'SS') WHEN replace(upper(substr(original, 1, 1)), 'ẞ', 'SS') = substr(original, 1, 1) AND lower(substr(original, 1, 1)) <> substr(original, 1, 1) THEN replace(upper(substr(replacement, 1, 1)), 'ẞ', 'SS') || substr(replacement, 2) ELSE replacement END AS adjusted FROM phrases""")
 def adjust_casing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("IL", "marie"), ("Il", "marie"), ("il", "Marie")], "original string, replacement string")
-    return rows.withColumn("adjusted", t.adjust_casing(F.col("original"), F.col("replacement")))
+    """The first two words of each turn, as they are and in capitals."""
+    return frame(spark, "phrases", sf_dir).withColumn("adjusted", t.adjust_casing(F.col("original"), F.col("replacement")))
 
 
-def _code(spark: SparkSession) -> DataFrame:
-    return fixtures.frame(spark, "code")
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, "code", sf_dir)
 
 
-@query("SELECT * FROM (VALUES ('demo.f90', 'step_one,step_two', 'step_one,step_three,step_two', 'subroutine demo(x)', 'f90', 'demo')) v(file, calls, calls_with_operators, signature, standard, interface)")
+@query("""SELECT p_partkey || '.f90' AS file, 'step_' || split_part(p_name, ' ', 1) || ',step_two' AS calls, array_to_string(list_sort(['step_' || split_part(p_name, ' ', 1), 'step_three', 'step_two']), ',') AS calls_with_operators, 'subroutine demo' || p_partkey || '(x)' AS signature, 'f90' AS standard, 'demo' || p_partkey AS interface FROM part""")
 def extract_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _code(spark).select(
+    return _code(spark, sf_dir).select(
         "file", F.array_join(t.extract_calls("text"), ",").alias("calls"), F.array_join(t.extract_calls("text", operators=True), ",").alias("calls_with_operators"),
         t.extract_signature("text").alias("signature"), t.language_standard("text").alias("standard"), F.array_join(t.public_interface("text"), ",").alias("interface"),
     )
 
 
-@query("""SELECT * FROM (VALUES ('demo.f90', 'subroutine demo(x)' || chr(10) || '  character(4) :: s = ''a!b''' || chr(10) || chr(10) || '  call step_one(x)' || chr(10) || '  y = step_two(x) + step_three(x)' || chr(10) || 'end subroutine demo',
-'subroutine demo(x)' || chr(10) || '  character(4) :: s = ''a!b''' || chr(10) || '!$omp parallel' || chr(10) || '  call step_one(x)' || chr(10) || '  y = step_two(x) + step_three(x)' || chr(10) || 'end subroutine demo')) v(file, bare, cleaned)""")
+@query("""SELECT p_partkey || '.f90' AS file, 'subroutine demo' || p_partkey || '(x)' || chr(10) || '  character(4) :: s = ''a!b''' || chr(10) || chr(10) || '  call step_' || split_part(p_name, ' ', 1) || '(x)' || chr(10) || '  y = step_two(x) + step_three(x)' || chr(10) || 'end subroutine demo' || p_partkey AS bare,
+'subroutine demo' || p_partkey || '(x)' || chr(10) || '  character(4) :: s = ''a!b''' || chr(10) || '!$omp parallel' || chr(10) || '  call step_' || split_part(p_name, ' ', 1) || '(x)' || chr(10) || '  y = step_two(x) + step_three(x)' || chr(10) || 'end subroutine demo' || p_partkey AS cleaned FROM part""")
 def remove_code_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _code(spark).select("file", t.remove_comments("text").alias("bare"), t.clean_code("text").alias("cleaned"))
+    return _code(spark, sf_dir).select("file", t.remove_comments("text").alias("bare"), t.clean_code("text").alias("cleaned"))
 
 
-@query()
+def _pattern(label: str, concept: tuple) -> str:
+    category, base, keys = concept
+    score = " + ".join(f"contains(lower(name || ' ' || signature), '{k}')::INT + 2 * contains(lower(name), '{k}')::INT" for k in keys)
+    return f"SELECT name, '{label}' AS label, '{category}' AS category, least(1.0::DOUBLE, ({score}) / {len(keys) + 2}.0::DOUBLE * {base}) AS confidence FROM patterned"
+
+
+@query(with_sql("patterned") + " SELECT * FROM (" + " UNION ALL ".join(_pattern(*kv) for kv in t.CONCEPTS.items()) + ") WHERE confidence >= 0.3")
 def pattern_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.frame(spark, "entities")
+    rows = frame(spark, "patterned", sf_dir)
     return rows.select("name", F.inline(t.pattern_concepts(F.concat_ws(" ", "name", "signature"), F.col("name"))))
 
 
@@ -161,15 +167,19 @@ def keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", score.alias("score")).filter("score >= 3")
 
 
-@query("SELECT * FROM (VALUES (5, 'iterative_solver', 1.0::DOUBLE), (6, 'iterative_solver', 0.5::DOUBLE)) v(entity_id, label, confidence)")
+@query("""SELECT p_partkey AS entity_id, label, confidence FROM part JOIN (VALUES (0, 'iterative_solver', 1.0::DOUBLE), (1, 'iterative_solver', 0.5::DOUBLE)) v(k, label, confidence) ON k = p_partkey % 3""")
 def algorithmic_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(5, "do iteration until residual < tolerance; converge", ["iteration"]), (6, "residual of grid", ["residual_norm"]), (7, "print", [])], "entity_id int, code string, concepts array<string>")
-    return rows.select("entity_id", F.inline(t.algorithmic_patterns(F.col("code"), F.col("concepts"))))
+    """By turns code that iterates and says so, code that names a residual, and code without a pattern, each with a part's name."""
+    case = lambda a, b, c: F.when(F.col("p_partkey") % 3 == 0, a).when(F.col("p_partkey") % 3 == 1, b).otherwise(c)
+    code = F.concat("p_name", case(F.lit(": do iteration until residual < tolerance; converge"), F.lit(": residual of grid"), F.lit(": print")))
+    found = case(F.array(F.lit("iteration")), F.array(F.lit("residual_norm")), F.array().cast("array<string>"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), F.inline(t.algorithmic_patterns(code, found)))
 
 
-@query("SELECT 1 AS doc_id, '0-3,5-8|20-22|60-63' AS groups")
+@query("""SELECT doc_id, doc_id || '-' || (doc_id + 3) || ',' || (doc_id + 5) || '-' || (doc_id + 8) || '|' || (doc_id + 20) || '-' || (doc_id + 22) || '|' || (doc_id + 60) || '-' || (doc_id + 63) AS groups FROM documents""")
 def pronoun_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = "array(named_struct('start', 0, 'end', 3), named_struct('start', 5, 'end', 8), named_struct('start', 20, 'end', 22), named_struct('start', 60, 'end', 63))"
-    groups = t.group_positions(F.expr(found), 3, 15)
+    """Places that lie as far into a text as its id says."""
+    place = lambda a, z: F.struct((F.col("doc_id") + a).cast("int").alias("start"), (F.col("doc_id") + z).cast("int").alias("end"))
+    groups = t.group_positions(F.array(place(0, 3), place(5, 8), place(20, 22), place(60, 63)), 3, 15)
     text = F.array_join(F.transform(groups, lambda g: F.array_join(F.transform(g, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")), "|")
-    return spark.range(1).select(F.lit(1).alias("doc_id"), text.alias("groups"))
+    return _docs(spark, sf_dir).select("doc_id", text.alias("groups"))

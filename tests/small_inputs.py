@@ -1,4 +1,4 @@
-"""Small inputs written for this repository; the SQL side gets the same rows as VALUES."""
+"""Small inputs with known results, written for the tests."""
 
 from __future__ import annotations
 
@@ -37,25 +37,3 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
 def frame(spark: SparkSession, name: str) -> DataFrame:
     schema, rows = FIXTURES[name]
     return spark.createDataFrame(rows, schema)
-
-
-def _literal(value: object, kind: str) -> str:
-    if value is None:
-        return "NULL"
-    if isinstance(value, bool):
-        return str(value).upper()
-    if isinstance(value, str):
-        parts = [f"'{p.replace(chr(39), chr(39) * 2)}'" for p in value.split("\n")]
-        return "(" + " || chr(10) || ".join(parts) + ")" if len(parts) > 1 else parts[0]
-    return f"{value}::{kind.upper()}"
-
-
-def with_sql(*names: str) -> str:
-    """Common table expressions that define the fixtures."""
-    out = []
-    for name in names:
-        schema, rows = FIXTURES[name]
-        columns, kinds = zip(*(f.split(" ") for f in schema.split(", ")), strict=True)
-        values = ", ".join("(" + ", ".join(_literal(v, k) for v, k in zip(row, kinds, strict=True)) + ")" for row in rows)
-        out.append(f"{name}({', '.join(columns)}) AS (VALUES {values})")
-    return "WITH RECURSIVE " + ", ".join(out)

@@ -4,13 +4,13 @@ import random
 
 import numpy as np
 import pytest
+import small_inputs as fixtures
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strata.functions import vectors as v
 from strata.operators import chunking, graph, ontology, retrieval
-from strata.plans import fixtures
 from strata.sources import code, files, turtle
 from strata.streaming import ingest
 
