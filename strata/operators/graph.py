@@ -114,19 +114,21 @@ def subgraph(edges: DataFrame, start: int, depth: int = 2, most: int = 50) -> Da
     return seen.orderBy("level", "node").limit(most)
 
 
-def cycles(e: DataFrame, uses: DataFrame, *, most_nodes: int = 10) -> DataFrame:
-    """cycle: simple cycles of USE links inside components of up to ``most_nodes`` entities, each once, from its least name.
+def cycles(e: DataFrame, uses: DataFrame, *, most_extra: int = 6) -> DataFrame:
+    """cycle: simple cycles of USE links inside components with at most ``most_extra`` links more than a ring has, each once, from its least name.
 
-    A larger component is one row, ``<n> entities around <least name>``: its cycles can be more than any number, and what
-    matters is which entities depend on each other, which strong_components tells.
+    Each further link can double the number of cycles, so a denser component is one row, ``<n> entities around <least name>``:
+    what matters there is which entities depend on each other, which strong_components tells.
     """
     links = resolved(e, uses).filter("dst_id is not null").join(e.select(F.col("entity_id").alias("src_id"), F.lower("name").alias("a")), "src_id").select("a", F.lower("dst_name").alias("b")).filter("a != b").distinct()
     links = cut(links)
-    part = paths.strong_components(links.toDF("src", "dst"))
-    sized = cut(part.join(part.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "component"))
-    large = sized.filter(F.col("n") > most_nodes).select(F.concat(F.col("n").cast("string"), F.lit(" entities around "), "component").alias("cycle"))
-    small = sized.filter(F.col("n") <= most_nodes)
-    links = cut(links.join(small.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(small.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").filter("ca = cb").select("a", "b"))
+    part = cut(paths.strong_components(links.toDF("src", "dst")))
+    inside = cut(links.join(part.toDF("a", "ca"), "a").join(part.toDF("b", "cb"), "b").filter("ca = cb"))
+    nodes = part.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    sized = cut(inside.groupBy(F.col("ca").alias("component")).agg(F.count(F.lit(1)).alias("m")).join(nodes, "component"))
+    large = sized.filter(F.col("m") - F.col("n") > most_extra).select(F.concat(F.col("n").cast("string"), F.lit(" entities around "), "component").alias("cycle"))
+    small = sized.filter(F.col("m") - F.col("n") <= most_extra).select(F.col("component").alias("ca"))
+    links = cut(inside.join(small, "ca", "left_semi").select("a", "b"))
     paths_now = cut(links.filter("a < b").select(F.col("a").alias("first"), F.col("b").alias("last"), F.array("a", "b").alias("path")))
     found = large
     while not paths_now.isEmpty():

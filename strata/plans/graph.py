@@ -98,9 +98,9 @@ def dependency_subgraph(spark, sf_dir):
 
 
 @query(SQL + """, l AS (SELECT DISTINCT lower(s.name) AS a, lower(u.dst_name) AS b FROM uses u JOIN entities s ON s.entity_id = u.src_id WHERE lower(u.dst_name) IN (SELECT lower(name) FROM entities) AND lower(s.name) <> lower(u.dst_name)), far(a, b) AS (SELECT a, b FROM l UNION SELECT f.a, l.b FROM far f JOIN l ON l.a = f.b),
-comp AS (SELECT x.a AS node, least(x.a, min(x.b)) AS c FROM far x JOIN far y ON y.a = x.b AND y.b = x.a GROUP BY x.a), sized AS (SELECT *, count(*) OVER (PARTITION BY c) AS n FROM comp), own AS (SELECT l.* FROM l JOIN sized x ON x.node = l.a JOIN sized y ON y.node = l.b WHERE x.c = y.c AND x.n BETWEEN 2 AND 10),
+comp AS (SELECT x.a AS node, least(x.a, min(x.b)) AS c FROM far x JOIN far y ON y.a = x.b AND y.b = x.a GROUP BY x.a), dense AS (SELECT x.c, count(*) AS m, (SELECT count(*) FROM comp z WHERE z.c = x.c) AS n FROM l JOIN comp x ON x.node = l.a JOIN comp y ON y.node = l.b WHERE x.c = y.c GROUP BY x.c), own AS (SELECT l.* FROM l JOIN comp x ON x.node = l.a JOIN comp y ON y.node = l.b JOIN dense d ON d.c = x.c WHERE x.c = y.c AND m - n <= 6),
 path(first, last, p) AS (SELECT a, b, [a, b] FROM own WHERE a < b UNION ALL SELECT p.first, o.b, list_append(p.p, o.b) FROM path p JOIN own o ON o.a = p.last WHERE o.b > p.first AND NOT list_contains(p.p, o.b))
-SELECT array_to_string(list_append(p, first), ' -> ') AS cycle FROM path JOIN own ON own.a = last AND own.b = first UNION SELECT n || ' entities around ' || c FROM sized WHERE n > 10""")
+SELECT array_to_string(list_append(p, first), ' -> ') AS cycle FROM path JOIN own ON own.a = last AND own.b = first UNION SELECT n || ' entities around ' || c FROM dense WHERE m - n > 6""")
 def circular_dependencies(spark, sf_dir):
     e, u, _, _ = _all(spark, sf_dir)
     return g.cycles(e, u)
