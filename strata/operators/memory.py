@@ -95,17 +95,6 @@ def smart_detection(bottom_up: DataFrame, top_down: DataFrame, *, state: str, pa
     return top_per(both.groupBy(state, pattern).agg(F.max("confidence").alias("confidence")), state, most, pattern, by="confidence")
 
 
-def domain_classify(states: DataFrame, centroids: DataFrame, members: DataFrame, *, state: str, domain: str, k: int, vector: str = "embedding", beta: float = config.HOPFIELD_BETA) -> DataFrame:
-    """The 2k domains with the nearest centroids, ranked by the confidence of each domain's own memory; k stay."""
-    near = top_per(similarities(states, centroids, state=state, pattern=domain, vector=vector), state, 2 * k, domain).select(state, domain)
-    inside = near.join(members.select(domain, F.col(vector).alias("_p")), domain).join(states.select(state, F.col(vector).alias("_s")), state)
-    pairs = inside.select(state, domain, v.cosine("_s", "_p").alias("similarity")).filter("similarity is not null")
-    peak = pairs.groupBy(state, domain).agg(F.max("similarity").alias("_m"))
-    z = pairs.join(peak, [state, domain]).groupBy(state, domain).agg(F.first("_m").alias("_m"), F.sum(F.exp(beta * (F.col("similarity") - F.col("_m")))).alias("_z"))
-    e = -(F.col("_m") + F.ln("_z") / beta)
-    return top_per(z.withColumn("confidence", F.exp(-e) / (1 + F.exp(-e))), state, k, domain, by="confidence").select(state, domain, "confidence", "rank")
-
-
 def leader_clusters(rows: DataFrame, context: str, key: str, vector: str = "embedding", least: float = 0.7) -> DataFrame:
     """context, key, cluster: in the order of the key, an item joins the nearest centroid with a dot product over ``least`` and
     moves it, else leads a new cluster. Order matters, so a context is one group: the concepts of one document."""

@@ -165,3 +165,28 @@ def dominance(text: Column, label: Column, confidence: Column, generic: Column)
     low, name = F.lower(text), F.lower(label)
     times = F.when(F.length(name) > 0, (F.length(low) - F.length(F.replace(low, name))) / F.length(name)).otherwise(0)
     return confidence + F.least(F.lit(0.3), 0.1 * times) + F.when(F.contains(F.substring(low, 1, 200), name), 0.1).otherwise(0.0) - F.when(generic, 0.1).otherwise(0.0)
+
+
+def resolve_across_domains(refs: DataFrame, concepts_of: DataFrame, domains: DataFrame) -> DataFrame:
+    """All columns of refs(uri, source) and resolved: the concept that a short name means.
+
+    Whole addresses (http, https) mean themselves. Else it is the least uri of concepts_of(uri) that ends with
+    ``<source>_<uri>``, else the least that ends with ``<domain>_<uri>`` for the first of domains(domain) by name that has one, else
+    the name itself. No name is compared with all concepts: each underscore of a concept's uri parts a tail from a head whose
+    end must be a domain's name, which a join on just the lengths that names have finds; tails then meet names by an equi-join,
+    one row for each tail and domain. A null uri or source resolves as if no concept had it. Names and sources are few beside the
+    concepts; nothing is broadcast but by Spark's own choice.
+    """
+    listed = domains.select("domain").filter("domain is not null").distinct()
+    names = listed.withColumn("_known", F.lit(True)).unionByName(refs.select(F.col("source").alias("domain")).filter("source is not null").distinct().join(listed, "domain", "left_anti").withColumn("_known", F.lit(False)))
+    names = cut(names)
+    lengths = [r[0] for r in names.select(F.length("domain")).distinct().collect()]  # as many as names differ in length
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length("uri"), F.lit(1))), lambda i: F.substring(F.col("uri"), i, F.lit(1)) == "_")
+    parts = concepts_of.select("uri").filter("uri is not null").distinct().select("uri", F.explode(at).alias("_at")).select("uri", "_at", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")).alias("_n")).filter("_at > _n")
+    heads = parts.select("uri", F.expr("substring(uri, _at - _n, _n)").alias("domain"), F.expr("substring(uri, _at + 1)").alias("_tail"))
+    ends = cut(heads.join(names, "domain").groupBy("_tail", "domain", "_known").agg(F.min("uri").alias("_uri")))
+    own = ends.select(F.col("_tail").alias("_t1"), F.col("domain").alias("_d1"), F.col("_uri").alias("_own"))
+    best = ends.filter("_known").groupBy(F.col("_tail").alias("_t2")).agg(F.min_by("_uri", "domain").alias("_best"))
+    joined = refs.join(own, (F.col("uri") == F.col("_t1")) & (F.col("source") == F.col("_d1")), "left").join(best, F.col("uri") == F.col("_t2"), "left")
+    whole = F.col("uri").startswith("http://") | F.col("uri").startswith("https://")
+    return joined.select(*refs.columns, F.when(whole, F.col("uri")).otherwise(F.coalesce("_own", "_best", "uri")).alias("resolved"))

@@ -56,6 +56,9 @@ DERIVED: dict[str, str] = {
     "notes": "SELECT doc_id, concat('# Alpha', CAST(doc_id AS STRING), chr(10), 'Intro one. Intro two.', chr(10), '## ', lang, chr(10), '- item', chr(10), '- item two', chr(10), '### ', source, chr(10), 'See [7] and https://example.org/x now.', chr(10), '## Delta', chr(10), 'She said \"short phrase\" here.', chr(10), 'SUMMARY', chr(10), '1.2. Numbered', chr(10), 'End.') AS text FROM {documents}",
     "code": "SELECT concat(CAST(p_partkey AS STRING), '.f90') AS file, concat('subroutine demo', CAST(p_partkey AS STRING), '(x)', chr(10), '  character(4) :: s = ', chr(39), 'a!b', chr(39), ' ! note', chr(10), '!$omp parallel', chr(10), '  call step_', split_part(p_name, ' ', 1), '(x) ! call fake(x)', chr(10), '  y = step_two(x) + step_three(x)', chr(10), 'end subroutine demo', CAST(p_partkey AS STRING)) AS text FROM {part}",
     "phrases": "SELECT conv_id, turn, split_part(text, ' ', 1) AS original, lower(split_part(text, ' ', 2)) AS replacement FROM {conversations} UNION ALL SELECT conv_id, turn, replace(upper(split_part(text, ' ', 1)), 'ẞ', 'SS'), split_part(text, ' ', 2) FROM {conversations}",
+    "domain_concepts": "SELECT DISTINCT concat('http://example.org/o#', CASE WHEN p_size % 3 = 0 THEN 'old_' ELSE '' END, lower(p_type), '_', replace(p_name, ' ', '_')) AS uri FROM {part} WHERE p_size % 7 > 2",
+    "domain_names": "SELECT DISTINCT lower(p_type) AS domain FROM {part}",
+    "short_names": "SELECT p_partkey AS ref, CASE WHEN p_partkey % 5 = 0 THEN split_part(p_name, ' ', 2) WHEN p_partkey % 11 = 0 THEN concat('http://example.org/', p_brand) WHEN p_partkey % 7 = 0 THEN concat('no_', p_brand) ELSE replace(p_name, ' ', '_') END AS uri, CASE WHEN p_partkey % 3 = 0 THEN 'old' WHEN p_partkey % 13 = 0 THEN 'none' ELSE lower(p_type) END AS source FROM {part}",
     "turtle": "SELECT concat('r', CAST(r_regionkey AS STRING)) AS file, concat('ex:', replace(r_name, ' ', '_'), ' a owl:Class ; rdfs:label \"', lower(r_name), '\"@en ; rdfs:comment \"Region ', r_name, '.\"@en .') AS body FROM {region} "
     "UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), concat('ex:', n_name, ' a owl:Class ; rdfs:subClassOf ex:', replace(r_name, ' ', '_'), ' ; skos:prefLabel \"', lower(n_name), '\" ; rdfs:label \"other ', n_name, '\" .', chr(10), 'ex:has', n_name, ' a owl:ObjectProperty ; rdfs:domain ex:', replace(r_name, ' ', '_'), ' ; rdfs:range ex:', n_name, ' .', chr(10), 'ex:loose', n_name, ' a owl:ObjectProperty .') FROM {nation} JOIN {region} ON r_regionkey = n_regionkey "
     "UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), concat('ex:', replace(s_name, '#', '_'), ' a owl:Class ; rdfs:subClassOf ex:', n_name, ' , ex:Unknown .') FROM {supplier} JOIN {nation} ON n_nationkey = s_nationkey",

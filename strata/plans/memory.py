@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions import vectors as v
+from strata.operators import domains as d
 from strata.operators import memory as m
 from strata.plans.registry import query, table
 
@@ -37,7 +38,9 @@ def _round(rows: DataFrame, *columns: str, value: str = "confidence", digits: in
 @query(f"""WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS rank FROM pairs)
 SELECT vec_id, label, rank, round((s + 1) / 2, 6) AS confidence FROM r WHERE rank <= 3""")
 def hopfield_closest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(m.closest(pairs(spark, sf_dir), "vec_id", "label", 3), "vec_id", "label", "rank")
+    rows = table(spark, sf_dir, "embeddings")
+    near = d.nearest(rows.select("vec_id", "embedding"), patterns(rows), 3, state="vec_id", pattern="label")
+    return _round(near.withColumn("confidence", (F.col("similarity") + 1) / 2), "vec_id", "label", "rank")
 
 
 @query(f"""WITH {PAIRS}, {PEAK}, w AS (SELECT vec_id, label, exp(22.0::DOUBLE * (s - mx)) AS e FROM peak)
@@ -58,7 +61,8 @@ def hopfield_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PAIRS}, {PEAK}, z AS (SELECT vec_id, -(max(mx) + ln(sum(exp(22.0::DOUBLE * (s - mx)))) / 22.0::DOUBLE) AS e FROM peak GROUP BY vec_id)
 SELECT vec_id, round(e, 4) AS energy, round(exp(-e) / (1 + exp(-e)), 4) AS confidence FROM z""")
 def hopfield_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.energy(pairs(spark, sf_dir), "vec_id").select("vec_id", F.round("energy", 4).alias("energy"), F.round("confidence", 4).alias("confidence"))
+    rows = table(spark, sf_dir, "embeddings")
+    return d.energies(rows.select("vec_id", "embedding"), patterns(rows), state="vec_id").select("vec_id", F.round("energy", 4).alias("energy"), F.round("confidence", 4).alias("confidence"))
 
 
 @query()
@@ -66,13 +70,15 @@ def hopfield_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three retrieval steps and the energy after them."""
     rows = table(spark, sf_dir, "embeddings")
     states = m.iterate(rows.select("vec_id", "embedding"), patterns(rows), 3, state="vec_id", pattern="label", size=64)
-    return m.energy(m.similarities(states, patterns(rows), state="vec_id", pattern="label"), "vec_id").select("vec_id", F.round("energy", 4).alias("energy"))
+    return d.energies(states, patterns(rows), state="vec_id").select("vec_id", F.round("energy", 4).alias("energy"))
 
 
 @query(f"""WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS rank FROM pairs WHERE s >= 0.3)
 SELECT vec_id, label, rank, round(s, 6) AS similarity FROM r WHERE rank <= 5""")
 def classify_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(m.classify_direct(pairs(spark, sf_dir), "vec_id", "label", 5, 0.3), "vec_id", "label", "rank", value="similarity")
+    rows = table(spark, sf_dir, "embeddings")
+    near = d.nearest(rows.select("vec_id", "embedding"), patterns(rows), 5, state="vec_id", pattern="label", least=0.3)
+    return _round(near, "vec_id", "label", "rank", value="similarity")
 
 
 _STEP = "SELECT *, row_number() OVER (PARTITION BY vec_id, parent ORDER BY c DESC, label) AS rn FROM"
@@ -120,10 +126,23 @@ r AS (SELECT vec_id, label, exp(-e) / (1 + exp(-e)) AS c, row_number() OVER (PAR
 SELECT vec_id, label, rank, round(c, 4) AS confidence FROM r WHERE rank <= 2""")
 def domain_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    out = m.domain_classify(rows.filter("vec_id % 50 = 0").select("vec_id", "embedding"), patterns(rows), rows.select("label", "embedding"), state="vec_id", domain="label", k=2)
+    out = d.domain_classify(rows.filter("vec_id % 50 = 0").select("vec_id", "embedding"), patterns(rows), rows.select("label", "embedding"), state="vec_id", domain="label", k=2)
     return _round(out, "vec_id", "label", "rank", digits=4)
 
 
+MEMORY = f"""WITH {HIERARCHY}, c AS (SELECT q.vec_id, e.label, -(1 + ln(sum(exp(22.0::DOUBLE * (list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) - 1)))) / 22.0::DOUBLE) AS e FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 GROUP BY ALL),
+ok AS (SELECT vec_id, c.label, parent, level, exp(-e) / (1 + exp(-e)) AS c FROM c JOIN hierarchy USING (label) WHERE exp(-e) / (1 + exp(-e)) >= 0.5)"""
+
+
+@query(MEMORY + f""", l1 AS ({_STEP} (SELECT *, label::VARCHAR AS path FROM ok WHERE level = 1) QUALIFY rn <= 2), l2 AS ({_STEP} (SELECT o.*, a.path || '/' || o.label AS path FROM ok o JOIN l1 a ON a.vec_id = o.vec_id AND a.label = o.parent) QUALIFY rn <= 2), l3 AS ({_STEP} (SELECT o.*, a.path || '/' || o.label AS path FROM ok o JOIN l2 a ON a.vec_id = o.vec_id AND a.label = o.parent) QUALIFY rn <= 2),
+l4 AS ({_STEP} (SELECT o.*, a.path || '/' || o.label AS path FROM ok o JOIN l3 a ON a.vec_id = o.vec_id AND a.label = o.parent) QUALIFY rn <= 2)
+SELECT vec_id, label, n AS level, round(c, 6) AS confidence, path FROM (SELECT *, 1 AS n FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3 UNION ALL SELECT *, 4 FROM l4)""")
+def domain_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    out = d.domain_cascade(rows.filter("vec_id % 50 = 0"), hierarchy(spark, sf_dir), rows.select("label", "embedding"), state="vec_id", domain="label", k=2)
+    return _round(out, "vec_id", "label", "level", "path")
+
+
 @query()
 def context_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twenty chunks are one context."""

@@ -131,3 +131,11 @@ def dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.explode(F.array(*(F.struct(F.lit(a).alias("label"), F.lit(b).alias("c"), F.lit(g).alias("generic")) for a, b, g in (("the", 0.4, True), ("eine", 0.6, False)))))
     rows = table(spark, sf_dir, "documents").withColumn("k", listed)
     return rows.select("doc_id", F.col("k.label").alias("label"), F.round(o.dominance(F.col("text"), F.col("k.label"), F.col("k.c"), F.col("k.generic")), 6).alias("dominance"))
+
+
+@query(with_sql("domain_concepts", "domain_names", "short_names") + """, own AS (SELECT ref, min(c.uri) AS uri FROM short_names s JOIN domain_concepts c ON ends_with(c.uri, s.source || '_' || s.uri) GROUP BY ref),
+other AS (SELECT ref, arg_min(c.uri, (domain, c.uri)) AS uri FROM short_names s, domain_names d, domain_concepts c WHERE ends_with(c.uri, d.domain || '_' || s.uri) GROUP BY ref)
+SELECT s.ref, CASE WHEN starts_with(s.uri, 'http://') THEN s.uri ELSE coalesce(own.uri, other.uri, s.uri) END AS resolved FROM short_names s LEFT JOIN own USING (ref) LEFT JOIN other USING (ref)""")
+def cross_domain_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs, listed, domains = (frame(spark, x, sf_dir) for x in ("short_names", "domain_concepts", "domain_names"))
+    return o.resolve_across_domains(refs, listed, domains).select("ref", "resolved")

@@ -132,3 +132,21 @@ def test_only_cycles_are_cyclic(spark):
     row = graph.metrics(line, nodes).first()
     assert row.acyclic and row.n_components == 1 and row.n_edges == 60
     assert not graph.metrics(line.unionByName(spark.createDataFrame([(60, 0)], line.schema)), nodes).first().acyclic
+
+
+def test_short_names_across_domains(spark):
+    concepts = [("u#a_Person",), ("u#b_Person",), ("u#x_b_Person",), ("u#a_b_Item",), ("u#zz_Item",), ("u#a_",), (None,), ("_a_T",)]
+    refs = [(1, "Person", "b"), (2, "Person", "none"), (3, "Item", "a"), (4, "Item", "zz"), (5, "http://a_Person", "a"), (6, "Lost", "a"), (7, None, "a"), (8, "Person", None), (9, "b_Item", "a"), (10, "T", "a"), (11, "Item", "a_b")]
+    out = ontology.resolve_across_domains(spark.createDataFrame(refs, "ref int, uri string, source string"), spark.createDataFrame(concepts, "uri string"), spark.createDataFrame([("a",), ("b",), ("zz",), (None,)], "domain string"))
+
+    def plain(uri, source):
+        known = sorted(c for (c,) in concepts if c)
+        if uri is None or uri.startswith("http://"):
+            return uri
+        for d in [source, "a", "b", "zz"]:
+            if d and (hit := [c for c in known if c.endswith(f"{d}_{uri}")]):
+                return hit[0]
+        return uri
+
+    assert {r.ref: r.resolved for r in out.collect()} == {k: plain(u, s) for k, u, s in refs}
+    assert ontology.resolve_across_domains(out.select("uri", "source").filter("false"), out.select("uri").filter("false"), out.select(F.lit("a").alias("domain")).filter("false")).collect() == []
