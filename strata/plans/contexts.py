@@ -228,7 +228,7 @@ def ontology_report(spark, sf_dir):
     return c.ontology_report(_axioms(spark, sf_dir))
 
 
-@query(with_sql("relation_edges") + ", reach(s, o, d) AS (SELECT s, o, 1 FROM relation_edges UNION SELECT r.s, e.o, r.d + 1 FROM reach r JOIN relation_edges e ON e.s = r.o WHERE r.d < 3) SELECT s, o, round(power(0.8::DOUBLE, min(d)), 6) AS score FROM reach GROUP BY s, o HAVING min(d) > 1")
+@query(with_sql("relation_edges") + ", reach(s, o, d) AS (SELECT s, o, 1 FROM relation_edges UNION SELECT r.s, e.o, r.d + 1 FROM reach r JOIN relation_edges e ON e.s = r.o WHERE r.d < 3) SELECT s, o, round(power(0.8::DOUBLE, min(d)), 6) AS score FROM reach WHERE s <> o GROUP BY s, o HAVING min(d) > 1")
 def implied_relations(spark, sf_dir):
     return c.implied(frame(spark, "relation_edges", sf_dir)).withColumn("score", F.round("score", 6))
 
