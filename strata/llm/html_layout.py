@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -49,9 +50,11 @@ ENDS_P = BLOCK - {"body", "html", "option", "optgroup", "caption", "legend", "dt
 SCOPE = frozenset("table td th caption button body html".split())
 FORMATTING = frozenset("a b i em strong u s small big font code tt nobr strike span abbr cite q sub sup mark label".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_QUOTED = re.compile(r"\([^()]*\)|\"[^\"]*\"|'[^']*'")
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
+#: Elements nested deeper than this lay out as part of the one above; what hides them still does.
+_LAID_OUT = 512
 _NOSCRIPT = re.compile(r"<(?:(/noscript)|/head|body)(?=[\s/>])", re.I)
 #: Tables that would take more characters with their padding are not aligned; their text is whole.
 _MOST_PADDED = 1 << 24
@@ -65,6 +68,7 @@ class Node:
     children: list[Node | str] = field(default_factory=list)
     shown: bool = True
     apart: bool = False
+    blank: bool = False
 
     def attribute(self, name: str) -> str | None:
         for m in _ATTRIBUTE.finditer(self.attributes):
@@ -73,62 +77,137 @@ class Node:
         return None
 
 
-def _shown(name: str, attributes: str, drawn: bool) -> bool:
+def _seen(name: str, attributes: str, drawn: bool, blank: bool) -> tuple[bool, bool]:
+    """Whether the element is rendered at all, and whether its own text is invisible, given that of the element around it."""
     if name in HIDDEN or drawn and name in NOT_DRAWN:
-        return False
-    if not attributes or attributes.isspace():
-        return True
+        return False, blank
     low = attributes.lower()
-    if "hidden" not in low and "none" not in low and "collapse" not in low:
-        return True
+    if "hidden" not in low and "none" not in low and "collapse" not in low and "visib" not in low:
+        return not (blank and name in VOID), blank
     node = Node(name, attributes)
     if node.attribute("hidden") is not None or (name == "input" and (node.attribute("type") or "").lower() == "hidden"):
-        return False
-    if drawn and (node.attribute("display") == "none" or node.attribute("visibility") in ("hidden", "collapse")):
-        return False
-    return not _HIDE.search(node.attribute("style") or "")
+        return False, blank
+    style = {"display": node.attribute("display") or "", "visibility": node.attribute("visibility") or ""} if drawn else {}
+    style |= {k.lower(): x.lower() for k, x in _STYLE.findall(_QUOTED.sub("", node.attribute("style") or ""))}
+    if style.get("display") == "none":
+        return False, blank
+    blank = {"hidden": True, "collapse": True, "visible": False}.get(style.get("visibility", ""), blank)
+    return not (blank and name in VOID), blank
+
+
+class Tags:
+    """Finds the tokens of a page one after another; looking for the ends of all its tags takes time in proportion to the page.
+
+    Where a tag ends depends only on the next quote or > outside of quotes, so what was found from one of these places holds
+    for every tag that comes to it, and the last place found holds for all tags before it.
+    """
+
+    _place, _stop = re.compile("[>\"']"), re.compile(r"[\s/>]")
+    _simple = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]{0,20})(\s[^>\"']{0,100})?>")
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.last = source.rfind(">") + 1  # no tag ends behind the last >
+        self.known: dict[int, int] = {}
+        self.ahead = {self._place: (0, -1), self._stop: (0, -1)}
+
+    def _next(self, what: re.Pattern, at: int) -> int:
+        low, high = self.ahead[what]
+        if not low <= at <= high:
+            m = what.search(self.source, at, self.last)
+            high = m.start() if m else self.last
+            self.ahead[what] = (at, high)
+        return high
+
+    def _end(self, at: int) -> int:
+        """Behind the > of a tag whose attributes begin at ``at``, -1 if a quote stays open."""
+        way, at = [], self._next(self._place, at)
+        while (found := self.known.get(at)) is None:
+            way.append(at)
+            if at >= self.last:
+                found = -1
+                break
+            if self.source[at] == ">":
+                found = at + 1
+                break
+            close = self.source.find(self.source[at], at + 1, self.last)
+            if close < 0:
+                found = -1
+                break
+            m = self._place.search(self.source, close + 1, self.last)
+            at = m.start() if m else self.last
+        for x in way:
+            self.known[x] = found
+        return found
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Start, end, slash, name and attributes of the next token from ``at``; no name for comments and declarations."""
+        source, last = self.source, self.last
+        while 0 <= (at := source.find("<", at, last)):
+            if m := self._simple.match(source, at, last):  # most tags have no quotes
+                return at, m.end(), m[1], m[2], m[3] or ""
+            mark = source[at + 1 : at + 2]
+            if source.startswith("<!--", at):
+                end = source.find("-->", at + 4, last)
+                return at, end + 3 if end >= 0 else len(source), "", "", ""
+            if mark in ("!", "?") and mark:
+                return at, source.find(">", at, last) + 1, "", "", ""
+            name = at + 2 if mark == "/" else at + 1
+            letter = source[name : name + 1]
+            if letter.isascii() and letter.isalpha():
+                stop = self._next(self._stop, name + 1)
+                end = self._end(stop)
+                if end >= 0:
+                    return at, end, source[at + 1 : name], source[name:stop], source[stop : end - 1]
+            at += 1
+        return None
 
 
 def build_tree(source: str) -> Node:
     """Elements of a page under one root, with implied end tags (also of a head); unknown end tags are ignored."""
     root = Node("#root")
     open_ = [root]
-    at = 0
-    drawings = False
+    place: dict[str, list[int]] = defaultdict(list)  # where elements of a name are open, so that none is searched for
+    tags, at = Tags(source), 0
+
+    def down(node: Node) -> None:
+        place[node.name].append(len(open_))
+        open_.append(node)
+
+    def cut(k: int) -> None:
+        for node in open_[k:]:
+            place[node.name].pop()
+        del open_[k:]
 
     def end_head() -> None:
         """Closes a head, and a noscript in it, whose end tag is left out; what is deeper (a template) keeps its content."""
         if open_[-1].name == "head":
-            open_.pop()
+            cut(len(open_) - 1)
         elif open_[-1].name == "noscript" and open_[-2].name == "head":
-            del open_[-2:]
+            cut(len(open_) - 2)
 
     def text(part: str) -> None:
         if part:
             if open_[-1].name in ("head", "noscript") and not part.isspace():
                 end_head()
-            open_[-1].children.append(html.unescape(part) if "&" in part else part)
+            if not open_[-1].blank:
+                open_[-1].children.append(html.unescape(part) if "&" in part else part)
 
     def close(names: set | frozenset, barrier: set | frozenset) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k].name in names:
-                del open_[k:]
-                return
-            if open_[k].name in barrier:
-                return
-
-    # no tag ends behind the last >, so looking there for ends of "<a <a <a .." would only take time
-    last = source.rfind(">") + 1
-    while m := _TOKEN.search(source, at, last):
-        text(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if source.startswith("<!--", m.start()) and not source.endswith("-->", m.start() + 4, at):
-                at = len(source)  # a comment without an end
+        top = lambda among: max((place[x][-1] for x in among if place.get(x)), default=0)
+        k = top(names)
+        if k and k >= top(barrier):
+            cut(k)
+
+    while token := tags.after(at):
+        begin, end, slash, name, attributes = token
+        text(source[at:begin])
+        at = end
+        if not name:
             continue
-        name = m[2].lower()
-        if m[1]:
-            if name == "p" and not any(n.name == "p" for n in open_):
+        name = name.lower()
+        if slash:
+            if name == "p" and not place["p"]:
                 open_[-1].children.append(Node("p"))
             elif name == "br":
                 open_[-1].children.append(Node("br"))
@@ -142,34 +221,36 @@ def build_tree(source: str) -> Node:
         if name in CLOSES:
             close(*CLOSES[name])
         elif len(name) == 2 and name[0] == "h" and name[1].isdigit() and open_[-1].name in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            open_.pop()
-        attributes = m[3] or ""
+            cut(len(open_) - 1)
         closed = attributes.endswith("/")
-        drawn = drawings and any(n.name in ("svg", "math") for n in open_)
+        drawn = bool(place["svg"] or place["math"])
         if name in ("td", "th") and open_[-1].name in ("table", "thead", "tbody", "tfoot"):
             row = Node("tr")
             open_[-1].children.append(row)
-            open_.append(row)
-        node = Node(name, attributes, shown=_shown(name, attributes, drawn), apart=drawn and name in APART)
-        open_[-1].children.append(node)
+            down(row)
+        shown, blank = _seen(name, attributes, drawn, open_[-1].blank)
+        node = Node(name, attributes, shown=shown, apart=drawn and name in APART, blank=blank)
+        if len(open_) <= _LAID_OUT:
+            open_[-1].children.append(node)
+        elif shown and name not in RAW and name not in VOID:
+            node.children = open_[-1].children  # its text stands in the element above
+        elif shown:
+            open_[-1].children.append(node)
         if name in VOID or closed and (drawn or name not in BLOCK and name not in FORMATTING and name not in RAW and name not in CLOSES):
             continue
         if name == "form" and (open_[-1].name in GROUPS or open_[-1].name in ("table", "tr")):
             continue  # what follows belongs to the table
-        drawings = drawings or name in ("svg", "math")
         if name in RAW:
             stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
             body = source[at : stop.start() if stop else len(source)]
-            if node.shown and body:
+            if node.shown and not node.blank and body:
                 node.children.append(html.unescape(body))
             at = stop.end() if stop else len(source)
             continue
         if name == "noscript" and open_[-1].name == "head" and (stop := _NOSCRIPT.search(source, at)) and stop[1]:
             at = stop.start()  # not shown where scripts run, whatever stands in it
             continue
-        open_.append(node)
-        if len(open_) > 512:  # deeper elements keep their text with the element above
-            open_.pop()
+        down(node)
     text(source[at:].partition("<!--")[0])
     return root
 
@@ -257,7 +338,8 @@ def _fill(node: Node, page: Page, pre: bool, depth: int) -> None:
             page.block(True)
         elif name == "li":
             page.block(False)
-            before, ordinal = page.indent, ordinal + 1
+            value = child.attribute("value") or ""
+            before, ordinal = page.indent, int(value) if re.fullmatch(r"-?\d{1,9}", value) else ordinal + 1
             mark = f"{ordinal}. " if node.name == "ol" else "- "
             page.indent, page.marker = before + " " * len(mark), mark
             _fill(child, page, pre, depth + 1)
@@ -336,7 +418,7 @@ def _table(node: Node, page: Page, depth: int) -> None:
                     free += 1
                 if free > at:
                     cells.append(([""], free - at))
-                span = min(_span(cell, "colspan", 1) or 1, 100)
+                span = min(_span(cell, "colspan", 1) or 1, 1000)
                 end = min(at_row + (_span(cell, "rowspan", 1) or len(rows)), len(rows))
                 if end > at_row + 1:
                     held |= {x: max(held.get(x, 0), end) for x in range(free, free + span)}

@@ -1,6 +1,9 @@
 """Pages that leave out tags or hold text in unusual places: what browsers show of them stays."""
 
+import html.parser
+import re
 import time
+from collections import Counter
 
 import pytest
 
@@ -74,7 +77,7 @@ def test_wide_tables_keep_their_text():
     assert text.split() == [f"word{k}" for k in range(n)] and len(text) < 100 * n
 
 
-@pytest.mark.parametrize("page", ["<a " * 200_000, '<a "' * 200_000, "<" * 500_000, "<!-- " * 100_000, "<a '\"" * 100_000 + ">"])
+@pytest.mark.parametrize("page", ["<a " * 200_000, '<a "' * 200_000, "<" * 500_000, "<!-- " * 100_000, "<a '\"" * 100_000 + ">", "<a b='" * 170_000 + '">', "<a" * 400_000 + " '>", "<a " * 300_000 + "'>", "<a '" * 100_001 + '" >', "<div>" * 200_000, "<p><button>" + "<div>" * 150_000 + "</p>" * 50_000, "<svg>" * 150_000, "<li>" * 200_000])
 def test_broken_pages_take_linear_time(page):
     began = time.time()
     visible_text(page)
@@ -84,3 +87,54 @@ def test_broken_pages_take_linear_time(page):
 @pytest.mark.parametrize("page,text", [("<p>a<!-- b > c", "a"), ("a<!-- x", "a"), ("x <b>y</b> <!-- q <p>z", "x y"), ("a <b c", "a <b c"), ("<p>a<!-- b --> c", "a c")])
 def test_ends_that_are_missing(page, text):
     assert visible_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<div>" * 600 + "<p hidden>secret<b>more</b></p>ok", "ok"),
+        ("<div>" * 600 + "<div hidden>secret<div>more</div>still</div>ok" + "</div>" * 600 + "end", "ok\nend"),
+        ("<span>" * 600 + "a<script>x</script><textarea>t</textarea>b", "atb"),
+        ("<div style='visibility:hidden'>a<b style='visibility: visible'>b</b>c<img alt=d></div>e", "b\ne"),
+        ("<p style='background:url(display:none)'>a", "a"),
+        ("<p style='display:block;DISPLAY : none'>a<p>b", "b"),
+        ("<p style='display:none;display:block'>a", "a"),
+        ("<ol><li>a<li value=9>b<li>c</ol>", "1. a\n9. b\n10. c"),
+    ],
+)
+def test_what_hides_text(page, text):
+    assert visible_text(page) == text
+
+
+class _Words(html.parser.HTMLParser):
+    """Words outside of elements that are never shown, by another parser; for pages without styles."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.words, self.off = Counter(), 0
+
+    def handle_starttag(self, tag, attrs):
+        self.off += tag in ("script", "style", "template", "title", "noscript")
+
+    def handle_endtag(self, tag):
+        self.off = max(0, self.off - (tag in ("script", "style", "template", "title", "noscript")))
+
+    def handle_data(self, data):
+        if not self.off:
+            self.words.update(re.findall(r"\w+", data))
+
+
+def test_words_of_all_pages_by_another_parser(spark):
+    rows = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect() if r.html]
+    plain = [x for x in rows if not re.search(r"hidden|display|visib|<svg|<math|<select|<iframe|<object|<noscript|alt=|<video|<audio|<canvas|<textarea|<input|<template", x, re.I)]
+    checked = 0
+    for page in plain:
+        other = _Words()
+        other.feed(page)
+        other.close()
+        got = Counter(re.findall(r"\w+", visible_text(page)))
+        got = Counter({w: n for w, n in got.items() if not w.isdigit()})
+        want = Counter({w: n for w, n in other.words.items() if not w.isdigit()})
+        assert "".join(sorted(got.elements())) == "".join(sorted(want.elements())) or got == want, page[:300]
+        checked += 1
+    assert checked >= 20
