@@ -108,10 +108,11 @@ def entity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.group_parts(parts)
 
 
-@query(BASE + " SELECT chunk_id, round(similarity, 6) AS similarity FROM chunks WHERE doc = 7 OR doc = 8 ORDER BY confidence DESC, chunk_id LIMIT 1")
+@query(BASE + " SELECT doc, chunk_id, round(similarity, 6) AS similarity FROM chunks QUALIFY row_number() OVER (PARTITION BY doc ORDER BY confidence DESC, chunk_id) = 1")
 def primary_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _chunks(spark, sf_dir).filter("doc in (7, 8)").orderBy(F.desc("confidence"), "chunk_id").limit(1)
-    return rows.select("chunk_id", F.round("similarity", 6).alias("similarity"))
+    """The target of each document: its chunk of greatest confidence."""
+    best = F.min_by(F.struct("chunk_id", "similarity"), F.struct(-F.col("confidence"), F.col("chunk_id"))).alias("best")
+    return _chunks(spark, sf_dir).groupBy("doc").agg(best).select("doc", "best.chunk_id", F.round("best.similarity", 6).alias("similarity"))
 
 
 @query(HYBRID + ", t AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS n FROM s), d AS (SELECT n, '--SOURCE ' || n || ' (' || doc || ':' || chunk_id || ')' AS head FROM t WHERE n <= 5) SELECT string_agg(head, chr(10) ORDER BY n) AS context FROM d")

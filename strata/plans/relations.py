@@ -23,13 +23,12 @@ def relation_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.predict(e.filter("id % 50 = 0").select("id", "vec"), r.fit_maps(pairs, 64), e.select("id", "vec"), 3, 0.1).select("subject", "relation", "object", "rank", F.round("similarity", 5).alias("similarity"))
 
 
-@query("""WITH e AS (SELECT DISTINCT o_orderstatus AS relation, o_custkey AS s, o_custkey % 97 AS o FROM orders UNION SELECT DISTINCT 'rev', o_custkey % 97, o_custkey FROM orders WHERE o_custkey < 90 UNION SELECT DISTINCT 'rev', o_custkey, o_custkey % 97 FROM orders WHERE o_custkey < 90), b AS (SELECT e.*, f.s IS NOT NULL AS back FROM e LEFT JOIN e f ON f.relation = e.relation AND f.s = e.o AND f.o = e.s)
+@query("""WITH e AS (SELECT DISTINCT o_orderstatus AS relation, o_custkey AS s, o_custkey % 97 AS o FROM orders UNION SELECT DISTINCT 'rev', o_custkey % 97, o_custkey FROM orders UNION SELECT DISTINCT 'rev', o_custkey, o_custkey % 97 FROM orders), b AS (SELECT e.*, f.s IS NOT NULL AS back FROM e LEFT JOIN e f ON f.relation = e.relation AND f.s = e.o AND f.o = e.s)
 SELECT relation, count(*) AS n, bool_and(back) AS symmetric, bool_and(s = o) AS reflexive, (SELECT max(k) = 1 FROM (SELECT count(*) AS k FROM e x WHERE x.relation = b.relation GROUP BY x.s)) AS functional FROM b GROUP BY relation""")
 def relation_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     e = o.select(F.col("o_orderstatus").alias("relation"), F.col("o_custkey").alias("s"), (F.col("o_custkey") % 97).alias("o"))
-    small = o.filter("o_custkey < 90")
-    both = small.select(F.lit("rev").alias("relation"), (F.col("o_custkey") % 97).alias("s"), F.col("o_custkey").alias("o")).unionByName(small.select(F.lit("rev").alias("relation"), F.col("o_custkey").alias("s"), (F.col("o_custkey") % 97).alias("o")))
+    both = o.select(F.lit("rev").alias("relation"), (F.col("o_custkey") % 97).alias("s"), F.col("o_custkey").alias("o")).unionByName(o.select(F.lit("rev").alias("relation"), F.col("o_custkey").alias("s"), (F.col("o_custkey") % 97).alias("o")))
     return r.properties(e.unionByName(both))
 
 
