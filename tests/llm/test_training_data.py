@@ -348,4 +348,4 @@ def test_empty_tables(spark, none, tmp_path):
 
 
 def test_every_query_is_registered():
-    assert [int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES] == list(range(1, 14))
