@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.operators import relations as r
+from strata.operators import translation
 from strata.plans.derived import frame, with_sql
 from strata.plans.registry import query, table
 
@@ -44,3 +45,20 @@ def negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corrupted pairs: subjects and objects that never occur together."""
     p = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("s"), (F.col("c_custkey") % 97).alias("o")).distinct()
     return p.select("s").distinct().crossJoin(F.broadcast(p.select("o").distinct())).join(p, ["s", "o"], "left_anti")
+
+
+@query()
+def translation_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts on customers, suppliers, parts and places; the region of every tenth customer is held out and ranked among all names."""
+    names = F.concat_ws(":", F.lit("nation"), "n_name").alias("nation"), F.concat_ws(":", F.lit("region"), "r_name").alias("region")
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", *names)
+    customer = table(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    supplier = table(spark, sf_dir, "supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey"))
+    part = table(spark, sf_dir, "part")
+    fact = lambda rows, s, relation, o: rows.select(F.col(s).alias("s"), F.lit(relation).alias("relation"), F.col(o).alias("o"))
+    held = F.col("c_custkey") % 10 == 3
+    known = fact(places, "nation", "lies_in", "region").unionByName(fact(customer, "c_name", "lives_in", "nation")).unionByName(fact(supplier, "s_name", "lives_in", "nation"))
+    known = known.unionByName(fact(part, "p_name", "of_brand", "p_brand")).unionByName(fact(part, "p_name", "of_type", "p_type")).unionByName(fact(customer.filter(~held), "c_name", "belongs_to", "region"))
+    entities, relations = translation.fit(known, step_rows=64)
+    tests = fact(customer.filter(held), "c_name", "belongs_to", "region").withColumn("test", F.col("s"))
+    return translation.link_ranks(tests, known, entities, relations).select(F.col("s").alias("customer"), F.col("o").alias("region"), "rank")

@@ -3,20 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """The frame's rows from a checkpoint in spark.checkpoint.dir, so that neither plans grow nor lost executors cost what led here.
-
-    A temporary folder serves only where that is unset and Spark runs in one process.
-    """
-    spark = frame.sparkSession
+def _shared(spark: SparkSession) -> str:
+    """The session's checkpoint folder. A temporary folder serves only where none is set and Spark runs in one process."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or f"file://{tempfile.gettempdir()}/strata-checkpoints")
+    return context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A path for a new table in the shared folder."""
+    return f"{_shared(spark)}/table-{uuid.uuid4().hex}"
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The frame's rows from a checkpoint in spark.checkpoint.dir, so that neither plans grow nor lost executors cost what led here."""
+    _shared(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def partitioned(frame: DataFrame, *keys: str) -> DataFrame:
+    """The frame's rows from a table in the shared folder that is partitioned by keys, so that a filter on them reads its part alone."""
+    path = new_folder(frame.sparkSession)
+    frame.write.partitionBy(*keys).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
