@@ -10,6 +10,7 @@ CONCEPT_WEIGHT, EXACT_FACTOR, PARTIAL_FACTOR, NAME_BONUS, RELATED_FACTOR = 0.3,
 HEADER_BOOST, FIRST_PARAGRAPH_BOOST, PARTIAL_BOOST = 1.2, 1.1, 0.9
 FUZZY_NAME_RATIO = 85
 TOP_CONCEPTS, RELATION_CONFIDENCE, MOST_RESULTS = 10, 0.45, 20
+DOCUMENT_CONCEPTS, SECTION_CONCEPTS = 5, 8
 
 FRENCH_WORDS = "le la les de du des et en un une est pour dans par sur au que qui ce cette".split()
 ENGLISH_WORDS = "the of and to in a is for on with by that this as it from are be at".split()

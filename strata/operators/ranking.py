@@ -38,10 +38,9 @@ def drop_containers(rows: DataFrame, key: str = "entity_id") -> DataFrame:
 
 def related_boost(rows: DataFrame, group: str, score: str, k: int, tie: str) -> DataFrame:
     """Entities among the best max(3, n/5) rows lift their other chunks that score under 0.9 of the best: by 1.5, or 1.05 where the best is 0.4 or less."""
-    ranked = rows.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(score), tie)))
-    head = ranked.filter(F.col("_r") <= max(3, k // 5)).groupBy(group).agg(F.max(score).alias("_best"))
+    head = rows.orderBy(F.desc(score), tie).limit(max(3, k // 5)).groupBy(group).agg(F.max(score).alias("_best")).filter(F.col(group).isNotNull())
     factor = F.when(F.col("_best").isNotNull() & (F.col(score) < 0.9 * F.col("_best")), F.when(F.col("_best") <= 0.4, 1.05).otherwise(1.5)).otherwise(1.0)
-    return ranked.join(F.broadcast(head), group, "left").withColumn(score, F.col(score) * factor).drop("_r", "_best")
+    return rows.join(F.broadcast(head), group, "left").withColumn(score, F.col(score) * factor).drop("_best")
 
 
 def group_parts(parts: DataFrame) -> DataFrame:

@@ -20,6 +20,9 @@ _LINE = "CAST(a.l_linenumber + 10 * (a.l_orderkey % 50) AS INT)"
 _GEO = "FROM {nation} n JOIN {region} r ON r.r_regionkey = n.n_regionkey"
 _NATION, _REGION = "concat(replace(r.r_name, ' ', '_'), '#', n.n_name)", "concat(replace(r.r_name, ' ', '_'), '#region')"
 
+#: a text on one line, in lower case, without stops and commas
+_FLAT = "lower(translate(replace(text, chr(10), ' '), '.,', ''))"
+
 DERIVED: dict[str, str] = {
     "entities": f"SELECT CAST(p_partkey AS INT) AS entity_id, {_NAME.format('')} AS name, {_KIND.format('')} AS etype, concat(lower(replace(p_brand, '#', '_')), '_', CAST(CAST(floor(p_partkey / 500) AS INT) AS STRING), '.f90') AS file, "
     f"CAST(1 + (p_partkey * 37) % 900 AS INT) AS start_line, CAST(1 + (p_partkey * 37) % 900 + CASE WHEN p_partkey % 7 = 0 THEN 300 ELSE 2 * p_size END AS INT) AS end_line, CAST(p_size % 50 AS DOUBLE) / 100 + CAST(0.5 AS DOUBLE) AS confidence, p_size % 10 <> 0 AS is_complete, p_partkey % 5 = 0 AS is_grouped, "
@@ -57,6 +60,9 @@ DERIVED: dict[str, str] = {
     "code": "SELECT concat(CAST(p_partkey AS STRING), '.f90') AS file, concat('subroutine demo', CAST(p_partkey AS STRING), '(x)', chr(10), '  character(4) :: s = ', chr(39), 'a!b', chr(39), ' ! note', chr(10), '!$omp parallel', chr(10), '  call step_', split_part(p_name, ' ', 1), '(x) ! call fake(x)', chr(10), '  y = step_two(x) + step_three(x)', chr(10), 'end subroutine demo', CAST(p_partkey AS STRING)) AS text FROM {part}",
     "phrases": "SELECT conv_id, turn, split_part(text, ' ', 1) AS original, lower(split_part(text, ' ', 2)) AS replacement FROM {conversations} UNION ALL SELECT conv_id, turn, replace(upper(split_part(text, ' ', 1)), 'ẞ', 'SS'), split_part(text, ' ', 2) FROM {conversations}",
     "domain_concepts": "SELECT DISTINCT concat('http://example.org/o#', CASE WHEN p_size % 3 = 0 THEN 'old_' ELSE '' END, lower(p_type), '_', replace(p_name, ' ', '_')) AS uri FROM {part} WHERE p_size % 7 > 2",
+    "vocabulary": f"SELECT DISTINCT concat(lang, '#', w) AS uri, w AS label FROM (SELECT lang, split_part({_FLAT}, ' ', 1) AS w FROM {{documents}} UNION ALL SELECT lang, split_part({_FLAT}, ' ', 2) FROM {{documents}}) WHERE w <> '' AND lang IS NOT NULL",
+    "word_axioms": f"SELECT 'semantic_related' AS type, concat(lang, '#', split_part({_FLAT}, ' ', 1)) AS source, concat(lang, '#', split_part({_FLAT}, ' ', 2)) AS target FROM {{documents}} WHERE lang IS NOT NULL AND text IS NOT NULL "
+    f"UNION SELECT 'subsumption', concat(lang, '#', split_part({_FLAT}, ' ', 1)), concat('letter#', substr({_FLAT}, 1, 1)) FROM {{documents}} WHERE lang IS NOT NULL AND text IS NOT NULL",
     "domain_names": "SELECT DISTINCT lower(p_type) AS domain FROM {part}",
     "short_names": "SELECT p_partkey AS ref, CASE WHEN p_partkey % 5 = 0 THEN split_part(p_name, ' ', 2) WHEN p_partkey % 11 = 0 THEN concat('http://example.org/', p_brand) WHEN p_partkey % 7 = 0 THEN concat('no_', p_brand) ELSE replace(p_name, ' ', '_') END AS uri, CASE WHEN p_partkey % 3 = 0 THEN 'old' WHEN p_partkey % 13 = 0 THEN 'none' ELSE lower(p_type) END AS source FROM {part}",
     "turtle": "SELECT concat('r', CAST(r_regionkey AS STRING)) AS file, concat('ex:', replace(r_name, ' ', '_'), ' a owl:Class ; rdfs:label \"', lower(r_name), '\"@en ; rdfs:comment \"Region ', r_name, '.\"@en .') AS body FROM {region} "

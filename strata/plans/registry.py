@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Modules of queries; each registers its own.
-MODULES: tuple[str, ...] = ("retrieval", "memory", "text", "ontology", "graph", "ranking", "corpus", "splitting", "files", "relations", "contexts", "documents", "networks")
+MODULES: tuple[str, ...] = ("retrieval", "memory", "text", "ontology", "graph", "ranking", "corpus", "splitting", "files", "relations", "contexts", "documents", "networks", "selection")
 
 for _module in MODULES:
     import_module(f"strata.plans.{_module}")
