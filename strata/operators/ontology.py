@@ -162,14 +162,14 @@ def resolve_ambiguities(found: DataFrame, context: DataFrame, group: str) -> Dat
 
 def dominance(text: Column, label: Column, confidence: Column, generic: Column) -> Column:
     """confidence + 0.1 an occurrence (0.3 at most) + 0.1 within the first 200 characters - 0.1 for generic concepts."""
-    return dominance_in(F.lower(text), label, confidence, generic)
+    low, name = F.lower(text), F.lower(label)
+    times = F.when(F.length(name) > 0, (F.length(low) - F.length(F.replace(low, name))) / F.length(name)).otherwise(0)
+    return dominance_of(times, F.contains(F.substring(low, 1, 200), name), confidence, generic)
 
 
-def dominance_in(low: Column, label: Column, confidence: Column, generic: Column) -> Column:
-    """Dominance in a text that is in lower case already."""
-    name = F.lower(label)
-    times = F.when(F.length(name) > 0, (F.length(low) - F.length(F.replace(low, name))) / F.length(name)).otherwise(0)
-    return confidence + F.least(F.lit(0.3), 0.1 * times) + F.when(F.contains(F.substring(low, 1, 200), name), 0.1).otherwise(0.0) - F.when(generic, 0.1).otherwise(0.0)
+def dominance_of(times: Column, early: Column, confidence: Column, generic: Column) -> Column:
+    """Dominance of a concept whose occurrences are counted already."""
+    return confidence + F.least(F.lit(0.3), 0.1 * times) + F.when(early, 0.1).otherwise(0.0) - F.when(generic, 0.1).otherwise(0.0)
 
 
 def resolve_across_domains(refs: DataFrame, concepts_of: DataFrame, domains: DataFrame) -> DataFrame:
