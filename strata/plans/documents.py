@@ -11,7 +11,7 @@ from strata.operators import chunking
 from strata.operators import ontology as o
 from strata.plans.registry import query, table
 from strata.plans.samples import sample
-from strata.sources import jsonld, office, turtle
+from strata.sources import jsonld, office, rdfxml, turtle
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each nation as a file: in turn docx, xlsx, pptx, zip of a docx and a note, text, HTML, a broken docx, and an unknown kind."""
@@ -52,6 +52,43 @@ def jsonld_axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.load_axioms(jsonld.triples(table(spark, sf_dir, "nation").select(text.alias("text"))))
 
 
+_RDF = """<?xml version="1.0" encoding="UTF-8"?>
+<!DOCTYPE rdf:RDF [<!ENTITY owl "http://www.w3.org/2002/07/owl#">]>
+<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:ex="http://example.org/o#" xml:base="http://example.org/o">
+<owl:Class rdf:ID="REGION"><rdfs:label xml:lang="en">REGION</rdfs:label></owl:Class>
+<rdf:Description rdf:about="#NATION" rdfs:label="NATION &amp; co"><rdf:type rdf:resource="&owl;Class"/><rdfs:subClassOf rdf:resource="#REGION"/></rdf:Description>
+<owl:Class rdf:about="#SUPPLIER"><rdfs:subClassOf><owl:Class rdf:about="#NATION"/></rdfs:subClassOf></owl:Class>
+<rdf:Statement><rdf:subject rdf:resource="#SUPPLIER"/><rdf:predicate rdf:resource="#ships"/><rdf:object rdf:resource="#REGION"/></rdf:Statement>
+<owl:ObjectProperty rdf:ID="inNATION"><rdfs:domain rdf:resource="#SUPPLIER"/><rdfs:range><owl:Class><owl:unionOf rdf:parseType="Collection"><rdf:Description rdf:about="#NATION"/></owl:unionOf></owl:Class></rdfs:range></owl:ObjectProperty>
+</rdf:RDF>"""
+
+
+def _rdf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An RDF/XML text for each supplier, with its nation and region."""
+    geography = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    rows = table(spark, sf_dir, "supplier").join(geography, F.col("s_nationkey") == F.col("n_nationkey"))
+    text = F.lit(_RDF)
+    for word, name in (("SUPPLIER", F.replace("s_name", F.lit("#"), F.lit("_"))), ("NATION", F.replace("n_name", F.lit(" "), F.lit("_"))), ("REGION", F.replace("r_name", F.lit(" "), F.lit("_")))):
+        text = F.replace(text, F.lit(word), name)
+    return rows.select(text.alias("text"))
+
+
+_GEO = f"WITH g AS (SELECT '{_EX}' || replace(s_name, '#', '_') AS s, '{_EX}' || replace(n_name, ' ', '_') AS n, '{_EX}' || replace(r_name, ' ', '_') AS r, '{_EX}in' || replace(n_name, ' ', '_') AS p, replace(n_name, ' ', '_') AS nn, replace(r_name, ' ', '_') AS rn FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)"
+
+
+@query(_GEO + """ SELECT r AS s, 'rdf:type' AS p, 'owl:Class' AS o FROM g UNION SELECT n, 'rdf:type', 'owl:Class' FROM g UNION SELECT s, 'rdf:type', 'owl:Class' FROM g UNION SELECT p, 'rdf:type', 'owl:ObjectProperty' FROM g UNION SELECT r, 'rdfs:label', rn FROM g UNION SELECT n, 'rdfs:label', nn || ' & co' FROM g
+UNION SELECT n, 'rdfs:subClassOf', r FROM g UNION SELECT s, 'rdfs:subClassOf', n FROM g UNION SELECT p, 'rdfs:domain', s FROM g UNION SELECT s, 'semantic_ships', r FROM g""")
+def rdfxml_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsonld.merge(rdfxml.triples(_rdf_texts(spark, sf_dir)))
+
+
+@query(_GEO + " SELECT 'subsumption' AS type, n AS source, r AS target FROM g UNION SELECT 'subsumption', s, n FROM g UNION SELECT 'domain', p, s FROM g UNION SELECT 'semantic_ships', s, r FROM g")
+def rdfxml_axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rdfxml.triples(_rdf_texts(spark, sf_dir))
+    stated = found.filter("p like 'semantic\\_%'").select(F.col("p").alias("type"), F.col("s").alias("source"), F.col("o").alias("target"))
+    return o.load_axioms(found).unionByName(stated).distinct()
+
+
 @query("WITH t AS (SELECT 'r:' || replace(r_name, ' ', '_') AS s, 'is' AS p, 'region' AS o FROM region UNION ALL SELECT 'n:' || n_name, 'in', 'r:' || replace(r_name, ' ', '_') FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'r:' || replace(r_name, ' ', '_'), 'is', 'region' FROM nation JOIN region ON r_regionkey = n_regionkey) SELECT DISTINCT * FROM t")
 def ontology_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Turtle file for each region and for each nation; those of nations repeat their region."""
