@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.operators import paths
+from strata.operators import classes, paths
 from strata.storage import cut
 
 #: Compatibility of related concepts by relation.
@@ -108,28 +108,63 @@ def neighbors(axioms: DataFrame) -> DataFrame:
     return axioms.select(F.col("source").alias("uri"), F.col("target").alias("neighbor")).unionByName(axioms.select(F.col("target").alias("uri"), F.col("source").alias("neighbor"))).filter("uri != neighbor").distinct()
 
 
+def _classes(names: DataFrame, links: DataFrame, *items: str) -> tuple[DataFrame, DataFrame]:
+    """(members: uri, class, space of names and whatever links start from; links between classes: a, b and the items but the first).
+
+    links are distinct rows (uri, *items), the first item the other end, and no name is linked with itself; they go both ways. Names of one namespace with the
+    same links are one class: what holds between two names then holds between all members of their classes.
+    """
+    links = cut(links)
+    sets = classes.of_sets(links, "uri", *items)
+    members = cut(names.join(sets, "uri", "full").select("uri", "space", F.concat_ws("/", F.coalesce("class", F.lit("0")), "space").alias("class")))
+    first = members.groupBy(F.col("class").alias("a")).agg(F.min("uri").alias("uri"))
+    ends = members.select(F.col("uri").alias(items[0]), F.col("class").alias("b"))
+    return members, cut(links.join(first, "uri").join(ends, items[0]).select("a", "b", *items[1:]).distinct())
+
+
+def _by_space(members: DataFrame) -> DataFrame:
+    """a, b: classes of one namespace."""
+    known = members.filter("space is not null").select("class", "space").distinct()
+    return known.select(F.col("class").alias("a"), "space").join(known.select(F.col("class").alias("b"), "space"), "space").select("a", "b")
+
+
+def _written_out(pairs: DataFrame, members: DataFrame, value: str) -> DataFrame:
+    sides = ((members.select(F.col("class").alias(f"class_{k}"), F.col("uri").alias(k)), f"class_{k}", k) for k in "ab")
+    return classes.members_of(pairs.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), value), *sides, value).filter("a != b")
+
+
 def distances(axioms: DataFrame) -> DataFrame:
-    """a, b, distance for pairs of concepts: 0 same, 1 neighbours, 2 a common neighbour, 3 one namespace; farther pairs (999) are left out."""
-    near = neighbors(axioms)
-    one = near.select(F.col("uri").alias("a"), F.col("neighbor").alias("b"), F.lit(1).alias("d"))
-    two = near.alias("x").join(near.alias("y"), F.col("x.neighbor") == F.col("y.neighbor")).select(F.col("x.uri").alias("a"), F.col("y.uri").alias("b"), F.lit(2).alias("d")).filter("a != b")
-    names = concepts(axioms).withColumn("space", F.regexp_extract("uri", r"^(.*[#/])[^#/]*$", 1))
-    three = names.select(F.col("uri").alias("a"), "space").join(names.select(F.col("uri").alias("b"), "space"), "space").select("a", "b", F.when(F.col("a") == F.col("b"), 0).otherwise(3).alias("d"))
-    return reduce(DataFrame.unionByName, [one, two, three]).groupBy("a", "b").agg(F.min("d").alias("distance"))
+    """a, b, distance for pairs of concepts: 0 same, 1 neighbours, 2 a common neighbour, 3 one namespace; farther pairs (999) are left out.
+
+    Found between classes of concepts with the same neighbours, then written out, so pairs of concepts are neither shuffled nor grouped.
+    """
+    names = concepts(axioms).filter("uri is not null").withColumn("space", F.regexp_extract("uri", r"^(.*[#/])[^#/]*$", 1))
+    members, one = _classes(names, neighbors(axioms), "neighbor")
+    two = one.alias("x").join(one.alias("y"), F.col("x.b") == F.col("y.b")).select(F.col("x.a").alias("a"), F.col("y.a").alias("b"), F.lit(2).alias("d")).distinct()
+    best = reduce(DataFrame.unionByName, [one.withColumn("d", F.lit(1)), two, _by_space(members).withColumn("d", F.lit(3))]).groupBy("a", "b").agg(F.min("d").alias("distance"))
+    same = members.filter("space is not null").select(F.col("uri").alias("a"), F.col("uri").alias("b"), F.lit(0).alias("distance"))
+    return _written_out(best, members, "distance").unionByName(same)
 
 
 def compatibility(axioms: DataFrame) -> DataFrame:
-    """a, b, score: 1 for the same, 0.8 parent and child, the relation's score (0.3 if it is not listed), 0.4 for one namespace."""
+    """a, b, score: 1 for the same, 0.8 parent and child, the relation's score (0.3 if it is not listed), 0.4 for one namespace.
+
+    Found between classes of concepts with the same relations, as distances are.
+    """
     up = parents(axioms)
     table = F.create_map(*(x for k, v in RELATION_SCORES.items() for x in (F.lit(k), F.lit(v))))
     hier = up.select(F.col("child").alias("a"), F.col("parent").alias("b"), F.lit(0.8).alias("score"), F.lit(1).alias("rank"))
     related = axioms.filter("type like 'semantic_%'").select(F.col("source").alias("a"), F.col("target").alias("b"), F.coalesce(F.element_at(table, F.col("type")), F.lit(0.3)).alias("score"), F.lit(2).alias("rank"))
     both = hier.unionByName(related)
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "score", "rank"))
-    names = concepts(axioms).withColumn("space", F.regexp_extract("uri", r"^(.*[#/])[^#/]*$", 1))
-    space = names.select(F.col("uri").alias("a"), "space").join(names.select(F.col("uri").alias("b"), "space"), "space")
-    flat = space.select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.4).alias("score"), F.when(F.col("a") == F.col("b"), 0).otherwise(3).alias("rank"))
-    return both.unionByName(flat).groupBy("a", "b").agg(F.min_by("score", F.struct("rank", -F.col("score"))).alias("score"))
+    best = F.min_by(F.struct("rank", "score"), F.struct("rank", -F.col("score")))
+    linked = cut(both.groupBy("a", "b").agg(best.alias("_s")).select("a", "b", "_s.rank", "_s.score"))
+    names = concepts(axioms).filter("uri is not null").withColumn("space", F.regexp_extract("uri", r"^(.*[#/])[^#/]*$", 1))
+    members, links = _classes(names, linked.filter("a != b").withColumnsRenamed({"a": "uri", "b": "other"}), "other", "rank", "score")
+    flat = _by_space(members).select("a", "b", F.lit(3).alias("rank"), F.lit(0.4).alias("score"))
+    pairs = links.unionByName(flat).groupBy("a", "b").agg(F.min_by("score", "rank").alias("score"))
+    same = names.select(F.col("uri").alias("a"), F.col("uri").alias("b"), F.lit(1.0).alias("score"))
+    return _written_out(pairs, members, "score").unionByName(same).unionByName(linked.filter("a is null or b is null").select("a", "b", "score"))
 
 
 def domain_context_weights(found: DataFrame, axioms: DataFrame) -> DataFrame:
