@@ -11,8 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +42,7 @@ class _Pair:
         self.relations, self.entities = (names.filter(pa.array(kinds == k)) for k in (_RELATION, _ENTITY))
         self.before, self.e = vectors[kinds == _RELATION], vectors[kinds == _ENTITY]
         self.r = self.before.copy()
+        self.at = [pd.Index(x.to_numpy(zero_copy_only=False)) for x in (self.entities, self.relations)]  # hashed once, not for each step
         self.members = {b: np.flatnonzero(self.bucket == b) for b in np.unique(self.bucket).tolist()}
 
     def step(self, triples: pa.Table) -> None:
@@ -49,7 +50,7 @@ class _Pair:
 
         Half of the exchanged entities are drawn from the bucket, half are what another triple of the relation has in that place.
         """
-        s, o, r = (pc.index_in(triples.column(c), value_set=known).to_numpy() for c, known in (("s", self.entities), ("o", self.entities), ("relation", self.relations)))
+        s, o, r = (self.at[k].get_indexer(triples.column(c).to_numpy()) for c, k in (("s", 0), ("o", 0), ("relation", 1)))
         # many subjects for an object: exchange the object, as an exchanged subject is likely to be right too
         ns, no = (np.bincount(np.unique(np.stack([r, x]), axis=1)[0], minlength=len(self.relations))[r] for x in (s, o))
         tail = self.rng.random(len(s)) < ns / (ns + no)
