@@ -12,13 +12,13 @@ from strata.operators.ontology import parents
 def concept_scores(chunks: DataFrame, wanted: DataFrame, axioms: DataFrame | None = None) -> DataFrame:
     """chunk_id, concept: best product of confidences over equal concepts, and over concepts with a common parent times 0.7.
 
-    Both are equi-joins on a uri, so chunks are never paired with all concepts of a query.
+    Both are equi-joins on a uri, so chunks are never paired with all concepts of a query, and only a query's concepts are paired with their siblings.
     """
     q = wanted.select(F.col("uri").alias("_u"), F.col("confidence").alias("_c"), F.lit(1.0).alias("_f"))
     if axioms is not None:
         up = parents(axioms)
-        kin = up.alias("x").join(up.alias("y"), F.col("x.parent") == F.col("y.parent")).select(F.col("x.child").alias("_u"), F.col("y.child").alias("other")).filter("_u != other").distinct()
-        near = wanted.join(kin, F.col("uri") == F.col("other")).select("_u", F.col("confidence").alias("_c"), F.lit(config.RELATED_FACTOR).alias("_f"))
+        above = wanted.join(up, F.col("uri") == F.col("child")).select("parent", F.col("uri").alias("_of"), F.col("confidence").alias("_c")).distinct()
+        near = above.join(up, "parent").filter("child != _of").select(F.col("child").alias("_u"), "_c", F.lit(config.RELATED_FACTOR).alias("_f")).distinct()
         q = q.unionByName(near)
     return chunks.join(q, F.col("uri") == F.col("_u")).groupBy("chunk_id").agg(F.max(F.col("confidence") * F.col("_c") * F.col("_f")).alias("concept"))
 

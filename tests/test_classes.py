@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strata.operators import contexts as c
 from strata.operators import ontology as o
+from strata.operators import ranking as r
 
 SPACE = r"^(.*[#/])[^#/]*$"
 
@@ -97,3 +98,11 @@ def test_search_space_equals_the_plain_joins(spark):
     one = held.join(near, "uri").select("context", F.col("neighbor").alias("uri"))
     two = one.join(near, "uri").select("context", F.col("neighbor").alias("uri"))
     assert rows(c.search_space(held, a)) == rows(held.unionByName(one).unionByName(two).distinct())
+
+
+def test_only_concepts_of_a_query_meet_their_siblings(spark):
+    a = spark.createDataFrame([("subsumption", f"p#{i}", f"p#top{k}") for i in range(300) for k in (0, 1)], "type string, source string, target string")
+    chunks = spark.createDataFrame([(1, "p#1", 0.5), (2, "p#2", 0.5), (3, "p#top0", 1.0)], "chunk_id int, uri string, confidence double")
+    found = r.concept_scores(chunks, spark.createDataFrame([("p#1", 0.8)], "uri string, confidence double"), a)
+    assert sorted((x.chunk_id, round(x.concept, 6)) for x in found.collect()) == [(1, 0.4), (2, 0.28)]
+    assert sum(shuffled(found)) < 5000
