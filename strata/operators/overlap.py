@@ -11,26 +11,29 @@ from pyspark.sql import functions as F
 LONGEST = 6
 
 
-def candidates(sets: DataFrame, k: int, *, partners: DataFrame | None = None, least: float = 0.0, group: str | None = None) -> DataFrame:
+def candidates(sets: DataFrame, k: int, *, partners: DataFrame | None = None, least: float = 0.0, group: str | None = None, apart: str | None = None) -> DataFrame:
     """a, b: pairs of sets(id, items, perhaps group) that hold the k best partners b of each a by shared items over the larger set, ties by least id.
 
     Partners come from ``partners`` (same columns), from all sets if not given; only those of one group if it is given, where partners that
-    share nothing are listed too if ``least`` is negative. Overlaps of ``least`` or under may be missing. More pairs than needed may come.
+    share nothing are listed too if ``least`` is negative; only those that differ in column apart if it is given, though others may come. Overlaps of ``least`` or under may be missing. More pairs than needed may come.
 
     A partner with just the common items c precedes, or follows, others of its size that hold c: those have as much in common or more. So
     it is among the k + 1 least ids (one may be a) of all partners of that size that hold c, and a needs just those lists for the parts of
-    its own set. An item that many rows have costs a list of k + 1 ids, not pairs.
+    its own set. An item that many rows have costs a list of k + 1 ids, not pairs. With apart a list has the least 2 k of the k least ids of each
+    value of it, of which at most k have the value of a.
     """
     partners = sets if partners is None else partners
     key = [] if group is None else [group]
-    known = lambda rows: rows.select("id", *key, F.array_sort(F.array_distinct("items")).alias("items")).withColumn("_m", F.size("items")).filter(F.col("_m") > 0 if least >= 0 else F.lit(True))
+    value = [] if apart is None else [apart]
+    known = lambda rows: rows.select("id", *key, *value, F.array_sort(F.array_distinct("items")).alias("items")).withColumn("_m", F.size("items")).filter(F.col("_m") > 0 if least >= 0 else F.lit(True))
     a, b = known(sets), known(partners)
     short = F.col("_m") <= LONGEST
     none = F.array(F.array().cast(a.schema["items"].dataType))
     grown = F.aggregate("items", none, lambda parts, x: F.concat(parts, F.transform(parts, lambda p: F.concat(p, F.array(x)))))
-    parts = lambda rows: rows.filter(short).select("id", *key, "_m", F.explode(grown).alias("_part")).filter(F.size("_part") > 0 if least >= 0 else F.lit(True))
-    first = Window.partitionBy(*key, "_part", "_m").orderBy("id")
-    lists = parts(b).withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k + 1).groupBy(*key, "_part", "_m").agg(F.collect_list("id").alias("_ids"))
+    parts = lambda rows: rows.filter(short).select("id", *key, *value, "_m", F.explode(grown).alias("_part")).filter(F.size("_part") > 0 if least >= 0 else F.lit(True))
+    first = lambda rows, most, *by: rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key, "_part", "_m", *by).orderBy("id"))).filter(F.col("_r") <= most)
+    listed = first(parts(b), k + 1) if apart is None else first(first(parts(b), k, apart), 2 * k)
+    lists = listed.groupBy(*key, "_part", "_m").agg(F.collect_list("id").alias("_ids"))
     lists = lists.select(*key, "_part", F.col("_m").alias("_n"), "_ids")
     near = parts(a).join(lists, [*key, "_part"]).filter(F.size("_part") / F.greatest("_m", "_n") > least)
     pairs = [near.select(F.col("id").alias("a"), F.explode("_ids").alias("b"))]

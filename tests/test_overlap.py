@@ -59,3 +59,28 @@ def test_related_modules_equal_the_plain_joins(spark):
 def test_a_common_item_makes_no_pairs(spark):
     sets = spark.range(2000).select("id", F.array(F.lit("hot"), F.concat(F.lit("u"), F.col("id").cast("string"))).alias("items"))
     assert overlap.candidates(sets, 3).count() <= 2000 * 4
+
+
+def plain_cross(e, concepts, uses, calls, k):
+    part = lambda refs, w: g.resolved(e, refs).filter("dst_id is not null").select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"), F.lit(w).alias("score")).distinct()
+    found = g.concept_overlap(concepts).select("a", "b", (0.6 * F.col("overlap")).alias("score")).unionByName(part(uses, 0.4)).unionByName(part(calls, 0.3)).groupBy("a", "b").agg(F.sum("score").alias("score"))
+    f = e.select("entity_id", "file")
+    found = found.join(f.toDF("a", "fa"), "a").join(f.toDF("b", "fb"), "b").filter("fa != fb").filter(F.col("score") > 0.2).drop("fa", "fb")
+    return best(found.withColumn("score", F.round("score", 9)), "score", k)
+
+
+def test_cross_file_relations_equal_the_plain_joins(spark):
+    e, concepts, uses = code(spark, 4)
+    calls = uses.select("src_id", F.lit("plain").alias("dst_name"))
+    assert rows(g.cross_file_relations(e, concepts, uses, calls, 2)) == rows(plain_cross(e, concepts, uses, calls, 2))
+
+
+def test_cross_file_relations_make_no_pairs_of_a_common_label(spark, monkeypatch):
+    e = spark.range(600).selectExpr("cast(id as int) as entity_id", "concat('n', id) as name", "'module' as etype", "concat('f', id % 3) as file", "1 as start_line", "2 as end_line")
+    concepts = e.select("entity_id", F.lit("hot").alias("label")).unionByName(e.select("entity_id", F.concat(F.lit("u"), F.col("entity_id").cast("string")).alias("label")))
+    seen = []
+    whole = overlap.overlaps
+    monkeypatch.setattr(overlap, "overlaps", lambda pairs, sets: seen.append(pairs.count()) or whole(pairs, sets))
+    none = spark.createDataFrame([], "src_id int, dst_name string")
+    assert g.cross_file_relations(e, concepts, none, none, 2).count() == 1200
+    assert seen and seen[0] <= 600 * 4
