@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strata.plans.derived import frame, with_sql
 from strata.plans.registry import query, table
 from strata.sources import code, files, html
+from strata.storage import spread
 
 SOURCE = """module shapes
   use kinds, only: dp
@@ -39,7 +40,7 @@ def _projects(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataF
     """A file for each part: the text with the part's key behind each of the names."""
     key = F.col("p_partkey").cast("string")
     own = reduce(lambda x, n: F.replace(x, F.lit(n), F.concat(F.lit(n), key)), names, F.lit(text))
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("f"), key).alias("file"), own.alias("text"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.concat(F.lit("f"), key).alias("file"), own.alias("text"))
 
 
 @query("SELECT page_id, CASE regexp_extract(url, '\\.([^./\\\\]+)$', 1) WHEN 'html' THEN 'document' WHEN 'json' THEN 'config' ELSE 'text' END AS file_type, regexp_replace(url, '[/\\\\: ]', '_', 'g') AS document_id FROM pages")
@@ -104,4 +105,4 @@ def entity_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def include_flattening(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey").cast("string")
     pair = F.array(F.struct(F.lit("a.f90").alias("file"), F.concat(F.lit("x"), key, F.lit('\ninclude "b.inc"\nz')).alias("text")), F.struct(F.lit("b.inc").alias("file"), F.lit("y\ninclude 'a.f90'").alias("text")))
-    return code.source_map(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), key).alias("project"), F.inline(pair)))
+    return code.source_map(spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.concat(F.lit("p"), key).alias("project"), F.inline(pair)))
