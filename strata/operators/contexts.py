@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.functions import vectors as v
 from strata.operators import classes, overlap
 from strata.operators import graph as g
 from strata.operators import ontology as o
@@ -153,15 +154,20 @@ def filter_by_targets(chunks: DataFrame, targets: DataFrame, *, wide: int = 20,
 
 def internal_function(text: Column, name: str, most: int = 50, before: int = 10) -> Column:
     """The lines of a function inside a chunk, to its ``end function`` or ``most`` lines, after up to ``before`` lines of the parent; null if there is none."""
-    lines = F.split(text, "\n")
-    at = F.array_position(F.transform(lines, lambda x: x.rlike(rf"(?i)(?:pure\s+|elemental\s+|recursive\s+)*(?:real|integer|logical|character|type)?\s*(?:\([^)]*\))?\s*function\s+{name}")), True).cast("int")
-    rest = F.slice(lines, at + 1, F.size(lines))
-    end = F.array_position(F.transform(rest, lambda x: x.rlike(r"(?i)^\s*end\s+function")), True).cast("int")
-    body = F.slice(lines, at, F.when(end > 0, end + 1).otherwise(most + 1))
-    first = F.greatest(at - before, F.lit(1))
-    lead = F.filter(F.slice(lines, first, at - first), lambda x: (F.trim(x) != "") & ~F.startswith(F.trim(x), F.lit("!")))
-    head = F.when(F.size(lead) > 0, F.concat(F.array(F.lit("    ! ... [Context from parent function] ...")), lead, F.array(F.lit("")))).otherwise(F.array().cast("array<string>"))
-    return F.when(at > 0, F.array_join(F.concat(head, body), "\n"))
+    opening = rf"(?i)(?:pure\s+|elemental\s+|recursive\s+)*(?:real|integer|logical|character|type)?\s*(?:\([^)]*\))?\s*function\s+{name}"
+
+    def found(lines: Column, at: Column) -> Column:
+        rest = F.slice(lines, at + 1, F.size(lines))
+        end = F.array_position(F.transform(rest, lambda x: x.rlike(r"(?i)^\s*end\s+function")), True).cast("int")
+        body = v.let(end, lambda e: F.slice(lines, at, F.when(e > 0, e + 1).otherwise(most + 1)))
+        first = F.greatest(at - before, F.lit(1))
+        lead = F.filter(F.slice(lines, first, at - first), lambda x: (F.trim(x) != "") & ~F.startswith(F.trim(x), F.lit("!")))
+        none = F.array().cast("array<string>")
+        head = v.let(lead, lambda x: F.when(F.size(x) > 0, F.concat(F.array(F.lit("    ! ... [Context from parent function] ...")), x, F.array(F.lit("")))).otherwise(none))
+        return F.when(at > 0, F.array_join(F.concat(head, body), "\n"))
+
+    # lines and places are computed once: each is named several times
+    return v.let(F.split(text, "\n"), lambda lines: v.let(F.array_position(F.transform(lines, lambda x: x.rlike(opening)), True).cast("int"), lambda at: found(lines, at)))
 
 
 def _children(e: DataFrame) -> DataFrame:

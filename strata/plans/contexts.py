@@ -12,6 +12,7 @@ from strata.plans.derived import DERIVED, TABLES, frame, with_sql
 from strata.plans.graph import SQL, _all
 from strata.plans.ontology import _axioms, turtle_triples
 from strata.plans.registry import query, table
+from strata.storage import spread
 
 NAMES = "names(label, part) AS (VALUES " + ", ".join(f"('{k}', '{p}')" for k, parts in c.NAME_PARTS.items() for p in parts) + ")"
 #: Part names of the driver's table as entities: modules, subroutines and functions by turns.
@@ -131,7 +132,8 @@ def filter_by_specificity(spark, sf_dir):
 
 @query(with_sql("sources") + ", l AS (SELECT id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM sources WHERE id % 3 = 2) SELECT id, '    ! ... [Context from parent function] ...' || chr(10) || string_agg(l, chr(10) ORDER BY n) FILTER (WHERE n < 5 AND trim(l) NOT LIKE '!%') || chr(10) || chr(10) || string_agg(l, chr(10) ORDER BY n) FILTER (WHERE n BETWEEN 5 AND 7) AS text FROM l GROUP BY id")
 def internal_function(spark, sf_dir):
-    return frame(spark, "sources", sf_dir).select("id", c.internal_function(F.col("text"), "inner").alias("text")).filter("text is not null")
+    found = c.internal_function(F.col("text"), "inner")
+    return spread(frame(spark, "sources", sf_dir), "id").select("id", F.explode(F.array_compact(F.array(found))).alias("text"))  # a filter would compute it twice
 
 
 @query(SQL + CHILDREN + " SELECT count(*) AS n_modules, avg(deps)::DOUBLE AS mean_deps, avg(children)::DOUBLE AS mean_children, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE deps = 0), '') AS independent FROM kids WHERE etype = 'module'")
