@@ -12,6 +12,8 @@ from strata.operators import ontology as o
 from strata.plans.registry import query, table
 from strata.plans.samples import sample
 from strata.sources import jsonld, office, rdfxml, turtle
+from strata.storage import cut, spread
+
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each nation as a file: in turn docx, xlsx, pptx, zip of a docx and a note, text, HTML, a broken docx, and an unknown kind."""
@@ -66,7 +68,7 @@ _RDF = """<?xml version="1.0" encoding="UTF-8"?>
 def _rdf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An RDF/XML text for each supplier, with its nation and region."""
     geography = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
-    rows = table(spark, sf_dir, "supplier").join(geography, F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = spread(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey").join(F.broadcast(geography), F.col("s_nationkey") == F.col("n_nationkey"))
     text = F.lit(_RDF)
     for word, name in (("SUPPLIER", F.replace("s_name", F.lit("#"), F.lit("_"))), ("NATION", F.replace("n_name", F.lit(" "), F.lit("_"))), ("REGION", F.replace("r_name", F.lit(" "), F.lit("_")))):
         text = F.replace(text, F.lit(word), name)
@@ -84,7 +86,7 @@ def rdfxml_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_GEO + " SELECT 'subsumption' AS type, n AS source, r AS target FROM g UNION SELECT 'subsumption', s, n FROM g UNION SELECT 'domain', p, s FROM g UNION SELECT 'semantic_ships', s, r FROM g")
 def rdfxml_axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rdfxml.triples(_rdf_texts(spark, sf_dir))
+    found = cut(rdfxml.triples(_rdf_texts(spark, sf_dir)).distinct())  # read by each kind of axiom
     stated = found.filter("p like 'semantic\\_%'").select(F.col("p").alias("type"), F.col("s").alias("source"), F.col("o").alias("target"))
     return o.load_axioms(found).unionByName(stated).distinct()
 
