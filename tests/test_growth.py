@@ -66,3 +66,17 @@ def test_internal_function_looks_for_its_start_once(spark):
     out = rows.select(contexts.internal_function(F.col("t"), "inner").alias("a"))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("elemental") == 1
     assert [r.a is None for r in out.collect()] == [False, True, True]
+
+
+def test_texts_are_read_once_for_many_words_and_links(spark):
+    from pyspark.sql import functions as F
+
+    from strata.operators import selection
+
+    names = spark.range(150_000).select(F.concat(F.lit("en#w"), "id").alias("uri"), F.concat(F.lit("w"), "id").alias("label"))
+    docs = spark.createDataFrame([(1, "w1 w7 w7")], "doc_id long, text string")
+    found = selection.dominant_words(docs, names)
+    links = names.select(F.lit("semantic_related").alias("type"), F.lit("en#w1").alias("source"), F.col("uri").alias("target"))
+    near = selection.words_nearby(docs.select("doc_id", F.lit(0).alias("section"), "text"), found.filter("uri = 'en#w1'"), names, links)
+    assert [x._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") for x in (found, near)] == [1, 2]
+    assert sorted((r.uri, r.path_distance) for r in near.collect()) == [("en#w1", 0), ("en#w7", 1)]
