@@ -7,11 +7,14 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata import config
 
+#: Characters of documents whose pieces go on at once.
+_CHARS = 1 << 20
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
 _LOOSE = re.compile(r"(?<=[.!?])\s+|\n\s*")
 _MARK = re.compile(r"^(#{1,6})\s+(.+)$")
@@ -180,14 +183,21 @@ def notebook_chunks(cells: list[str], target: int = config.NOTEBOOK_TARGET_TOKEN
 
 
 def split_rows(docs: DataFrame, split: Callable[[str], list[str]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, chunk_index, text: one row for each piece that split makes; documents stay in their task."""
+    """doc_id, chunk_index, text: one row for each piece that split makes; documents stay in their task. Pieces go on after each ``_CHARS`` characters or a document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("chunk_index", pa.int32()), ("text", pa.string())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, i, c) for d, t in zip(batch["_d"], batch["_x"], strict=True) for i, c in enumerate(split(t or ""))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text"])
-
-    return docs.select(F.col(doc_id).cast("long").alias("_d"), F.col(text).alias("_x")).mapInPandas(run, "doc_id long, chunk_index int, text string")
+            rows, size = [], 0
+            for n, (d, t) in enumerate(zip(*batch.columns, strict=True), 1):
+                text = t.as_py() or ""
+                rows += [(d.as_py(), i, c) for i, c in enumerate(split(text))]
+                size += len(text)
+                if rows and (size > _CHARS or n == len(batch)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows, size = [], 0
+
+    return docs.select(F.col(doc_id).cast("long").alias("_d"), F.col(text).alias("_x")).mapInArrow(run, "doc_id long, chunk_index int, text string")
 
 
 def structure_rows(docs: DataFrame) -> DataFrame:
