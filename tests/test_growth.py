@@ -80,3 +80,62 @@ def test_texts_are_read_once_for_many_words_and_links(spark):
     near = selection.words_nearby(docs.select("doc_id", F.lit(0).alias("section"), "text"), found.filter("uri = 'en#w1'"), names, links)
     assert [x._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") for x in (found, near)] == [1, 2]
     assert sorted((r.uri, r.path_distance) for r in near.collect()) == [("en#w1", 0), ("en#w7", 1)]
+
+
+def test_top_k_of_a_task_is_exact_and_its_meetings_are_bounded():
+    import numpy as np
+
+    from strata.operators import retrieval
+
+    g = np.random.default_rng(1)
+    x, q, ids = np.round(g.normal(size=(500, 3)), 1), np.round(g.normal(size=(90, 3)), 1), g.permutation(500)
+    sizes = []
+
+    def measure(some, _, rows):
+        sizes.append((len(q[some]), len(rows)))
+        return np.round(np.einsum("ij,kj->ik", q[some], rows), 2)
+
+    out = [t for part in retrieval.task_top_k(iter([(ids[:333], x[:333]), (ids[333:], x[333:])]), 90, measure, 7, meeting=(50, 20)) for t in zip(*part, strict=True)]
+    score = np.round(np.einsum("ij,kj->ik", q, x), 2)
+    wanted = [(i, ids[j], score[i, j]) for i in range(90) for j in np.lexsort((ids, -score[i]))[:7]]
+    assert [t[:3] for t in out] == wanted and max(sizes) <= (20, 50) and max(n for _, n in sizes) <= 50
+
+
+def test_equal_vectors_are_ties_by_id(spark):
+    from strata.operators import retrieval
+
+    rows = spark.createDataFrame([(i, [0.1 * (1 + j % 3) for j in range(7)]) for i in range(3000)], "vec_id long, embedding array<double>")
+    out = retrieval.batch_top_k(rows, rows.filter("vec_id % 100 = 0"), 3, row_id="vec_id", query_id="vec_id").collect()
+    assert {(r.rank, r.row_id) for r in out} == {(1, 0), (2, 1), (3, 2)}
+
+
+def test_prediction_makes_no_rows_of_blocks(spark):
+    from strata.operators import relations
+
+    e = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id long, vec array<double>")
+    maps = spark.createDataFrame([("r", [1.0, 0.0, 0.0, 1.0])], "relation string, matrix array<double>")
+    out = relations.predict(e.filter("id = 0"), maps, e, 3, 0.1, size=2)
+    assert "CartesianProduct" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [(r.object, r.rank) for r in sorted(out.collect(), key=lambda r: r.rank)] == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_pieces_and_words_go_on_before_a_batch_is_done():
+    from strata.functions import text
+    from strata.operators import chunking
+
+    class Frame:
+        def __init__(self, rows):
+            self.rows, self.out = rows, None
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            self.out = list(run(iter([pa.RecordBatch.from_pylist(self.rows)])))
+
+    docs = Frame([{"_d": i, "_x": "x" * 300_000} for i in range(8)] + [{"_d": 9, "_x": None}])
+    chunking.split_rows(docs, lambda x: [x] if x else [])
+    assert [b.num_rows for b in docs.out] == [4, 4]
+    words = Frame([{"id": i, "w": ["a", "b", "a"]} for i in range(600)])
+    text.top_words(words, "id", "w", 10)
+    assert [b.num_rows for b in words.out] == [512, 512, 176]
