@@ -139,3 +139,26 @@ def test_pieces_and_words_go_on_before_a_batch_is_done():
     words = Frame([{"id": i, "w": ["a", "b", "a"]} for i in range(600)])
     text.top_words(words, "id", "w", 10)
     assert [b.num_rows for b in words.out] == [512, 512, 176]
+
+
+def test_neighbors_by_frequent_labels_make_no_pairs_and_equal_all_pairs(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from strata.operators import graph as g
+
+    rnd = random.Random(3)
+    e = spark.createDataFrame([(i, f"n{i}", rnd.choice("xyz"), rnd.choice("pq"), 3 * i % 40, 3 * i % 40 + rnd.randint(1, 30)) for i in range(60)], "entity_id int, name string, etype string, file string, start_line int, end_line int")
+    labels = [f"c{j}" for j in range(8)]
+    concepts = spark.createDataFrame([(i, x) for i in range(60) for x in (labels if i == 7 else rnd.sample(labels, rnd.randint(1, 3)))], "entity_id int, label string")
+    uses = spark.createDataFrame([(rnd.randrange(60), rnd.choice(["U", "u", "v", "w", None])) for _ in range(70)], "src_id int, dst_name string")
+    wanted = g.semantic_neighbors(e, concepts, uses, 3, most=10**6)
+    found = g.semantic_neighbors(e, concepts, uses, 3, most=4)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect())) != []
+    overlap = g.concept_overlap(concepts)
+    plain = g.shared_labels(concepts).join(concepts.groupBy("entity_id").agg(F.countDistinct("label").alias("n")).toDF("a", "na"), "a").join(concepts.groupBy("entity_id").agg(F.countDistinct("label").alias("n")).toDF("b", "nb"), "b")
+    assert sorted(map(tuple, overlap.collect())) == sorted((r.a, r.b, r.shared / max(r.na, r.nb)) for r in plain.collect())
+    # pairs are written out after the last shuffle, so no stage groups them
+    tree = overlap._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in tree
