@@ -1,8 +1,9 @@
 """What keeps queries in proportion to their input: batches instead of a frame a row, values computed once, rows dealt to tasks."""
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from strata.operators import contexts
+from strata.operators import contexts, graph, paths
 from strata.plans import registry
 from strata.sources import code, rdfxml
 from strata.storage import spread
@@ -162,3 +163,25 @@ def test_neighbors_by_frequent_labels_make_no_pairs_and_equal_all_pairs(spark):
     # pairs are written out after the last shuffle, so no stage groups them
     tree = overlap._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in tree
+
+
+def test_rounds_of_components_know_their_size(spark):
+    # a checkpoint of joins is taken for their product, which the next round squares
+    size = lambda out: out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    line = spark.range(2000).selectExpr("cast(id as int) as src_id", "cast(id + 1 as int) as dst_id").repartition(2)
+    nodes = spark.range(2001).selectExpr("cast(id as int) as node")
+    found = graph._roots(line.toDF("a", "b"))
+    assert found.select("root").distinct().count() == 1 and size(found) < 1 << 30
+    assert graph.weak_components(line, nodes).groupBy("component").count().collect() == [(0, 2001)]
+    ends = paths._ends(line.toDF("node", "next"))
+    assert size(ends) < 1 << 30
+    assert size(paths._spread(line.toDF("a", "b").filter("a < 20"), nodes.select("node", F.col("node").alias("colour")))) < 1 << 30
+
+
+def test_links_that_lead_round_take_few_rounds(spark, monkeypatch):
+    rounds, keep = [], paths.stored
+    monkeypatch.setattr(paths, "stored", lambda rows: rounds.append(1) or keep(rows))
+    # two nodes back and forth and a long way to them: nothing more ends after the first round of doubling
+    ring = spark.createDataFrame([(i, max(i - 1, 0) or 1) for i in range(200)], "node int, next int")
+    assert {r.end for r in paths._ends(ring).collect()} == {None}
+    assert len(rounds) <= 3

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from strata.operators import containment, nesting, paths, threshold_join
+from strata.operators import graph as graph_of
 
 
 def frame(spark, rows, schema):
@@ -115,6 +116,30 @@ def test_a_long_chain_is_peeled_at_once(spark):
     assert {r.n for r in paths.strong_components(frame(spark, CHAIN, "src long, dst long")).groupBy("component").count().toDF("component", "n").collect()} == {1}
 
 
+DENSE = [(a, b) for a in range(9) for b in range(9) if a < b]
+
+
+@pytest.mark.parametrize("links", [graph(40, 30, 6), graph(40, 30, 8), graph(60, 50, 7), graph(25, 35, 5), RINGS, CORE, DENSE, [*DENSE, (8, 0)], [*DENSE, (4, 4)], [(1, 1)], [(0, 1), (1, 0)], CHAIN[:300], [*CHAIN[:300], (200, 100)], []], ids=str)
+def test_cyclic(spark, links):
+    want = plain_components(links)
+    cyclic = any(a == b for a, b in links) or len(set(want.values())) < len(want)
+    assert paths.cyclic(frame(spark, [*links, (None, 1), (1, None)], "a long, b long")) == cyclic
+
+
+@pytest.mark.parametrize("n, m, seed", [(60, 30, 1), (60, 60, 2), (200, 150, 3), (12, 0, 4)])
+def test_weak_components(spark, n, m, seed):
+    links = graph(n, m, seed)
+    want = {i: i for i in range(n)}
+    for _ in want:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    # ends that are no nodes connect nodes, but are no components
+    links, nodes = [*links, (n, 0), (n, n - 1), (n + 1, n + 2), (None, 3)], [*range(n), 5, None]
+    want = {i: want[0] if c == want[n - 1] else c for i, c in want.items()}
+    got = graph_of.weak_components(frame(spark, links, "src_id long, dst_id long"), frame(spark, [(x,) for x in nodes], "node long"))
+    assert sorted(map(tuple, got.collect())) == sorted(want.items())
+
+
 def plain_parents(ranges, queries=()):
     def around(row, query):
         f, i, s, e = row
