@@ -114,3 +114,32 @@ def test_a_step_does_not_grow_with_the_bucket():
         return time.perf_counter() - start
 
     assert seconds(300_000) < 5 * seconds(300) + 0.05
+
+
+def test_facts_that_lead_to_hubs_take_one_round_an_epoch(spark, monkeypatch):
+    """However many buckets there are; each triple is trained, repeated ones as often as they stand there."""
+    rows = [(f"p{i}", "in", f"c{i % 3}") for i in range(300)] + [("c0", "of", "c1")] * 50
+    rounds, triples = [], []
+    train, stored = t._train, t.stored
+    monkeypatch.setattr(t, "_train", lambda *x: rounds.append(x) or train(*x))
+
+    def seen(frame, path=None):
+        out = stored(frame, path)
+        if out.columns == ["pair", "block", "vec"]:
+            triples.append(sum(len(x.vec) for x in out.collect()) // 12)
+        return out
+
+    monkeypatch.setattr(t, "stored", seen)
+    e, r = t.fit(spark.createDataFrame(rows, SHAPE), dim=4, epochs=2, most_entities=60)
+    assert len(rounds) == 2 and sum(triples) == 350
+    entities = vectors(e)
+    assert set(entities) == {x for s, _, o in rows for x in (s, o)} and np.allclose([np.linalg.norm(x) for x in entities.values()], 1)
+    assert set(vectors(r)) == {"in", "of"}
+
+
+def test_ranks_agree_for_tests_in_blocks(spark, learned):
+    known, held, rows, (e, r) = learned
+    entities, relations = vectors(e), vectors(r)
+    tests = spark.createDataFrame([(i, *x) for i, x in enumerate(held)], "test int, " + SHAPE).repartition(5)
+    found = {x.test: x["rank"] for x in t.link_ranks(tests, rows, e, r, most_bytes=1000).collect()}
+    assert found == {i: rank(x, known, entities, relations) for i, x in enumerate(held)}
