@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 LONGEST = 6
 
 
-def candidates(sets: DataFrame, k: int, *, partners: DataFrame | None = None, least: float = 0.0, group: str | None = None, apart: str | None = None) -> DataFrame:
+def candidates(sets: DataFrame, k: int, *, partners: DataFrame | None = None, least: float = 0.0, most: float = 1.0, group: str | None = None, apart: str | None = None) -> DataFrame:
     """a, b: pairs of sets(id, items, perhaps group) that hold the k best partners b of each a by shared items over the larger set, ties by least id.
 
     Partners come from ``partners`` (same columns), from all sets if not given; only those of one group if it is given, where partners that
-    share nothing are listed too if ``least`` is negative; only those that differ in column apart if it is given, though others may come. Overlaps of ``least`` or under may be missing. More pairs than needed may come.
+    share nothing are listed too if ``least`` is negative; only those that differ in column apart if it is given, though others may come. Overlaps of ``least`` or under may be missing, those of ``most`` or over are ties. More pairs than needed may come.
 
     A partner with just the common items c precedes, or follows, others of its size that hold c: those have as much in common or more. So
     it is among the k + 1 least ids (one may be a) of all partners of that size that hold c, and a needs just those lists for the parts of
-    its own set. An item that many rows have costs a list of k + 1 ids, not pairs. With apart a list has the least 2 k of the k least ids of each
+    its own set. An item that many rows have costs a list of k + 1 ids, not pairs. A partner that is needed comes with the part that it has in
+    common, others with that or less; so by the largest parts the k best are kept. With apart a list has the least 2 k of the k least ids of each
     value of it, of which at most k have the value of a.
     """
     partners = sets if partners is None else partners
@@ -35,8 +36,14 @@ def candidates(sets: DataFrame, k: int, *, partners: DataFrame | None = None, le
     listed = first(parts(b), k + 1) if apart is None else first(first(parts(b), k, apart), 2 * k)
     lists = listed.groupBy(*key, "_part", "_m").agg(F.collect_list("id").alias("_ids"))
     lists = lists.select(*key, "_part", F.col("_m").alias("_n"), "_ids")
-    near = parts(a).join(lists, [*key, "_part"]).filter(F.size("_part") / F.greatest("_m", "_n") > least)
-    pairs = [near.select(F.col("id").alias("a"), F.explode("_ids").alias("b"))]
+    common = F.size("_part") / F.greatest("_m", "_n")
+    near = parts(a).join(lists, [*key, "_part"]).filter(common > least)
+    if apart is None:  # lists are dealt to each a before they are written out, and just its k best go on
+        near = near.select(F.col("id").alias("a"), F.least(common, F.lit(most)).alias("_s"), "_ids").repartition("a").select("a", "_s", F.explode("_ids").alias("b"))
+        near = near.filter("a != b").groupBy("a", "b").agg(F.max("_s").alias("_s"))
+        pairs = [near.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("_s"), "b"))).filter(F.col("_r") <= k).select("a", "b")]
+    else:
+        pairs = [near.select(F.col("id").alias("a"), F.explode("_ids").alias("b"))]
     items = lambda rows, end: rows.select(F.col("id").alias(end), *key, F.explode("items").alias("_item"))
     on = [*key, "_item"] if least >= 0 else key
     for x, y in ((a.filter(~short), b), (a.filter(short), b.filter(~short))):

@@ -84,3 +84,16 @@ def test_cross_file_relations_make_no_pairs_of_a_common_label(spark, monkeypatch
     none = spark.createDataFrame([], "src_id int, dst_name string")
     assert g.cross_file_relations(e, concepts, none, none, 2).count() == 1200
     assert seen and seen[0] <= 600 * 4
+
+
+def test_candidates_are_the_k_best_alone(spark):
+    rng = random.Random(5)
+    held = {i: sorted(rng.sample("abcdefg", rng.randrange(1, 5))) for i in range(90)}
+    found = overlap.candidates(spark.createDataFrame(list(held.items()), "id int, items array<string>"), 3).collect()
+    common = lambda a, b: len({*held[a]} & {*held[b]}) / max(len(held[a]), len(held[b]))
+    assert sorted((r.a, r.b) for r in found) == sorted((a, b) for a in held for b in sorted((b for b in held if b != a and common(a, b)), key=lambda b: (-common(a, b), b))[:3])
+
+
+def test_similar_entities_agree_in_parts(spark):
+    e, concepts, uses = code(spark, 6)
+    assert rows(g.similar_entities(e, concepts, uses, 3, most_pairs=200)) == rows(plain_similar(e, concepts, uses, 3).select("a", "b", "score", "reasons", "rank"))
