@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators import classes
 from strata.operators import contexts as c
 from strata.operators import ontology as o
 from strata.operators import ranking as r
@@ -106,3 +107,14 @@ def test_only_concepts_of_a_query_meet_their_siblings(spark):
     found = r.concept_scores(chunks, spark.createDataFrame([("p#1", 0.8)], "uri string, confidence double"), a)
     assert sorted((x.chunk_id, round(x.concept, 6)) for x in found.collect()) == [(1, 0.4), (2, 0.28)]
     assert sum(shuffled(found)) < 5000
+
+
+def test_one_side_is_not_copied_for_each_block_of_the_other(spark):
+    left, right = spark.range(4000).selectExpr("'k' as key", "id as context"), spark.range(50).selectExpr("'k' as key", "id as uri")
+    for held in (256, 20):  # one group of right blocks, several
+        found = classes.crossed(left, right, "key", "context", "uri", rows=1, held=held)
+        assert found.count() == found.distinct().count() == 4000 * 50
+        # blocks, a row each: members_of dealt some 200,000
+        assert sum(shuffled(found)) < 60_000
+    none = classes.crossed(left, right.limit(0), "key", "context", "uri")
+    assert none.count() == 0 == classes.crossed(left.limit(0), right, "key", "context", "uri").count()
